@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, simhash
+from tidemark.llm import quality, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op9_simhash": op9_simhash,
 }
@@ -32,17 +37,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+pos as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w),
+win as (select doc_id, i, md5(array_to_string(ws[i:i+34], ' ')) as k from pos),
+again as (select doc_id, i from win qualify count(*) over (partition by k) > 1),
+gone as (select distinct doc_id, i + o as j from again, range(35) t(o)),
+cut as (select doc_id, list(j) as js, count(*) as c from gone group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(c, 0)::bigint as n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, j: js is null or not list_contains(js, j)), ' ')) as kept_sha256
+from w left join cut using (doc_id)
+""",
     "op5_quality_rules": rf"""
 with w as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
 ), m as (
   select doc_id, ws, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(regexp_extract_all(text, '!'))::bigint as n_exclaimed,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-    len(list_filter(ws, x -> lower(x) in ({_STOP})))::bigint as n_stop_words
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    len(list_filter(ws, lambda x: lower(x) in ({_STOP})))::bigint as n_stop_words
   from w
-), at as (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from m),
-win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as k from at),
+), pos as (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from m),
+win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as k from pos),
 again as (select doc_id, i from win qualify count(*) over (partition by doc_id, k) > 1),
 covered as (select doc_id, count(distinct i + o)::bigint as c from again, range(8) t(o) group by doc_id),
 b as (
