@@ -28,7 +28,7 @@ from tidemark.llm.tokens import encoder
 
 CAPACITY = 1024
 END_ID = 0
-GAP = 5e-4
+GAP = 2e-3
 ROWS = 500
 PIECES = "part int, doc_id long, start long, length int, doc_tokens long, ids_crc32 long, rank long, ids binary"
 
