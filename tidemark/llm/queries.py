@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, packing, quality, simhash, substring, token_store, topk
+from tidemark.llm import html_text, packing, pii, quality, simhash, substring, token_store, topk
 from tidemark.llm.common import new_path
 
 
@@ -55,12 +55,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_html_text": op3_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_store": op6_token_store,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
 }
