@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, packing, pii, quality, simhash, substring, token_store, topk
+from tidemark.llm import html_text, langid, packing, pii, quality, sampling, simhash, substring, token_store, topk
 from tidemark.llm.common import new_path
 
 
@@ -60,9 +60,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(docs, pii.fit(docs))
 
 
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampling.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+    return found.withColumnRenamed("row_key", "doc_id")
+
+
+def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sampled_pieces": op1_sampled_pieces,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_html_text": op3_html_text,
+    "op4_page_language": op4_page_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_store": op6_token_store,
     "op7_packing": op7_packing,
