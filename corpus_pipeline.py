@@ -1,13 +1,72 @@
-"""A corpus pipeline of five stages over the documents table; each stage is written and read again before the next."""
+"""A corpus pipeline over the documents table: quality rules, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written and read
+again before the next. All but the last return the columns of documents; n_chars follows the text.
+
+Quality drops what the rules reject. Near-dedup keeps the document with the smallest doc_id of each component (rows
+that repeat that id and text are one document, so one of them stays). Substring dedup cuts repeated passages out and
+keeps all rows. Personal data is replaced by its kind in brackets. Packing returns the pieces of each sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import packing, pii, quality, simhash, substring
+from tidemark.llm.common import new_path
+from tidemark.llm.queries import tokenizer_file
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def as_documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs.select(*COLUMNS)).where("_quality.kept").select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    groups = simhash.near_duplicates(rows.select("doc_id", "text"))
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = rows.join(first, "doc_id", "left_semi")
+    # an id that occurs once needs no choice; rows of an id that repeats are reduced to one by their content
+    return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return as_documents(substring.dedup(docs.select(*COLUMNS)))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    return as_documents(pii.redact(rows, pii.fit(rows)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = packing.pack(docs, tokenizer_file())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("personal data", pii_stage),
+    ("packing", packing_stage),
+]
 #: Near-duplicate groups, boosted trees and sequences can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -108,4 +108,6 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ke
     step = measured(df, text, keep)
     q = lambda c: F.col(f"_quality.{c}")
     failed = (q("n_words") < 20) | (q("n_repeat_words") * 100 > q("n_words") * 30)
-    return step.withColumn("_quality", F.struct("_quality.*", failed.alias("base_failed"), (~failed & verdict(q, rules)).alias("kept")))
+    whole = F.struct("_quality.*", failed.alias("base_failed"), (~failed & verdict(q, rules)).alias("kept"))
+    # the generator keeps a later filter on the verdict from being pushed into, and repeated over, every step above
+    return step.select(*[c for c in step.columns if c != "_quality"], F.explode(F.array(whole)).alias("_quality"))
