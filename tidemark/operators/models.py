@@ -40,7 +40,7 @@ def fit_validated(df: DataFrame, columns: list[str], label: str = "label", kind:
     data, names = ready(df.where(F.col("part").isin("train", "val")), columns)
     data = data.withColumn("_val", F.col("part") == "val").withColumn("label_d", F.col(label).cast("double"))
     if kind == "tweedie":
-        return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, labelCol="label_d", maxIter=20, regParam=0.01).fit(data.where(~F.col("_val"))), names
+        return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="label_d", maxIter=20, regParam=0.01).fit(data.where(~F.col("_val"))), names
     if kind == "multiclass":
         indexed = StringIndexer(inputCol=label, outputCol="label_i", handleInvalid="keep").fit(data.where(~F.col("_val")))
         forest = RandomForestClassifier(labelCol="label_i", numTrees=20, maxDepth=depth, seed=seed).fit(indexed.transform(data).where(~F.col("_val")))
