@@ -100,6 +100,15 @@ def a2(spark, d):
     return load(spark, d, "orders")
 
 
+@query("A3", "select c_custkey, c_name, c_acctbal from customer")
+def a3(spark, d):
+    """The table goes into Spark's own embedded database first (one JVM, so a local master), and is read in ranges of its key."""
+    url, how = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.mode("overwrite").jdbc(url, "customer", properties=how)
+    got = src.read_jdbc(spark, url, "customer", "c_custkey", 4, how)
+    return got.select(*[F.col(c).alias(c.lower()) for c in got.columns])
+
+
 @query("A4", "select o_custkey, count(*) as n_orders from orders group by o_custkey having count(*) > 12")
 def a4(spark, d):
     load(spark, d, "orders").createOrReplaceTempView("tidemark_orders")

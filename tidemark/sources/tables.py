@@ -29,7 +29,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     reader = spark.read.format("jdbc").options(url=url, **(properties or {}))
     if column is None:
         return reader.option("dbtable", table).load()
-    low, high = reader.option("query", f"select min({column}) as lo, max({column}) as hi from {table}").load().first()
+    mark = "`" if url.startswith("jdbc:mysql") else '"'
+    key = f"{mark}{column}{mark}"
+    low, high = reader.option("query", f"select min({key}) as lo, max({key}) as hi from {table}").load().first()
     return spark.read.format("jdbc").options(url=url, **(properties or {}), dbtable=table, partitionColumn=column, lowerBound=str(low or 0), upperBound=str(high or 0), numPartitions=str(parts)).load()
 
 
