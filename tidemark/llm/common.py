@@ -3,45 +3,20 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import new_path, shared_dir, written  # noqa: F401
+
 #: A word is a longest run without space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Only a local master may do without the setting; it gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this module made, once no later job reads it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
