@@ -18,6 +18,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators.features import Feature, Path, Predicate
 from tidemark.operators.labels import Rule, Target
 from tidemark.sources import tables as src
+from tidemark.sources.shared import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
