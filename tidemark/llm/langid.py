@@ -1,7 +1,7 @@
 """Language of web pages: Bayesian fusion of text, declared markup language, address suffix and host.
 
-Text: multinomial naive Bayes over byte trigrams in 2^15 buckets, fitted on at most `train_docs` labelled documents of
-each language (in hash order); its log-likelihoods are tempered, since neighbouring trigrams are not independent.
+Text: multinomial naive Bayes over byte trigrams in 2^15 buckets, fitted on about `train_docs` labelled documents of
+each language, whatever the size of the table (chosen by their texts' hash); its log-likelihoods are tempered, since neighbouring trigrams are not independent.
 The text alone gives each page a posterior. Grouped sums of these over all pages then give what a declared language
 and an address suffix say about the language (smoothed likelihoods), and a prior for each host, smoothed towards its
 domain's, which is smoothed towards all pages'. A page's own share is taken out of every sum before it is used. The
@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +55,16 @@ class TextModel:
 
 
 def fit_text(df: DataFrame, text: str = "text", label: str = "lang", train_docs: int = 1500) -> TextModel:
-    """Naive Bayes from at most train_docs rows of each label."""
+    """Naive Bayes from about train_docs rows of each label (all, if there are fewer): those whose text's hash falls below a share."""
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where("text is not null and label is not null")
-    names = sorted(r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect())
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()}
+    names = sorted(sizes)
     counts = np.full((BUCKETS, len(names)), 0.5)
     if not names:
         return TextModel((), counts)
-    some = [rows.where(F.col("label") == n).orderBy(F.xxhash64("text"), "text").limit(train_docs) for n in names]
-    sample = some[0]
-    for s in some[1:]:
-        sample = sample.union(s)
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    chosen = [(F.col("label") == n) & (hashed < F.lit(int(min(1.0, train_docs / sizes[n]) * (1 << 30)))) for n in names]
+    sample = rows.where(reduce(or_, chosen))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
