@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import packing, pii, quality, simhash, substring
 from tidemark.llm.common import new_path
-from tidemark.llm.queries import tokenizer_file
+from tidemark.llm.queries import table, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import html_text, langid, packing, pii, quality, sampling, simhash, substring, token_store, topk
 from tidemark.llm.common import new_path
+from tidemark.sources.shared import ship
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -18,6 +19,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
