@@ -70,7 +70,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     counts = rows.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, groups = parts_for(counts["n"], block_rows), parts_for(counts["q"], group_queries)
     own = F.xxhash64("vec_id")
-    candidates = valid.withColumn("block", F.pmod(own, F.lit(blocks))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # both sides' keys must have one type: an int and a long of one value are dealt to different partitions
+    candidates = valid.withColumn("block", F.pmod(own, F.lit(blocks)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = valid.where(is_query).withColumn("grp", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     out = "query_id long, vec_id long, score long, copy long"
 
