@@ -3,14 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written and read
 again before the next. All but the last return the columns of documents; n_chars follows the text.
 
-Quality drops what the rules reject. Near-dedup keeps the document with the smallest doc_id of each component (rows
-that repeat that id and text are one document, so one of them stays). Substring dedup cuts repeated passages out and
+Quality drops what the rules reject. Near-dedup keeps one row of each component: the least doc_id, null after all
+others, and of equal ids the least 64-bit hash of the row (rows equal in all columns are one). Different texts under
+one id, or without an id, are documents of their own. Substring dedup cuts repeated passages out and
 keeps all rows. Personal data is replaced by its kind in brackets. Packing returns the pieces of each sequence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, pii, quality, simhash, substring
@@ -24,17 +25,24 @@ def as_documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """A hash of all columns of a row, nulls told from missing values: equal for equal rows only."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select(*COLUMNS)).where("_quality.kept").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(rows.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = rows.join(first, "doc_id", "left_semi")
-    # an id that occurs once needs no choice; rows of an id that repeats are reduced to one by their content
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    rows = docs.select(*COLUMNS).withColumn("row_key", row_key())
+    groups = simhash.near_duplicates(rows.select("row_key", "text"), "row_key").select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group"))
+    ids = rows.select("row_key", "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = ids.join(groups.distinct(), "row_key").groupBy("group").agg(F.min(rank).alias("r")).select("r.row_key")
+    # rows of one key are equal, so any of them stands for all; the join has dealt them by key already
+    kept = rows.join(first.hint("shuffle_merge"), "row_key")
+    return kept.groupBy("row_key").agg(F.first(F.struct(*COLUMNS)).alias("r")).select("r.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -470,3 +470,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     packed = step(4, clean)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(after)
     assert c.run(spark, sf).count() == packed.count() and rows
+
+
+def test_near_dedup_keeps_one_row_of_each_component_whatever_its_id(spark, real):
+    import corpus_pipeline as c
+
+    word = [f"w{i}" for i in range(900)]
+    text = [" ".join(word[a : a + 60]) for a in range(0, 900, 100)]
+    rows = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (None, text[4]), (9, text[5]), (9, text[5]), (None, text[6]), (None, text[6]), (11, text[7]), (3, text[7])]
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], real.select(*c.COLUMNS).schema)
+    got = sorted(((r.doc_id, r.text) for r in c.near_dedup_stage(spark, df, "").collect()), key=str)
+    want = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (9, text[5]), (None, text[6]), (3, text[7])]
+    assert got == sorted(want, key=str)
