@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written and read
 again before the next. All but the last return the columns of documents; n_chars follows the text.
 
-Quality drops what the rules reject. Near-dedup keeps one row of each component: the least doc_id, null after all
+Quality drops what the rules reject. Near-dedup links texts whose
+five-word shingles have a Jaccard similarity of 0.8 or more and keeps one row of each component: the least doc_id, null after all
 others, and of equal ids the least 64-bit hash of the row (rows equal in all columns are one). Different texts under
 one id, or without an id, are documents of their own. Substring dedup cuts repeated passages out and
 keeps all rows. Personal data is replaced by its kind in brackets. Packing returns the pieces of each sequence.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, quality, simhash, substring
+from tidemark.llm import neardup, packing, pii, quality, substring
 from tidemark.llm.common import new_path
 from tidemark.llm.queries import table, tokenizer_file
 
@@ -36,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS).withColumn("row_key", row_key())
-    groups = simhash.near_duplicates(rows.select("row_key", "text"), "row_key").select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group"))
+    groups = neardup.near_duplicates(rows)
     ids = rows.select("row_key", "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = ids.join(groups.distinct(), "row_key").groupBy("group").agg(F.min(rank).alias("r")).select("r.row_key")
@@ -61,7 +62,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("simhash near-dedup", near_dedup_stage),
+    ("near-dedup", near_dedup_stage),
     ("substring dedup", substring_stage),
     ("personal data", pii_stage),
     ("packing", packing_stage),

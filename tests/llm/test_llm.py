@@ -482,3 +482,44 @@ def test_near_dedup_keeps_one_row_of_each_component_whatever_its_id(spark, real)
     got = sorted(((r.doc_id, r.text) for r in c.near_dedup_stage(spark, df, "").collect()), key=str)
     want = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (9, text[5]), (None, text[6]), (3, text[7])]
     assert got == sorted(want, key=str)
+
+
+def brute_similar(texts):
+    sets = []
+    for t in texts:
+        w = [x.decode() for x in (t or "").encode().translate(simhash.LOWER).split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return brute_components_of(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+
+
+def brute_components_of(n, linked):
+    label = list(range(n))
+    for i, j in itertools.combinations(range(n), 2):
+        if label[i] != label[j] and linked(i, j):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def test_near_dedup_finds_similarity_of_four_fifths(spark, real):
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(3)
+    texts = [*EDGES, *[r.text for r in real.collect()]]
+    for k in range(40):
+        w = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+        texts.append(" ".join(w))
+        for n in (2, 3, 4, 5, 6, 7):
+            new = list(w)
+            for at in rng.choice(40, n, replace=False):
+                new[int(at) * 5] = f"new{k}"
+            texts.append(" ".join(new))
+    # a chain: neighbours are near, its ends are not; and a group about one text whose members are not near each other
+    long = [f"u{x}" for x in range(600)]
+    texts += [" ".join(long[a : a + 200]) for a in range(0, 300, 15)]
+    texts += [" ".join([*long[300 : 300 + 20 * k], "changed", *long[301 + 20 * k : 560]]) for k in range(1, 12)]
+    df = docs(spark, texts, lang="en", source="s", n_chars=1).select(*c.COLUMNS)
+    want = brute_similar(texts)
+    got = sorted(r.doc_id for r in c.near_dedup_stage(spark, df, "").collect())
+    assert got == sorted(set(want))
+    assert c.near_dedup_stage(spark, df.limit(0), "").count() == 0

@@ -1,0 +1,129 @@
+"""Near-duplicate groups by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A SimHash of 64 bits can't tell these (at 0.8 it differs in about ten bits, in five to sixteen mostly, and unrelated
+texts come that near too), so candidates come from MinHash: 24 bands of four minima each. A pair of similarity 0.8 shares no band with
+a probability of (1 - 0.8^4)^24 = 3e-6, a closer pair with less. Every link is then verified by the whole shingle sets.
+
+In the bucket of a band each text is first compared with the least and the greatest of the bucket. Only pairs of texts
+that these links did not bring into one component are compared one by one, all of them: a bucket of n near copies costs
+O(n) comparisons, and no pair of a bucket stays undecided.
+
+Defined results: A-Z are lowered; a text of less than five words is one shingle; texts of equal words are one group (so
+are null, empty and blank texts); rows without anything near are their own group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import binary_values, written
+from tidemark.llm.simhash import LOWER, components
+
+SHINGLE = 5
+#: Similarity is at least ENOUGH[0] / ENOUGH[1].
+ENOUGH = (4, 5)
+BANDS, ROWS = 24, 4
+SEED = 42
+
+_RNG = np.random.default_rng(SEED)
+_FLIP = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64)
+_TIMES = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 2**63, BANDS, np.uint64)
+
+
+def shingle_set(words: list[bytes], flat: bytes) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of `words`; `flat` is them joined by one space."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begin = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - SHINGLE + 1)].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(flat[a:b], SEED) for a, b in zip(begin, (ends[SHINGLE - 1 :] - 1).tolist() or [len(flat)], strict=True)], np.uint64))
+
+
+def band_keys(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
+    """A 64-bit key for each band of a set that is not empty."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for lo in range(0, len(shingles), block):
+        least = np.minimum(least, ((shingles[None, lo : lo + block] ^ _FLIP) * _TIMES).min(axis=1))
+    key = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND
+    return (key ^ (key >> np.uint64(31))) * _MIX[0]
+
+
+def sketches(df: DataFrame, row_key: str, text: str) -> DataFrame:
+    """row_key, words (a hash of the lowered words) and bands for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, keys, at = [], [], [0]
+            for raw in binary_values(b.column(1)):
+                words = raw.translate(LOWER).split()
+                flat = b" ".join(words)
+                same.append(xxhash.xxh64_intdigest(flat, SEED + 1))
+                keys.append(band_keys(shingle_set(words, flat)) if words else np.zeros(0, np.uint64))
+                at.append(at[-1] + len(keys[-1]))
+            bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), bands], names=["row_key", "words", "bands"])
+
+    return df.select(F.col(row_key).alias("row_key"), F.col(text).alias("text")).mapInArrow(run, "row_key long, words long, bands array<long>")
+
+
+def shingles_of(df: DataFrame) -> DataFrame:
+    """words and shingles (an array of distinct hashes) for each row (words, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = []
+                for raw in binary_values(part.column(1)):
+                    words = raw.translate(LOWER).split()
+                    sets.append(shingle_set(words, b" ".join(words)).view(np.int64))
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))], names=["words", "shingles"])
+
+    return df.select("words", "text").mapInArrow(run, "words long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar enough."""
+    both = pairs.join(sets.select(F.col("words").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("words").alias("v"), F.col("shingles").alias("b")), "v")
+    counted = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return counted.where(F.col("common") * (ENOUGH[0] + ENOUGH[1]) >= F.col("total") * ENOUGH[0]).select("u", "v")
+
+
+def near_duplicates(df: DataFrame, row_key: str = "row_key", text: str = "text") -> DataFrame:
+    """row_key (a long, equal for equal rows only) and group, a number for each component of near texts, for each row of df."""
+    drawn = written(sketches(df, row_key, text), "neardup-sketches")
+    distinct = drawn.dropDuplicates(["words"]).select("words", "row_key", F.explode("bands").alias("band"))
+    shared = distinct.groupBy("band").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1").drop("n")
+    buckets = written(distinct.join(shared, "band"), "neardup-buckets")
+    asked = buckets.groupBy("words").agg(F.min("row_key").alias("row_key"))
+    texts = df.select(F.col(row_key).alias("row_key"), F.col(text).alias("text")).join(asked, "row_key")
+    sets = written(shingles_of(texts).dropDuplicates(["words"]), "neardup-sets")
+
+    first = buckets.select(F.explode(F.array("least", "most")).alias("u"), "words").where("u <> words")
+    pairs = written(first.select(F.least("u", "words").alias("u"), F.greatest("u", "words").alias("v")).distinct(), "neardup-pairs")
+    roots = components(verified(pairs, sets))
+
+    # what one bucket holds in several components: all pairs across them that were not compared
+    rooted = buckets.select("band", "words").join(roots.withColumnRenamed("node", "words"), "words", "left").select("band", "words", F.coalesce("root", "words").alias("root"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    left = written(rooted.join(split, "band"), "neardup-left")
+    other = left.select("band", F.col("words").alias("v"), F.col("root").alias("root_v"))
+    across = left.select("band", F.col("words").alias("u"), F.col("root").alias("root_u")).join(other, "band").where("u < v and root_u <> root_v")
+    links = verified(across.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), sets)
+    root_of = left.select("words", "root").distinct()
+    links = links.join(root_of.toDF("u", "ru"), "u").join(root_of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    joined = components(links).toDF("root", "top")
+
+    named = roots.join(joined, "root", "left").select(F.col("node").alias("words"), F.coalesce("top", "root").alias("group"))
+    lone = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("words"), F.col("top").alias("group"))
+    return drawn.select("row_key", "words").join(named.union(lone), "words", "left").select("row_key", F.coalesce("group", "words").alias("group"))
