@@ -293,6 +293,24 @@ def test_pii_trees_add_secrets_and_redact(spark):
     assert not any(re.search(KINDS["email"], t) for t in got.values()) and got[0].count("[EMAIL]") == 3
 
 
+def test_pii_rare_secrets_are_found_at_any_size(spark):
+    plain = spark.range(20_000).select("id", F.concat(F.lit("order 55"), F.col("id").cast("string"), F.lit(" 1200345 came in")).alias("text"))
+    rare = spark.createDataFrame([(100_000 + i, f"so password=zu7{'kqv'[i]}41hx9 it was") for i in range(3)], "id long, text string")
+    df = plain.union(rare)
+    trees = pii.fit(df)
+    assert trees is not None
+    assert all("[SECRET]" in r.text for r in pii.redact(rare, trees).collect())
+    assert not any("[" in r.text for r in pii.redact(plain.limit(50), trees).collect())
+    with pytest.warns(UserWarning, match="no candidate has a strict format"):
+        assert pii.fit(plain.limit(100)) is None
+
+
+def test_pii_span_stays_if_only_a_dropped_one_overlaps(spark):
+    trees = pii.Trees(((1.0, ("generator", 0.5, (3.0,), ("generator", 1.5, (1.0,), (2.0,)))),), 0.0)
+    text = "password=abcdef1@localhost/AAAABBBB1234"
+    assert [r.spans for r in pii.digests(docs(spark, [text]), trees).collect()] == ["secret:0:16,token:27:39"]
+
+
 # ---- html
 
 

@@ -3,17 +3,20 @@
 Spans come from splitting a text at a pattern: the pieces between the matches and the matches themselves give every
 position by running totals. Base kinds (email, ip, card, phone) are exact. Beside them generators of high recall
 propose spans that may overlap (assigned secrets, long mixed tokens, loose addresses, grouped digits). Gradient-boosted trees score each by the
-span's format and what stands before and after it. They are fitted on a sample of about `train_docs` documents,
-whatever the size of the table (chosen by their texts' hash), against strict formats as weak labels; the threshold is the lowest at which the scores reach `precision`
-on the other half of the sample. The trees are then compiled into one expression. Where two chosen spans overlap, the
-one with the higher score stays (ties: the earlier, then the longer); one that overlaps a base span adds nothing.
+span's format and what stands before and after it. They are fitted on about `per_label` candidates of
+each weak label (strict formats or not; chosen by hash from one half of all candidates), whatever the size of the table; the threshold is the
+lowest at which the scores reach `precision` on all candidates of the other half. Where a half lacks a label, all candidates serve both ends.
+The trees are then compiled into one expression. Chosen spans are taken by falling score (ties: the earlier, then the
+longer); one that overlaps a span taken before it is left out; one that overlaps a base span adds nothing.
 
 Defined results: a null text counts as empty (no spans); spans are of code points, end exclusive; repeated rows give
-equal results; an empty table, or a sample without both labels, adds no spans; further columns pass through.
+equal results; a table without any candidate of a strict format adds no spans (with a warning, unless it has no
+candidates), one with nothing else adds every candidate; further columns pass through.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -165,24 +168,38 @@ def candidates(steps: Steps) -> Steps:
     return steps.add(cand2=F.filter("cand", apart)).drop("cand")
 
 
-def fit(df: DataFrame, text: str = "text", train_docs: int = 4000, precision: float = 0.98, rounds: int = 12, depth: int = 3) -> Trees | None:
-    """Trees and threshold from a sample of about train_docs documents with a digit or an at sign: those whose hash falls below a share."""
-    raw = F.col(f"`{text}`").cast("string")
-    some = df.select(raw.alias("text")).where(raw.rlike("[0-9@]"))
-    share = train_docs / max(1, some.count())
-    # only the sample's texts are shuffled; a text that repeats is one
-    sample = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
+#: Scores are counted in steps of 1 / STEPS.
+STEPS = 1024
+
+
+def fit(df: DataFrame, text: str = "text", per_label: int = 4000, precision: float = 0.98, rounds: int = 12, depth: int = 3) -> Trees | None:
+    """Trees from about per_label candidates of each weak label, and the threshold from the scores of all held-out candidates of df."""
     # the outer form: a plain explode filters on the array's size, and that filter, with every step repeated in it, would
     # be pushed down to all documents
-    rows = candidates(base_spans(Steps(written(sample, "pii-texts"), "text"))).df.select("t", F.explode_outer("cand2").alias("c"))
+    rows = candidates(base_spans(Steps(df.select(F.col(f"`{text}`").alias("text")), "text"))).df.select("t", F.explode_outer("cand2").alias("c"))
     rows = rows.where("c is not null").select("c.*", F.xxhash64("t", "c.s", "c.e").alias("key"))
-    table = written(rows.select(*FEATURES, F.col("m").rlike(STRICT).cast("double").alias("label"), "key", (F.pmod("key", F.lit(2)) == 0).alias("teach")), "pii-sample")
-    table = table.orderBy("key", *FEATURES).coalesce(1)
-    seen = {(r["teach"], r["label"]) for r in table.select("teach", "label").distinct().collect()}
-    if len(seen) < 4:
+    table = written(rows.select(*FEATURES, F.col("m").rlike(STRICT).cast("double").alias("label"), "key", (F.pmod("key", F.lit(2)) == 0).alias("teach")), "pii-candidates")
+    # a text that repeats is one
+    table = written(table.distinct(), "pii-distinct")
+    seen = {(r["teach"], r["label"]): r["count"] for r in table.groupBy("teach", "label").count().collect()}
+    labels = {label for _, label in seen}
+    if 1.0 not in labels:
+        if labels:
+            warnings.warn("no candidate has a strict format: no spans are added to the base kinds", stacklevel=2)
         return None
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7).fit(ready.where("teach"))
+    if 0.0 not in labels:
+        return Trees((), 0.0)  # every candidate has a strict format
+    if len(seen) < 4:  # so few of a label that one half has none: all candidates teach and are held
+        teach, held = table, table
+        counts = {label: sum(n for (_, k), n in seen.items() if k == label) for label in labels}
+    else:
+        teach, held = table.where("teach"), table.where("not teach")
+        counts = {label: seen[True, label] for label in labels}
+    place = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
+    most = F.when(F.col("label") == 1, F.lit(int(min(1.0, per_label / counts[1.0]) * (1 << 30)))).otherwise(F.lit(int(min(1.0, per_label / counts[0.0]) * (1 << 30))))
+    sample = teach.where(place < most).orderBy("key", *FEATURES).coalesce(1)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7).fit(ready)
 
     def node(n) -> tuple:
         if n.subtreeDepth() == 0:
@@ -190,15 +207,18 @@ def fit(df: DataFrame, text: str = "text", train_docs: int = 4000, precision: fl
         return (FEATURES[n.split().featureIndex()], n.split().threshold(), node(n.leftChild()), node(n.rightChild()))
 
     trees = tuple((w, node(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True))
-    held = table.where(~F.col("teach")).select(Trees(trees, 0.0).score(F.col).alias("s"), "label")
-    at = held.groupBy("s").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # one row for each leaf combination of a bounded sample
+    scored = held.select(F.floor(Trees(trees, 0.0).score(F.col) * STEPS).alias("s"), "label")
+    at = scored.groupBy("s").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # scores lie within a few units of zero
     good = n = 0.0
     threshold = None
     for r in at:
         good, n = good + r["good"], n + r["n"]
         if good / n >= precision:
-            threshold = r["s"]
-    return None if threshold is None else Trees(trees, threshold - 1e-9)
+            threshold = r["s"] / STEPS
+    if threshold is None:
+        warnings.warn(f"no score reaches a precision of {precision}: no spans are added to the base kinds", stacklevel=2)
+        return None
+    return Trees(trees, threshold)
 
 
 def find(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
@@ -213,9 +233,10 @@ def find(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
         candidates(steps)
         scored = F.transform("cand2", lambda c: F.struct(trees.score(lambda n: c[n]).alias("p"), (-c["s"]).alias("ns"), c["e"].alias("e"), c["generator"].alias("g")))
         steps.add(scored=scored).add(chosen=F.sort_array(F.filter("scored", lambda c: c["p"] >= trees.threshold), asc=False)).drop("scored", "cand2")
-        # in falling order of score; a span stays unless one before it overlaps
+        # in falling order of score; a span stays unless one that stayed before it overlaps
         over = lambda x, y: (-x["ns"] < y["e"]) & (-y["ns"] < x["e"])
-        steps.add(single=F.filter("chosen", lambda x, i: ~F.exists(F.slice("chosen", 1, i), lambda y: over(x, y)))).drop("chosen")
+        none_yet = F.filter("chosen", lambda x: F.lit(False))
+        steps.add(single=F.aggregate("chosen", none_yet, lambda kept, x: F.when(F.exists(kept, lambda y: over(x, y)), kept).otherwise(F.concat(kept, F.array(x))))).drop("chosen")
         more = F.transform("single", lambda x: F.struct((-x["ns"]).alias("s"), x["e"].alias("e"), (x["g"].cast("int") + 4).alias("k")))
         steps.add(more=F.sort_array(more)).drop("single")
         steps.add(_pii=F.concat(F.transform("base", as_span), F.coalesce(F.transform("more", as_span), none)))
