@@ -64,13 +64,38 @@ def _spans(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.nda
     return (total[ends] - total[starts]) * _powers(_inverse(base), len(values) + 1)[starts]
 
 
+#: Bytes are hashed in pieces of so many, so that the work arrays (8 bytes for each byte) stay small.
+CHUNK = 1 << 17
+_UP, _DOWN = _powers(_STEP_BYTE, CHUNK), _powers(_inverse(_STEP_BYTE), CHUNK)
+
+
+def _byte_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes, modulo 2^64, of the bytes flat[start:end] for each pair (both ascending)."""
+    before = np.zeros((2, len(starts)), np.uint64)
+    carry, scale = np.uint64(0), np.uint64(1)
+    step = np.uint64(pow(int(_STEP_BYTE), CHUNK, 1 << 64))
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(flat), CHUNK):
+            part = _BYTE[flat[lo : lo + CHUNK]]
+            part *= _UP[: len(part)]
+            total = np.cumsum(part, dtype=np.uint64)
+            total *= scale
+            total += carry
+            for k, places in enumerate((starts, ends)):
+                i, j = np.searchsorted(places, [lo + 1, lo + len(part) + 1])
+                before[k, i:j] = total[places[i:j] - lo - 1]
+            carry, scale = total[-1], scale * step
+        lift = _powers(np.uint64(pow(int(_inverse(_STEP_BYTE)), CHUNK, 1 << 64)), len(flat) // CHUNK + 1)
+        return (before[1] - before[0]) * _DOWN[starts & (CHUNK - 1)] * lift[starts // CHUNK]
+
+
 class Words:
     """The words of a block of texts as 64-bit hashes, without moving any of their bytes."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.texts = texts
         flat, self.starts, self.ends, self.first = byte_words(texts)
-        self.hashes = _mixed(_spans(_BYTE[flat], _STEP_BYTE, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64) * _SEED)
+        self.hashes = _mixed(_byte_hashes(flat, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64) * _SEED)
         self.counts = np.diff(self.first)
 
     def starts_of(self, size: int) -> np.ndarray:
