@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import neardup, packing, pii, quality, substring
+from tidemark.llm import packing, pii, quality, simhash, substring
 from tidemark.llm.common import new_path
 from tidemark.llm.queries import table, tokenizer_file
 
@@ -37,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS).withColumn("row_key", row_key())
-    groups = neardup.near_duplicates(rows)
+    groups = simhash.near_texts(rows)
     ids = rows.select("row_key", "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = ids.join(groups.distinct(), "row_key").groupBy("group").agg(F.min(rank).alias("r")).select("r.row_key")
@@ -62,7 +62,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-dedup", near_dedup_stage),
+    ("simhash near-dedup", near_dedup_stage),
     ("substring dedup", substring_stage),
     ("personal data", pii_stage),
     ("packing", packing_stage),
