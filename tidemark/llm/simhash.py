@@ -36,6 +36,8 @@ SHINGLE = 4
 RADIUS = 4
 TILE = 8192
 GROUP = 4
+#: A tile that holds shingle sets, 8 bytes each, has about so many.
+TILE_SHINGLES = 1 << 17
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -170,6 +172,7 @@ class Tile:
         self.fp = np.frombuffer(row["fps"], np.uint64).reshape(near.width, -1)
         self.counts = np.frombuffer(row["counts"], np.int32).reshape(-1, near.columns)
         self.roots = np.frombuffer(row["roots"], np.int64)
+        self.shingles, self.sizes = np.frombuffer(row["shingles"], np.int64), np.frombuffer(row["sizes"], np.int64)
         self.low, self.high = self.counts.min(axis=0), self.counts.max(axis=0)
 
     def gap_allows(self, low: np.ndarray, high: np.ndarray, near: Near) -> bool:
@@ -213,56 +216,91 @@ def near_pairs(a: Tile, b: Tile, near: Near, blocks: Iterator[int] | None = None
             yield lo, i[ok], j[ok], d[ok]
 
 
-def linked(rows_of_a: list[dict], rows_of_b: list[dict], near: Near, every: bool) -> np.ndarray:
-    """Links (u, v) between two groups of tiles (of one, if they are the same): a spanning forest of all pairs near enough, or, with `every`, all such pairs of different roots."""
+def laid_out(rows_of_a: list[dict], rows_of_b: list[dict], near: Near) -> tuple[list[tuple[Tile, Tile]], list[Tile], int]:
+    """The pairs of tiles that may hold near rows, each once; all tiles; how many rows they have."""
     at, tiles = 0, {}
     for r in [*rows_of_a, *rows_of_b]:
         if r["tile"] not in tiles:
             tiles[r["tile"]] = Tile(r, near, at)
             at += len(tiles[r["tile"]].nodes)
-    label = np.arange(at)
-    found: list[np.ndarray] = []
-    again: list[tuple[Tile, Tile, list[int]]] = []
+    pairs = [(tiles[a], tiles[b]) for a in sorted({r["tile"] for r in rows_of_a}) for b in sorted({r["tile"] for r in rows_of_b}) if a <= b]
+    return [(a, b) for a, b in pairs if a.gap_allows(b.low, b.high, near)], list(tiles.values()), at
+
+
+class Forest:
+    """Links between rows of different trees; each joins its two trees."""
+
+    def __init__(self, label: np.ndarray) -> None:
+        self.label, self.links = label, [np.zeros((0, 2), np.int64)]
+
+    def join(self, a: Tile, r: int, b: Tile, js: np.ndarray) -> None:
+        """Links row r of a with those of the rows js of b that are in other trees, one of each."""
+        own = self.label[a.at + r]
+        other, first = np.unique(self.label[b.at + js], return_index=True)
+        use = other != own
+        if use.any():
+            self.links.append(np.stack([np.full(use.sum(), a.nodes[r]), b.nodes[js[first[use]]]], axis=1))
+            self.label[np.isin(self.label, other[use])] = own
 
-    def join(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray) -> None:
-        for r in np.unique(i).tolist():
-            js = j[i == r]
-            own, labels = label[a.at + r], label[b.at + js]
-            other, first = np.unique(labels, return_index=True)
-            use = other != own
-            if use.any():
-                found.append(np.stack([np.full(use.sum(), a.nodes[r]), b.nodes[js[first[use]]]], axis=1))
-                label[np.isin(label, other[use])] = own
-
-    for a in sorted({r["tile"] for r in rows_of_a}):
-        for b in sorted({r["tile"] for r in rows_of_b}):
-            if a > b or not tiles[a].gap_allows(tiles[b].low, tiles[b].high, near):
-                continue
-            left, right = tiles[a], tiles[b]
-            later = []
-            for lo, i, j, d in near_pairs(left, right, near):
-                if every:
-                    apart = left.roots[i] != right.roots[j]
-                    found.append(np.stack([left.nodes[i[apart]], right.nodes[j[apart]]], axis=1))
+    def apart(self, a: Tile, i: np.ndarray, b: Tile, j: np.ndarray) -> np.ndarray:
+        return self.label[a.at + i] != self.label[b.at + j]
+
+
+def forest_links(rows_of_a: list[dict], rows_of_b: list[dict], near: Near) -> np.ndarray:
+    """A spanning forest (u, v) of all pairs near enough between two groups of tiles (of one, if they are the same)."""
+    pairs, _, n = laid_out(rows_of_a, rows_of_b, near)
+    forest = Forest(np.arange(n))
+    again: list[tuple[Tile, Tile, list[int]]] = []
+    for a, b in pairs:
+        later = []
+        for lo, i, j, d in near_pairs(a, b, near):
+            sure = d <= near.sure
+            for r in np.unique(i[sure]).tolist():
+                forest.join(a, r, b, j[sure & (i == r)])
+            if not sure.all():
+                later.append(lo)
+        if later:
+            again.append((a, b, later))
+    for a, b, later in again:
+        for _, i, j, _ in near_pairs(a, b, near, iter(later)):
+            apart = forest.apart(a, i, b, j)
+            for r in np.unique(i[apart]).tolist():
+                forest.join(a, r, b, j[apart & (i == r)])
+    return np.concatenate(forest.links)
+
+
+def verified_links(rows_of_a: list[dict], rows_of_b: list[dict], near: Near) -> np.ndarray:
+    """A forest (u, v) over the rows' roots: every candidate pair of different roots is verified by its shingle sets, unless links found before already join them."""
+    pairs, tiles, _ = laid_out(rows_of_a, rows_of_b, near)
+    forest = Forest(np.unique(np.concatenate([t.roots for t in tiles]), return_inverse=True)[1])
+    distinct, codes = np.unique(np.concatenate([t.shingles for t in tiles]), return_inverse=True)
+    sizes = np.concatenate([t.sizes for t in tiles])
+    ends = np.cumsum(sizes)
+    mine = np.zeros(len(distinct), bool)
+    for a, b in pairs:
+        for _, i, j, _ in near_pairs(a, b, near):
+            apart = forest.apart(a, i, b, j)
+            for r in np.unique(i[apart]).tolist():
+                js = j[apart & (i == r)]
+                js = js[forest.label[b.at + js] != forest.label[a.at + r]]
+                js = js[sizes[b.at + js] > 0]
+                if not len(js) or not sizes[a.at + r]:
                     continue
-                sure = d <= near.sure
-                join(left, right, i[sure], j[sure])
-                if not sure.all():
-                    later.append(lo)
-            if later:
-                again.append((left, right, later))
-    for left, right, later in again:
-        for _, i, j, _ in near_pairs(left, right, near, iter(later)):
-            apart = label[left.at + i] != label[right.at + j]
-            join(left, right, i[apart], j[apart])
-    return np.concatenate([np.zeros((0, 2), np.int64), *found])
-
-
-def tile_links(rows: DataFrame, total: int, near: Near, every: bool = False, tile: int = TILE) -> DataFrame:
-    """Links (u, v) of the rows (node, counts, fp as binary, root): see `linked`. total: how many rows there are, about."""
-    n_tiles = parts_for(total, tile)
+                own = codes[ends[a.at + r] - sizes[a.at + r] : ends[a.at + r]]
+                mine[own] = True
+                common = np.array([np.count_nonzero(mine[codes[ends[x] - sizes[x] : ends[x]]]) for x in (b.at + js).tolist()])
+                mine[own] = False
+                forest.join(a, r, b, js[common * (ENOUGH[0] + ENOUGH[1]) >= (len(own) + sizes[b.at + js]) * ENOUGH[0]])
+    return np.concatenate(forest.links)
+
+
+def tile_links(rows: DataFrame, n_tiles: int, near: Near) -> DataFrame:
+    """Links (u, v) of the rows (node, counts, fp as binary): `forest_links`; with root and shingles (distinct hashes), too: `verified_links`."""
+    with_sets = "shingles" in rows.columns
+    if not with_sets:
+        rows = rows.withColumns({"root": F.col("node"), "shingles": F.array().cast("array<long>")})
     keys = [F.get("counts", F.lit(i)) for i in range(near.columns)]
-    ordered = rows.select("node", "counts", "fp", "root").repartitionByRange(n_tiles, *keys, "node")
+    ordered = rows.select("node", "counts", "fp", "root", "shingles").repartitionByRange(n_tiles, *keys, "node")
 
     def as_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -274,10 +312,15 @@ def tile_links(rows: DataFrame, total: int, near: Near, every: bool = False, til
             prints = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(t.num_rows, -1)[order]
             number = TaskContext.get().partitionId()
             low, high = (pa.array([x.tolist()], pa.list_(pa.int32())) for x in (counts.min(axis=0), counts.max(axis=0)))
-            data = [np.ascontiguousarray(x).tobytes() for x in (t["node"].to_numpy()[order], t["root"].to_numpy()[order], counts, prints.T)]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([number // GROUP]), low, high, *[pa.array([x], pa.binary()) for x in data]], names=["tile", "grp", "low", "high", "nodes", "roots", "counts", "fps"])
+            sets = t["shingles"].combine_chunks().take(pa.array(order))
+            sizes = np.diff(sets.offsets.to_numpy())
+            data = (t["node"].to_numpy()[order], t["root"].to_numpy()[order], counts, prints.T, sets.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64))
+            binary = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([number // GROUP]), low, high, *binary], names=["tile", "grp", "low", "high", *names[1:]])
 
-    tiles = written(ordered.mapInArrow(as_tile, "tile long, grp long, low array<int>, high array<int>, nodes binary, roots binary, counts binary, fps binary"), "simhash-tiles")
+    names = ["tile", "nodes", "roots", "counts", "fps", "shingles", "sizes"]
+
+    tiles = written(ordered.mapInArrow(as_tile, f"tile long, grp long, low array<int>, high array<int>, {', '.join(f'{n} binary' for n in names[1:])}"), "simhash-tiles")
     # tiles meet where their first counts' bands are equal or next to each other: an equi-join
     wide = near.bounds[0][2] + 1
     bands = lambda more: F.explode(F.sequence(F.floor(F.get("low", F.lit(0)) / wide) - more, F.floor(F.get("high", F.lit(0)) / wide) + more))
@@ -289,7 +332,6 @@ def tile_links(rows: DataFrame, total: int, near: Near, every: bool = False, til
         gap = F.aggregate(F.sequence(F.lit(a), F.lit(b - 1)), F.lit(0), lambda s, k: s + F.greatest(F.lit(0), F.get("la", k) - F.get("hb", k), F.get("lb", k) - F.get("ha", k)))
         meets = meets & (gap <= most)
     work = written(left.join(right, "band").where(meets).select("ga", "gb").distinct(), "simhash-work")
-    names = ["tile", "nodes", "roots", "counts", "fps"]
 
     def side(mine: str, tag: str) -> DataFrame:
         """The tiles of each pair's group `mine`; names of their own, so that Spark can tell the sides apart."""
@@ -298,7 +340,7 @@ def tile_links(rows: DataFrame, total: int, near: Near, every: bool = False, til
 
     def compare(of_a: pa.Table, of_b: pa.Table) -> pa.Table:
         rows = [[dict(zip(names, r, strict=True)) for r in zip(*[t[f"{n}{tag}"].to_pylist() for n in names], strict=True)] for t, tag in ((of_a, "1"), (of_b, "2"))]
-        links = linked(*rows, near, every)
+        links = (verified_links if with_sets else forest_links)(*rows, near)
         return pa.table({"u": pa.array(links[:, 0]), "v": pa.array(links[:, 1])})
 
     return side("ga", "1").groupBy("ga1", "gb1").cogroup(side("gb", "2").groupBy("ga2", "gb2")).applyInArrow(compare, "u long, v long")
@@ -352,7 +394,7 @@ def linked_fingerprints(distinct: DataFrame, total: int, radius: int = RADIUS, t
     """Links (u, v) between distinct 64-bit fingerprints (a column `fp`) at most `radius` bits apart, enough of them to connect all that are linked."""
     bits = F.array(*[F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) for k in range(4)])
     raw = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # only differing bits are counted, so the order of bytes is free
-    return tile_links(distinct.select(F.col("fp").alias("node"), bits.alias("counts"), raw.alias("fp"), F.col("fp").alias("root")), total, by_radius(radius), tile=tile)
+    return tile_links(distinct.select(F.col("fp").alias("node"), bits.alias("counts"), raw.alias("fp")), parts_for(total, tile), by_radius(radius))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -397,32 +439,32 @@ def near_texts(df: DataFrame, row_key: str = "row_key", text: str = "text", tile
     Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, verified by the whole sets.
     Candidates come from the tiled comparison of 256-bit fingerprints (`FOUR_FIFTHS`). A spanning forest of the candidates
     is verified first. Where all of a tree's links hold, its texts are one group and no further pair is looked at; the
-    texts of the other trees are compared again, and every candidate pair between two of their groups is verified.
+    texts of the other trees are compared again in tiles that hold their shingle sets: every candidate pair between two of
+    their groups is verified in its task, and again only a forest is emitted.
 
     Defined results: A-Z are lowered; a text of less than five words is one shingle; texts of equal words are one group
     (so are null, empty and blank texts); texts without anything near are their own group.
     """
     drawn = written(sketches(df, row_key, text), "near-sketches")
     distinct = written(drawn.groupBy("node").agg(F.min_by(F.struct("counts", "fp", "row_key"), "row_key").alias("r")).select("node", "r.*"), "near-distinct")
-    total = distinct.count()
-    forest = written(tile_links(distinct.select("node", "counts", "fp", F.col("node").alias("root")), total, FOUR_FIFTHS, tile=tile), "near-forest")
+    forest = written(tile_links(distinct.select("node", "counts", "fp"), parts_for(distinct.count(), tile), FOUR_FIFTHS), "near-forest")
     asked = forest.select(F.col("u").alias("node")).union(forest.select("v")).distinct().join(distinct.select("node", "row_key"), "node")
     texts = df.select(F.col(f"`{row_key}`").cast("long").alias("row_key"), F.col(f"`{text}`").cast("string").alias("text")).join(asked, "row_key")
     sets = written(shingles_of(texts).dropDuplicates(["node"]), "near-sets")
     held = written(verified(forest, sets), "near-held")
     roots = written(components(held), "near-roots")
-
-    trees = written(components(forest), "near-trees")
-    broken = forest.join(held, ["u", "v"], "left_anti").select(F.col("u").alias("node")).join(trees, "node").select("root").distinct()
-    open_ = trees.join(broken, "root", "left_semi").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(distinct.select("node", "counts", "fp"), "node")
-    open_ = written(open_, "near-open")
-    n_open = open_.count()
+    refuted = written(forest.join(held, ["u", "v"], "left_anti"), "near-refuted")
     named = roots
-    if n_open:
-        across = written(tile_links(open_, n_open, FOUR_FIFTHS, every=True, tile=tile), "near-across")
-        found = verified(across.join(forest, ["u", "v"], "left_anti"), sets)
+    if not refuted.isEmpty():
+        trees = written(components(forest), "near-trees")
+        broken = refuted.select(F.col("u").alias("node")).join(trees, "node").select("root").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        in_broken = trees.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(broken, ["root", "salt"], "left_semi").select("node")
+        rooted = in_broken.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        open_ = written(rooted.join(distinct.select("node", "counts", "fp"), "node").join(sets, "node"), "near-open")
+        held_shingles = open_.agg(F.sum(F.size("shingles"))).first()[0] or 0
+        links = tile_links(open_, parts_for(held_shingles, TILE_SHINGLES), FOUR_FIFTHS)
         root_of = open_.select("node", "root")
-        links = found.join(root_of.toDF("u", "ru"), "u").join(root_of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        links = links.join(root_of.toDF("u", "ru"), "u").join(root_of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         joined = written(components(links).toDF("root", "top"), "near-joined")
         lone = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
         named = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(lone)
