@@ -24,16 +24,18 @@ from tidemark.llm.common import parts_for
 from tidemark.llm.tokens import encoder
 
 END_ID = 2
-FILE_BYTES = 16 << 20
+#: Text for a file, more once there would be MOST_FILES of them. A file has several stripes.
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
+STRIPE_BYTES = 2 << 20
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 ROWS = 500
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, stripe_bytes: int = 16 << 20, file_bytes: int = FILE_BYTES) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Encode every text, append end_id and write the ids in ascending doc_id order as ORC files."""
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(parts_for(total, file_bytes), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts_for(total, max(file_bytes, total // MOST_FILES)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, part, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
@@ -49,7 +51,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                 before += int(cut[-1])
 
     out = ordered.mapInArrow(encode, SCHEMA)
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes), "orc.compress": "ZSTD"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes), "orc.rows.between.memory.checks": "100", "orc.compress": "NONE"}
     out.write.options(**options).orc(path)
 
 
