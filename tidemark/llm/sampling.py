@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 SAMPLES = 4
 #: A worker keeps the lattices of the first words it meets, up to so many edges of about 50 bytes, for so much text.
-KEPT_EDGES = 3_000_000
+KEPT_EDGES = 1_500_000
 FORGET_CHARS = 1 << 27
 END = -1
 #: Letters of the dense table of next nodes, and one for all others.
@@ -95,7 +95,9 @@ class Vocabulary:
         order = np.argsort(begin << 21 | char)
         self.keys, self.next = (begin << 21 | char)[order], then[order].astype(np.int32)
         self.weight = -sharpness * np.log(np.arange(n) + 2.0)
-        self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, n)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
     def follow(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next node of an inner one, or -1."""
@@ -112,9 +114,24 @@ class Vocabulary:
         """The byte pieces of a character that is no piece."""
         return [int(self.bytes[b]) for b in chr(char).encode("utf-8", "surrogatepass")]
 
-    def decoded(self, ids: list[int]) -> bytes:
-        """The UTF-8 text of a segmentation."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:]
+    def with_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The ids with characters of several bytes, numbered below zero, as byte pieces."""
+        spelt = {x: self.spelt(-1 - x) for x in np.unique(ids[ids < 0]).tolist()}
+        n = np.ones(len(ids), np.int64)
+        for x, own in spelt.items():
+            n[ids == x] = len(own)
+        out, at = np.repeat(ids, n), np.cumsum(n) - n
+        for x, own in spelt.items():
+            for k, i in enumerate(own):
+                out[at[ids == x] + k] = i
+        return out
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of the pieces, one after the other, and how many each has."""
+        n = self.raw_size[ids]
+        source = np.repeat(self.raw_at[ids] - (np.cumsum(n) - n), n)
+        source += np.arange(len(source))
+        return self.raw[source], n
 
 
 class Lattice:
@@ -151,7 +168,7 @@ class Lattice:
             found.append((at[full], piece[full]))
             on = np.flatnonzero(node < v.inner)
             at, node = at[on], node[on]
-        # a character that is no piece is its bytes, as one edge; these are numbered below zero
+        # a character that is no piece is its bytes, as one edge; those of several bytes are numbered below zero
         count = np.zeros(n, np.int32)
         if found:
             count[found[0][0]] = 1
@@ -169,7 +186,7 @@ class Lattice:
             return np.where(left[begin] == k, n, after[self.char[begin] + k])
 
         spelt_weight = {-1 - c: float(v.weight[v.spelt(c)].sum()) for c in np.unique(code).tolist()}
-        self.to[free[bare]], self.piece[free[bare]] = behind(bare, 1), -1 - code
+        self.to[free[bare]], self.piece[free[bare]] = behind(bare, 1), np.where(code < 128, v.bytes[np.minimum(code, 127)], -1 - code)
         weight[free[bare]] = [spelt_weight[c] for c in (-1 - code).tolist()]
         free[bare] += 1
         for k, (begin, ids) in enumerate(found):
@@ -264,7 +281,7 @@ class Lattices:
     def put(self, at: int, **values: np.ndarray) -> None:
         for name, x in values.items():
             if len(self.room[name]) < at + len(x):
-                more = np.zeros(2 * (at + len(x)), self.room[name].dtype)
+                more = np.zeros((at + len(x)) * 5 // 4, self.room[name].dtype)
                 more[:at] = self.room[name][:at]
                 self.room[name] = more
             self.room[name][at : at + len(x)] = x
@@ -412,6 +429,7 @@ class Search:
                 sums.append(mass)
         u = uniform(self.salt ^ 0x5555, 0)
         self.edge = self.options[min(bisect_right(sums, u * mass), len(sums) - 1)]
+        self.edge_array = np.array([self.edge], np.int32)
         start = int(lattice.to[self.edge])
         self.skip = int(start == END)  # the edge ends its word
         return self.n_words - word - self.skip, start
@@ -419,7 +437,7 @@ class Search:
     def take(self, rest: np.ndarray, log_p: float) -> None:
         """Takes the cut that the walk ended."""
         value, path, kept, *_ = self.now
-        self.whole = np.concatenate([path[:kept], np.array([self.edge], path.dtype), rest])
+        self.whole = np.concatenate([path[:kept], self.edge_array, rest])
         self.out.append((self.whole, log_p, value))
         self.want = self.k + 1 - len(self.out)
         del self.sets[self.want :]
@@ -568,24 +586,29 @@ def segmentations(df: DataFrame, model: str, key: str = "doc_id", text: str = "t
         cut = np.concatenate([[0], np.cumsum([len(s) for s in split])])
         rows: list[tuple] = []
         all_ids: list[np.ndarray] = []
+        given: list[str] = []
         for row_key, text, found in zip(keys, texts, search_all(lattices, codes, cut, [0 if x is None else x for x in keys], seed, k), strict=True):
             kappa = found.kappa()
             for n, (path, log_p, value) in enumerate(found.out):
                 ids = lattices.piece[path]
                 if len(ids) and ids.min() < 0:
-                    ids = np.array([x for p in ids.tolist() for x in ([p] if p >= 0 else lattices.vocabulary.spelt(-1 - p))], np.int32)
-                ids = ids.astype("<i4", copy=False)
+                    ids = lattices.vocabulary.with_bytes(ids)
                 gap = math.exp(min(log_p - kappa, 700.0)) if kappa > -math.inf else math.inf
                 log_inclusion = math.log(-math.expm1(-gap)) if gap > 1e-8 else log_p - kappa
-                same = lattices.vocabulary.decoded(ids.tolist()) == text.encode("utf-8", "surrogatepass")
-                rows.append((row_key, n + 1, len(ids), log_p, value, log_inclusion, zlib.crc32(ids), same))
-                if with_ids:
-                    all_ids.append(ids)
+                rows.append((row_key, n + 1, len(ids), log_p, value, log_inclusion, zlib.crc32(ids)))
+                all_ids.append(ids)
+                given.append(text)
+        flat = np.concatenate([np.zeros(0, np.int32), *all_ids])
+        at = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])])
+        told, n_bytes = lattices.vocabulary.decoded(flat)
+        ends = np.concatenate([[0], np.cumsum(n_bytes)])[at].tolist()
+        told = told.tobytes()
+        for i, (text, a, b) in enumerate(zip(given, ends[:-1], ends[1:], strict=True)):
+            rows[i] += (told[a + 1 : b] == text.encode("utf-8", "surrogatepass"),)  # without the space put before
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
         columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
         if with_ids:
-            at = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])])
-            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]), pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("row_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
@@ -600,7 +623,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 some = b.slice(lo, 1000)
-                texts = [None if x is None else vocabulary.decoded(x).decode("utf-8", "replace") for x in some.column(some.num_columns - 1).to_pylist()]
+                texts = [None if x is None else vocabulary.decoded(np.array(x, np.int64))[0].tobytes()[1:].decode("utf-8", "replace") for x in some.column(some.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     names = [f"c{i}" for i in range(len(df.columns))]
