@@ -5,14 +5,15 @@ A page is cut into blocks. Blocks in menus, headers, footers, side bars, forms,
 blocks in it are the text and all others are dropped: shared lines there are the author's (licences, quotations).
 On other pages the rest is undecided: pages are sorted by path within each host, each is aligned line by line with
 the page before and the page after it (longest common subsequence of lines, each numbered by its occurrence, so that
-it is a longest increasing subsequence in n log n), and undecided lines shared with either are deleted; if that would
-leave nothing, the page is a copy of its neighbour and keeps its lines.
+it is a longest increasing subsequence in n log n), and undecided lines shared with either are deleted, unless they are
+more than half of the page's undecided text: then the neighbour is a copy, and what they share is the text.
 
 Pages are dealt by ranges of (host, path), so a host with a third of all pages is cut like any other. The first and
-the last page of each range meet their neighbours of the next range in groups of two.
+the last page of each range meet their neighbours of the next range that has pages in groups of two; an only page is both.
 
 Defined results: null or empty html gives an empty text; a null url has an empty host and path; pages that repeat a
-url are neighbours in order of their id; an empty table gives an empty one; further columns are not read.
+url are neighbours in order of their id (null first; rows that repeat both, in any order, have equal texts if decided);
+pages of any length are read whole; an empty table gives an empty one; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts_for
+from tidemark.llm.common import parts_for, written
 
-RANGE_BYTES = 8 << 20
+#: Pages for a range, more once there would be MOST_RANGES of them.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 100_000
 #: HTML elements whose text is not shown or not the author's, and those that end a block of text.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "title")
 DROPPED = frozenset("nav header footer aside form button select menu dialog head".split())
@@ -204,10 +206,22 @@ def _finished(row: dict, shared: set[int]) -> tuple[int, str | None, str]:
     return row["page_id"], row["url"], "\n".join(lines)
 
 
-def _met(a: dict | None, b: dict | None) -> set[int]:
+def _met(a: dict | None, b: dict | None) -> tuple[set[int], set[int]]:
+    """The lines of each page that its alignment with the other tells to be the site's.
+
+    A page that shares more than half of its undecided characters with its neighbour is a copy, or nearly: what they share
+    is the text then, and tells nothing.
+    """
     if a is None or b is None or a["host"] != b["host"] or a["decided"] and b["decided"]:
-        return set()
-    return common_lines(a["all_keys"], b["all_keys"])
+        return set(), set()
+    common = common_lines(a["all_keys"], b["all_keys"])
+
+    def told(row: dict) -> set[int]:
+        sizes = [len(x) for x in row["lines"]]
+        shared = sum(n for n, k in zip(sizes, row["line_keys"], strict=True) if k in common) if not row["decided"] else 0
+        return common if shared * 2 <= sum(sizes) else set()
+
+    return told(a), told(b)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,7 +232,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, url and text for each row."""
     total = df.select(F.sum(F.octet_length(F.col(f"`{page}`").cast("string")))).first()[0] or 0
-    dealt = parsed(df, page_id, url, page).repartitionByRange(parts_for(total, range_bytes), "host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
+    dealt = parsed(df, page_id, url, page).repartitionByRange(parts_for(total, max(range_bytes, total // MOST_RANGES)), "host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -230,9 +244,9 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
         now, first, left = None, True, set()
         for after in rows_of(batches):
             if now is not None:
-                right = _met(now, after)
+                right, next_left = _met(now, after)
                 yield now, left | right, first, False
-                first, left = False, right
+                first, left = False, next_left
             now = after
         if now is not None:
             yield now, left, first, True
@@ -247,21 +261,34 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
                     out = []
         yield _batch(out)
 
-    edge = f"border int, side int, shared array<bigint>, {ROW}"
+    edge = f"part int, slot int, ends boolean, shared array<bigint>, {ROW}"
     names = [c.split()[0] for c in edge.split(", ")]
+    wide, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), wide, pa.int64(), pa.string(), pa.string(), pa.string(), texts, wide, wide, pa.bool_())
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first page of the range (slot 0) and the last one (slot 1, or the first page itself)."""
         part, rows = TaskContext.get().partitionId(), []
         for row, shared, first, last in walked(batches):
             if first or last:
-                rows.append({"border": part if first else part + 1, "side": int(first), "shared": sorted(shared)} | row)
-        wide, texts = pa.list_(pa.int64()), pa.list_(pa.string())
-        kinds = (pa.int32(), pa.int32(), wide, pa.int64(), pa.string(), pa.string(), pa.string(), texts, wide, wide, pa.bool_())
+                rows.append({"part": part, "slot": int(not first), "ends": last, "shared": sorted(shared)} | row)
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["side"])
-        both = _met(*rows) if len(rows) == 2 else set()
-        return pa.Table.from_batches([_batch([_finished(r, both | set(r["shared"])) for r in rows])])
-
-    return dealt.mapInArrow(inner, OUT).union(dealt.mapInArrow(outer, edge).groupBy("border").applyInArrow(meet, OUT))
+        found = _met(*rows) if len(rows) == 2 else (set(), set())
+        columns = [[r["part"] for r in rows], [r["slot"] for r in rows], [sorted(x) for x, _ in zip(found, rows, strict=False)]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), wide), strict=True)], names=["part", "slot", "more"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield _batch([_finished(r, {*r["shared"], *(k for x in r["more"] or [] for k in x)}) for r in rows.to_pylist()])
+
+    # two pages for each range; a range meets the next one that has pages
+    edges = written(dealt.mapInArrow(outer, edge), "html-edges")
+    after = written(edges.select("part").distinct().select("part", F.lead("part").over(Window.orderBy("part")).alias("next")), "html-ranges")
+    lasts = edges.where("ends").join(after, "part").where("next is not null").select(F.col("part").alias("border"), F.lit(0).alias("side"), *names)
+    firsts = edges.where("slot = 0").join(after.select(F.col("part").alias("border"), F.col("next").alias("part")), "part").select("border", F.lit(1).alias("side"), *names)
+    met = lasts.union(firsts).groupBy("border").applyInArrow(meet, "part int, slot int, more array<bigint>")
+    both = edges.join(met.groupBy("part", "slot").agg(F.collect_list("more").alias("more")), ["part", "slot"], "left")  # a page has two neighbours
+    return dealt.mapInArrow(inner, OUT).union(both.select("shared", "more", *[c.split()[0] for c in ROW.split(", ")]).mapInArrow(finish, OUT))
