@@ -32,6 +32,8 @@ from tidemark.llm.common import written
 from tidemark.llm.html_text import blocks
 
 BUCKETS = 1 << 15
+#: ISO 639 has fewer languages with a two-letter code; a model has 256 KB for each.
+MOST_LANGUAGES = 1024
 DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
@@ -57,7 +59,9 @@ class TextModel:
 def fit_text(df: DataFrame, text: str = "text", label: str = "lang", train_docs: int = 1500) -> TextModel:
     """Naive Bayes from about train_docs rows of each label (all, if there are fewer): those whose text's hash falls below a share."""
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where("text is not null and label is not null")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()}
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:  # before any is left out
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct labels: {label} does not hold languages")
     names = sorted(sizes)
     counts = np.full((BUCKETS, len(names)), 0.5)
     if not names:
@@ -109,7 +113,8 @@ def identify(df: DataFrame, model: TextModel, page_id: str = "page_id", url: str
     e = [F.exp(F.get("score", F.lit(i))) for i in size]
     total = sum(e[1:], e[0])
     last = F.regexp_extract("host", r"\.([a-z]{2,3})$", 1)
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    # under a country's suffix, co, com, org and the like are part of the suffix
+    domain = F.regexp_extract("host", r"([^.]+\.(?:(?:ac|co|com|edu|gob|gov|ne|net|or|org)\.[a-z]{2}|[^.]+))$", 1)
     base = written(scored.select("page_id", "url", "host", F.when(domain == "", F.col("host")).otherwise(domain).alias("domain"), last.alias("suffix"), "declared", "score", *[(x / total).alias(f"p{i}") for i, x in enumerate(e)]), "langid-pages")
     sums = lambda by, tag: base.groupBy(by).agg(*[F.sum(f"p{i}").alias(f"{tag}{i}") for i in size])
     everything = base.agg(*[F.sum(f"p{i}").alias(f"a{i}") for i in size]).first()
