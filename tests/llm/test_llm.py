@@ -541,3 +541,32 @@ def test_near_dedup_finds_similarity_of_four_fifths(spark, real):
     got = sorted(r.doc_id for r in c.near_dedup_stage(spark, df, "").collect())
     assert got == sorted(set(want))
     assert c.near_dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_topk_takes_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(150)]
+    rows += [(200, [1e30, 2.0, -3e25]), (300, [-1e30, 5.0, 0.0]), (301, [3e30, -1e18, 1.0]), (302, [1e12, 1e12, 1e12]), (303, [3e30, -1e18, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [math.floor(1024 * int(x)) if abs(x) > 1e6 else math.floor(1024 * x) for x in v] for i, v in rows}
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, block_rows=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 100, 200, 300):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), j) for j, v in exact.items() if j != q)[:10]
+        assert got[q] == [(j, max(-(2**63 - 1), min(2**63 - 1, -s))) for s, j in best]
+
+
+def test_html_ranges_of_one_page_meet_their_neighbours(spark):
+    pages = [(i, f"http://h.example/a{i:02}.html", f"<body><p>Shared by the site.</p><p>Words of page {i} alone, which are many more.</p></body>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (1 << 20, 300, 60):
+        got = {r.page_id: r.text for r in html_text.extract(df, range_bytes=size).collect()}
+        assert got == {i: f"Words of page {i} alone, which are many more." for i in range(30)}
+
+
+def test_html_copies_but_for_a_line_keep_their_text(spark):
+    text = "".join(f"<p>Line {k} of an article that two pages have.</p>" for k in range(6))
+    pages = [(1, "http://h.example/a", f"<body>{text}</body>"), (2, "http://h.example/b", f"<body>{text}<p>And one more.</p></body>")]
+    got = {r.page_id: r.text.count("\n") for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: 5, 2: 6}
