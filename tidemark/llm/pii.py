@@ -9,8 +9,8 @@ lowest at which the scores reach `precision` on all candidates of the other half
 The trees are then compiled into one expression. Chosen spans are taken by falling score (ties: the earlier, then the
 longer); one that overlaps a span taken before it is left out; one that overlaps a base span adds nothing.
 
-Defined results: a null text counts as empty (no spans); spans are of code points, end exclusive; repeated rows give
-equal results; a table without any candidate of a strict format adds no spans (with a warning, unless it has no
+Defined results: a null text counts as empty (no spans); texts are searched whole, and work grows with the number of spans, not
+its square; spans are of code points, end exclusive; null ids pass through; repeated rows give equal results (and count once when the trees are taught); a table without any candidate of a strict format adds no spans (with a warning, unless it has no
 candidates), one with nothing else adds every candidate; further columns pass through.
 """
 
@@ -38,7 +38,7 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 GENERATORS = (
     ("secret", r"(?i)(?:pass|pwd|secret|token|key)", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[A-Za-z0-9_+/.-]{6,}+[\"']?"),
     ("token", r"[A-Za-z][0-9]|[0-9][A-Za-z]", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{12,}+"),
-    ("address", r"@|(?i)\Wat\W", r"(?<![^\s<(])[^\s@<(]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@>)]{3,}+"),
+    ("address", r"@|(?i)\Wat\W", r"(?<![^\s<(])[^\s@<(]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@>)]{3,}+"),
     ("digits", r"[0-9][0-9 ./()-]{5,}", r"(?<![0-9A-Za-z])[(]?[0-9](?:[ ./()-]{0,2}[0-9]){6,}+"),
 )
 #: Formats that count as personal data or credentials when the trees are taught.
@@ -78,8 +78,28 @@ def running_totals(lengths: Column, block: int = 256) -> Column:
     return F.transform(lengths, lambda _, i: total(F.slice(sums, 1, (i / block).cast("int"))) + total(F.slice(lengths, (i / block).cast("int") * block + 1, i % block)))
 
 
+BLOCK = 256
+CHUNK = 4096
+
+
+def block_tops(values: Column) -> Column:
+    """The largest of each BLOCK elements of a column of int arrays (that column, not an expression)."""
+    n_blocks = F.ceil(F.size(values) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: F.array_max(F.slice(values, b * BLOCK + 1, BLOCK)))
+
+
+def running_tops(values: Column, tops: Column) -> Column:
+    """The largest of all earlier elements (0 at first), for each element; tops: block_tops(values), as a column. Work grows with n * (BLOCK + n / BLOCK)."""
+    earlier = lambda i: F.greatest(F.array_max(F.slice(tops, 1, (i / BLOCK).cast("int"))), F.array_max(F.slice(values, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
+    return F.when(F.size(tops) > 0, F.transform(values, lambda _, i: F.coalesce(earlier(i), F.lit(0))))
+
+
 class Steps:
-    """A chain of projections that keeps the input's columns under other names, so that nothing clashes."""
+    """A chain of projections that keeps the input's columns under other names, so that nothing clashes.
+
+    Spark merges a projection into the next where its column is used once there. Used once in a lambda, it would be
+    computed anew for each element; such columns are therefore also asked for their size outside of the lambda.
+    """
 
     def __init__(self, df: DataFrame, text: str) -> None:
         self.names, self.kinds = df.columns, df.schema
@@ -98,15 +118,22 @@ class Steps:
         self.df = self.df.select(*self.held, *self.made)
         return self
 
-    def spans(self, name: str, test: Column, pattern: str) -> Steps:
-        """An array of (s, e, m): start, end and text of every match; null where the test of the text fails."""
+    def spans(self, name: str, test: Column, pattern: str, around: bool = False) -> Steps:
+        """An array of (s, e, m): start, end and text of every match; null where the test of the text fails. With `around`, also what stands before (20) and after (2), from the pieces between matches, so that no match counts from the text's start."""
         self.add(_m=F.when(test, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))))
-        self.add(_g=F.when(F.size("_m") > 0, F.transform(F.split("t", pattern, -1), lambda x: F.length(x))))
-        self.add(_l=F.zip_with("_m", F.slice("_g", 1, F.size("_m")), lambda m, g: F.struct(g.alias("g"), F.length(m).alias("n"))))
+        self.add(_p=F.when(F.size("_m") > 0, F.split("t", pattern, -1)))
+        self.add(_l=F.zip_with("_m", F.slice("_p", 1, F.size("_m")), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"))))
         self.add(_n=F.transform("_l", lambda x: x["g"] + x["n"]))
         self.add(_b=F.when(F.col("_n").isNotNull(), running_totals(F.col("_n"))))
-        at = F.transform("_b", lambda b, i: F.struct((b + F.get("_l", i)["g"]).alias("s"), (b + F.get("_n", i)).alias("e"), F.get("_m", i).alias("m")))
-        return self.add(**{name: at}).drop("_m", "_g", "_l", "_n", "_b")
+        near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+        def found(b: Column, i: Column) -> Column:
+            of = [(b + F.get("_l", i)["g"]).alias("s"), (b + F.get("_n", i)).alias("e"), F.get("_m", i).alias("m")]
+            if around:
+                of += [F.right(F.concat(near("_m", i - 1), near("_p", i)), F.lit(20)).alias("before"), F.left(F.concat(near("_p", i + 1), near("_m", i + 1)), F.lit(2)).alias("after")]
+            return F.struct(*of)
+
+        return self.add(**{name: F.transform("_b", found)}).drop("_m", "_p", "_l", "_n", "_b")
 
 
 def luhn(m: Column) -> Column:
@@ -142,14 +169,14 @@ def candidates(steps: Steps) -> Steps:
     """Adds `cand`, an array of spans with their features; those inside a base span are left out."""
     names = []
     for name, test, pattern in GENERATORS:
-        steps.spans(f"c_{name}", F.col("t").rlike(test), pattern)
+        steps.spans(f"c_{name}", F.col("t").rlike(test), pattern, around=True)
         names.append(f"c_{name}")
     count = lambda m, p: F.regexp_count(m, F.lit(p)).cast("double")
     flag = lambda c: c.cast("double")
 
     def described(g: int):
         def of(x: Column) -> Column:
-            m, before, after = x["m"], F.substring(F.col("t"), F.greatest(x["s"] - 19, F.lit(1)), F.least(x["s"], F.lit(20))), F.substring(F.col("t"), x["e"] + 1, F.lit(2))
+            m, before, after = x["m"], x["before"], x["after"]
             return F.struct(
                 x["s"].alias("s"), x["e"].alias("e"), m.alias("m"),
                 F.length(m).cast("double").alias("length"), count(m, "[0-9]").alias("digits"), count(m, "[A-Z]").alias("uppers"), count(m, "[a-z]").alias("lowers"), count(m, "[^A-Za-z0-9]").alias("others"),
@@ -164,8 +191,16 @@ def candidates(steps: Steps) -> Steps:
     kept = [f"d{g}" for g in range(len(names))]
     # null where the test of the whole text fails: only arrays that are there are joined
     steps.add(cand=F.flatten(F.filter(F.array(*kept), lambda a: a.isNotNull()))).drop(*kept)
-    apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return steps.add(cand2=F.filter("cand", apart)).drop("cand")
+    # base spans by start, with the reach of each block of them, so that a candidate is compared with the blocks near it only
+    steps.add(by_start=F.sort_array(F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))))
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("by_start"), F.lit(1)), F.lit(BLOCK)),
+        lambda at: F.struct(at.alias("at"), F.get("by_start", at - 1)["s"].alias("s"), F.array_max(F.transform(F.slice("by_start", at, BLOCK), lambda b: b["e"])).alias("e")),
+    )
+    steps.add(blocks=blocks)
+    meets = lambda x: lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])
+    apart = lambda x: ~F.coalesce(F.exists("blocks", lambda k: meets(x)(k) & F.exists(F.slice("by_start", k["at"], BLOCK), meets(x))), F.lit(False))
+    return steps.add(cand2=F.when(F.size("blocks") > 0, F.filter("cand", apart)).otherwise(F.col("cand"))).drop("cand", "by_start", "blocks")
 
 
 #: Scores are counted in steps of 1 / STEPS.
@@ -222,7 +257,7 @@ def fit(df: DataFrame, text: str = "text", per_label: int = 4000, precision: flo
 
 
 def find(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """df and `_pii`: an array of (kind, s, e), base kinds first in their order, then further spans by start."""
+    """df and `_pii`: an array of (kind, s, e), by kind (base kinds first, then the generators' in their order), then start."""
     steps = base_spans(Steps(df, text))
     kinds = F.array(*[F.lit(k) for k in ("email", "ip", "card", "phone", *[g[0] for g in GENERATORS])])
     as_span = lambda x: F.struct(F.get(kinds, x["k"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
@@ -231,13 +266,19 @@ def find(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
         steps.add(_pii=F.transform("base", as_span))
     else:
         candidates(steps)
-        scored = F.transform("cand2", lambda c: F.struct(trees.score(lambda n: c[n]).alias("p"), (-c["s"]).alias("ns"), c["e"].alias("e"), c["generator"].alias("g")))
-        steps.add(scored=scored).add(chosen=F.sort_array(F.filter("scored", lambda c: c["p"] >= trees.threshold), asc=False)).drop("scored", "cand2")
-        # in falling order of score; a span stays unless one that stayed before it overlaps
+        scored = F.transform("cand2", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), trees.score(lambda n: c[n]).alias("p"), c["generator"].cast("int").alias("g")))
+        steps.add(scored=scored).add(chosen=F.sort_array(F.filter("scored", lambda c: c["p"] >= trees.threshold))).drop("scored", "cand2")
+        # runs of spans that overlap: a run begins where no earlier span reaches
+        steps.add(ends=F.transform("chosen", lambda c: c["e"])).add(tops=block_tops(F.col("ends"))).add(reach=running_tops(F.col("ends"), F.col("tops"))).drop("ends", "tops")
+        steps.add(begins=F.zip_with("chosen", "reach", lambda c, r: c["s"] >= r)).drop("reach")
+        steps.add(firsts=F.filter(F.transform("begins", lambda b, i: F.when(b, i)), lambda i: i.isNotNull())).drop("begins")
+        # in each, by falling score (ties: the earlier, then the longer); a span stays unless one that stayed before it overlaps
+        ranked = lambda run: F.sort_array(F.transform(run, lambda c: F.struct(c["p"].alias("p"), (-c["s"]).alias("ns"), c["e"].alias("e"), c["g"].alias("g"))), asc=False)
         over = lambda x, y: (-x["ns"] < y["e"]) & (-y["ns"] < x["e"])
-        none_yet = F.filter("chosen", lambda x: F.lit(False))
-        steps.add(single=F.aggregate("chosen", none_yet, lambda kept, x: F.when(F.exists(kept, lambda y: over(x, y)), kept).otherwise(F.concat(kept, F.array(x))))).drop("chosen")
-        more = F.transform("single", lambda x: F.struct((-x["ns"]).alias("s"), x["e"].alias("e"), (x["g"].cast("int") + 4).alias("k")))
+        kept = lambda run: F.aggregate(run, F.filter(run, lambda x: F.lit(False)), lambda held, x: F.when(F.exists(held, lambda y: over(x, y)), held).otherwise(F.concat(held, F.array(x))))
+        steps.add(runs=F.transform("firsts", lambda at, j: ranked(F.slice("chosen", at + 1, F.coalesce(F.get("firsts", j + 1), F.size("chosen")) - at)))).drop("chosen", "firsts")
+        steps.add(single=F.flatten(F.transform("runs", lambda run: F.when(F.size(run) == 1, run).otherwise(kept(run))))).drop("runs")
+        more = F.transform("single", lambda x: F.struct((x["g"] + 4).alias("k"), (-x["ns"]).alias("s"), x["e"].alias("e")))
         steps.add(more=F.sort_array(more)).drop("single")
         steps.add(_pii=F.concat(F.transform("base", as_span), F.coalesce(F.transform("more", as_span), none)))
     return steps.df.select(*[F.col(h).alias(c) for h, c in zip(steps.held, steps.names, strict=True)], "_pii")
@@ -250,8 +291,11 @@ def redact(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     pii = steps.held[steps.names.index("_pii")]
     steps.add(sorted=F.sort_array(F.transform(pii, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))))
     # a span that an earlier one reaches over adds no text; the reach is the largest end so far
-    steps.add(reach=F.transform("sorted", lambda x, i: F.coalesce(F.array_max(F.transform(F.slice("sorted", 1, i), lambda y: y["e"])), F.lit(0))))
-    part = lambda x, i: F.when(x["s"] >= F.get("reach", i), F.concat(F.substring("t", F.get("reach", i) + 1, x["s"] - F.get("reach", i)), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+    steps.add(ends=F.transform("sorted", lambda x: x["e"])).add(tops=block_tops(F.col("ends"))).add(reach=running_tops(F.col("ends"), F.col("tops")))
+    # the text in chunks, so that a piece of it is not counted out from the text's start
+    steps.add(chunks=F.when(F.size("sorted") > 0, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    piece = lambda a, n: F.when((n > 0) & (F.size("chunks") > 0), F.substring(F.array_join(F.slice("chunks", (a / CHUNK).cast("int") + 1, (n / CHUNK).cast("int") + 2), ""), a % CHUNK + 1, n)).otherwise("")
+    part = lambda x, i: F.when(x["s"] >= F.get("reach", i), F.concat(piece(F.get("reach", i), x["s"] - F.get("reach", i)), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
     steps.add(parts=F.transform("sorted", part), last=F.coalesce(F.array_max(F.transform("sorted", lambda x: x["e"])), F.lit(0)))
     new = F.when(F.size("sorted") > 0, F.concat(F.array_join("parts", ""), F.substring(F.col("t"), F.col("last") + 1, F.length("t")))).otherwise(F.col("t"))
     steps.add(new=new)
@@ -269,4 +313,4 @@ def digests(df: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: st
 
     counts = [F.size(F.filter("_pii", of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     only = F.filter("_pii", lambda x: x["kind"].isin(*base))
-    return found.select("doc_id", *counts, F.sha2(told(only), 256).alias("base_sha256"), told(F.col("_pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(told(only), 256).alias("base_sha256"), told(F.col("_pii")).alias("spans"), F.lit(trees is not None).alias("trees_used"))
