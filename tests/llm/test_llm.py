@@ -570,3 +570,22 @@ def test_html_copies_but_for_a_line_keep_their_text(spark):
     pages = [(1, "http://h.example/a", f"<body>{text}</body>"), (2, "http://h.example/b", f"<body>{text}<p>And one more.</p></body>")]
     got = {r.page_id: r.text.count("\n") for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: 5, 2: 6}
+
+
+def test_pii_many_spans_in_one_text(spark):
+    def made(n):
+        return " ".join(f"user{i}@mail.example.org password=Zx{i:06}Qw call 555-{i:04}-{i:04} or" for i in range(n))
+
+    d = docs(spark, [made(k) for k in (1, 5, 300)] * 10 + ["nothing here"] * 30)
+    trees = pii.fit(d)
+    assert trees is not None
+    big = docs(spark, [made(2_000)])
+    got = pii.digests(big, trees).first()
+    kinds = [x.split(":") for x in got.spans.split(",")]
+    order = {k: i for i, k in enumerate(("email", "ip", "card", "phone", *[g[0] for g in pii.GENERATORS]))}
+    places = [(order[k], int(a), int(b)) for k, a, b in kinds]
+    assert got.n_email == 2_000 and places == sorted(places)
+    spans = sorted((a, b) for _, a, b in places)
+    assert all(x[1] <= y[0] for x, y in itertools.pairwise(spans))
+    clean = pii.redact(big, trees).first().text
+    assert clean.count("[EMAIL]") == 2_000 and "@" not in clean
