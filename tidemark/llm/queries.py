@@ -63,7 +63,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampling.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    found = sampling.segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), packed=True)
     return found.withColumnRenamed("row_key", "doc_id")
 
 

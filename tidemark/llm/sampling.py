@@ -18,7 +18,8 @@ All random numbers are hashes of (seed, row key, draw number): the same row give
 
 Defined results: a null or empty text has one cut without pieces (log-probability 0, included surely); rows that
 repeat a key and a text give equal samples; a text with fewer than k cuts gives them all; an empty table gives no
-samples; further columns are not read.
+samples; further columns are not read; null keys count as 0 for the random numbers; texts of any length are read whole;
+of cuts with equal perturbed values (a chance of 2^-53) the one found first is taken.
 """
 
 from __future__ import annotations
@@ -558,10 +559,10 @@ _LATTICES: dict[tuple[str, float], Lattices] = {}
 FULL = "row_key long, sample int, n_pieces long, log_p double, perturbed double, log_inclusion double, ids_crc32 long, decodes boolean, ids array<int>"
 
 
-def segmentations(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = 1, sharpness: float = 1.0, with_ids: bool = True) -> DataFrame:
+def segmentations(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = 1, sharpness: float = 1.0, with_ids: bool = True, packed: bool = False) -> DataFrame:
     """row_key, sample (from 1), n_pieces, log_p, perturbed, log_inclusion, ids_crc32, decodes (the ids give the text back) and ids of each sampled cut.
 
-    Without ids the last column is left out, which saves carrying the pieces of every sample.
+    Packed, the ids are binary (little-endian, 32 bits each), as those of `packing`; without ids the last column is left out.
     """
     names = [c.split()[0] for c in FULL.split(", ")][: 9 if with_ids else 8]
 
@@ -608,22 +609,26 @@ def segmentations(df: DataFrame, model: str, key: str = "doc_id", text: str = "t
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
         columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
         if with_ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())))
+            if packed:
+                columns.append(pa.array([x.tobytes() for x in all_ids], pa.binary()))
+            else:
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("row_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, FULL if with_ids else FULL.rpartition(",")[0])
+    kept = FULL.rpartition(",")[0]
+    return rows.mapInArrow(run, f"{kept}, ids binary" if with_ids and packed else FULL if with_ids else kept)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """df and `decoded`, the text of each row's ids."""
+    """df and `decoded`, the text of each row's ids (an array, or packed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(model, 1.0)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 some = b.slice(lo, 1000)
-                texts = [None if x is None else vocabulary.decoded(np.array(x, np.int64))[0].tobytes()[1:].decode("utf-8", "replace") for x in some.column(some.num_columns - 1).to_pylist()]
+                texts = [None if x is None else vocabulary.decoded(np.frombuffer(x, "<i4") if isinstance(x, bytes) else np.array(x, np.int64))[0].tobytes()[1:].decode("utf-8", "replace") for x in some.column(some.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     names = [f"c{i}" for i in range(len(df.columns))]
