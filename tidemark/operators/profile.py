@@ -172,9 +172,9 @@ def name_strength(column: str, parent: str) -> float:
     return 0.7 if stem.endswith(f"_{name}") or stem.endswith(name) and len(name) > 2 else 0.0
 
 
-def infer_edges(tables: dict[str, DataFrame], keys: dict[str, str], least: float = 0.95, most_checks: int = 400) -> list[dict]:
+def infer_edges(tables: dict[str, DataFrame], keys: dict[str, str], least: float = 0.95) -> list[dict]:
     """Foreign keys: a child column named for a parent, of its kind, whose keys (at least 95 per cent) are in its unique key."""
-    found, checks = [], 0
+    found = []
     unique = {p: uniqueness(tables[p], [k]).first()["is_unique"] for p, k in keys.items()}
     for child, df in tables.items():
         for c, t in df.dtypes:
@@ -183,9 +183,6 @@ def infer_edges(tables: dict[str, DataFrame], keys: dict[str, str], least: float
             named = [(name_strength(c, p), p) for p, k in keys.items() if p != child and unique[p] and kind_of(dict(tables[p].dtypes)[k]) == kind_of(t)]
             best: dict | None = None
             for strength, p in sorted(x for x in named if x[0] > 0):
-                if checks == most_checks:
-                    return [*found, {"stopped": True}]
-                checks += 1
                 overlap = key_overlap(df, tables[p], [(c, keys[p])]).first()["overlap"] or 0.0
                 if overlap >= least and (best is None or (strength, overlap) > (best["strength"], best["overlap"])):
                     best = {"child": child, "column": c, "parent": p, "key": keys[p], "strength": strength, "overlap": overlap, "confidence": 0.5 * strength + 0.5 * overlap}

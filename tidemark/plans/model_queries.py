@@ -14,7 +14,7 @@ from tidemark.operators import metrics, models, scoring, splits
 from tidemark.operators.features import Feature
 from tidemark.plans.reference_queries import items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
 from tidemark.sources import tables as src
-from tidemark.sources.shared import shared_dir, written
+from tidemark.sources.shared import new_path, shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 COLUMNS = ["n_30", "n_90", "n_365", "mean_price", "since_last", "quantity"]
@@ -66,7 +66,7 @@ def a14(spark, d):
 
 @query("A15")
 def a15(spark, d):
-    path = f"{shared_dir(spark)}/tidemark/history-{spark.sparkContext.applicationId}"
+    path = new_path(spark, "history")
     rows = scored(spark, d).groupBy("cutoff_time").agg(F.count("*").alias("n_scored"), F.bit_xor(F.xxhash64("entity_id", "score")).alias("hash"))
     src.append_history(rows, path)
     return spark.read.parquet(path)
@@ -74,7 +74,7 @@ def a15(spark, d):
 
 @query("A16")
 def a16(spark, d):
-    path = f"{shared_dir(spark)}/tidemark/scores-{spark.sparkContext.applicationId}"
+    path = new_path(spark, "scores")
     src.write_back(scored(spark, d), "run-1", path=path)
     return spark.read.parquet(path).drop("created_at")
 

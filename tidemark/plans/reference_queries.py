@@ -279,14 +279,25 @@ def p14(spark, d):
 # ---- cutoffs, eligibility, labels
 
 
-@query("L1", "select (timestamp '1996-01-31' + to_months((i * 2)::int))::timestamp as cutoff_time from range(12) t(i)")
+#: From the first month of the orders to their last day, in SQL: monthly cutoffs, windows of 90 days.
+MONTHS = "b as (select date_trunc('month', min(o_orderdate)) as lo, max(o_orderdate) as hi from orders), m as (select i, (lo + to_months(i::int))::timestamp as cutoff_time, hi from b, range(1200) t(i) where lo + to_months(i::int) <= hi)"
+
+
+def order_range(spark, d):
+    """The first day of the orders' first month and their last day."""
+    r = load(spark, d, "orders").agg(F.date_format(F.date_trunc("month", F.min("o_orderdate")), "yyyy-MM-dd").alias("lo"), F.max("o_orderdate").cast("date").cast("string").alias("hi")).first()
+    return r["lo"], r["hi"]
+
+
+@query("L1", f"with {MONTHS} select cutoff_time from m where i % 2 = 0")
 def l1(spark, d):
-    return lb.cutoffs(spark, "1996-01-31", "1997-12-01", 2, "months")
+    return lb.cutoffs(spark, *order_range(spark, d), 2, "months")
 
 
-@query("L2", "with c as (select (timestamp '2001-01-01' + to_months(i::int))::timestamp as cutoff_time from range(12) t(i)), w as (select cutoff_time, (cutoff_time + interval 90 day)::timestamp as label_window_end from c) select *, label_window_end <= timestamp '2001-08-01' as kept from w")
+@query("L2", f"with {MONTHS} select cutoff_time, (cutoff_time + interval 90 day)::timestamp as label_window_end, cutoff_time + interval 90 day <= hi as kept from m")
 def l2(spark, d):
-    kept, gone = lb.windows(lb.cutoffs(spark, "2001-01-01", "2001-12-01", 1, "months"), 90, AS_OF)
+    lo, hi = order_range(spark, d)
+    kept, gone = lb.windows(lb.cutoffs(spark, lo, hi, 1, "months"), 90, hi)
     return kept.withColumn("kept", F.lit(True)).union(gone.withColumn("kept", F.lit(False)))
 
 
@@ -419,9 +430,10 @@ def q5(spark, d):
     return feasibility.coverage(got).withColumn("best", r("best"))
 
 
-@query("Q6", "select count(*) as n_dropped, case when count(*) > 0 then 'warn' else 'ok' end as status from range(12) t(i) where timestamp '2001-01-01' + to_months(i::int) + interval 90 day > timestamp '2001-08-01'")
+@query("Q6", f"with {MONTHS} select count(*) as n_dropped, case when count(*) > 0 then 'warn' else 'ok' end as status from m where cutoff_time + interval 90 day > hi")
 def q6(spark, d):
-    return feasibility.dropped(lb.windows(lb.cutoffs(spark, "2001-01-01", "2001-12-01", 1, "months"), 90, AS_OF)[1])
+    lo, hi = order_range(spark, d)
+    return feasibility.dropped(lb.windows(lb.cutoffs(spark, lo, hi, 1, "months"), 90, hi)[1])
 
 
 REG = S + ", reg as (select entity_id, cutoff_time, coalesce(sum(o_totalprice), 0) as label, label_window_end from spine left join orders on o_custkey = entity_id and o_orderdate > cutoff_time and o_orderdate <= label_window_end group by entity_id, cutoff_time, label_window_end), rp as (select *, case when cutoff_time >= timestamp '1996-10-01' then 'test' when cutoff_time >= timestamp '1996-07-01' then case when label_window_end <= timestamp '1996-10-01' then 'val' else 'purged_val' end when label_window_end <= timestamp '1996-07-01' then 'train' else 'purged_train' end as part from reg)"

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings of a missing value in text files.
-NULLS = ("", "NULL", "null", "None", "none", "NaN", "nan", "NA", "N/A", "n/a", "#N/A", "#NA", "<NA>", "-nan", "-NaN", "1.#QNAN", "-1.#IND", "1.#IND", "#N/A N/A")
+NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_text_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
     """CSV, TSV or TXT; each column is bigint, else double, else string, by all its values; Yes/No stays text."""
     raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False, quote='"', escape='"')
-    clean = raw.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*NULLS), F.trim(F.col(f"`{c}`"))).alias(c) for c in raw.columns])
+    clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(*NULLS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if not raw.columns:
         return clean
     counts = clean.agg(*[x for i, c in enumerate(clean.columns) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count(F.expr(f"try_cast(`{c}` as bigint)")).alias(f"i{i}"), F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"d{i}"))]).first()
