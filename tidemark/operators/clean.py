@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.profile import _unpivot, kind_of, top_values
+from tidemark.operators.profile import _unpivot, kind_of, quantile, top_values
 
 
 def id_columns(df: DataFrame) -> DataFrame:
@@ -40,23 +38,18 @@ def impute(df: DataFrame, fit_on: DataFrame, column: str, how: str) -> DataFrame
     if how == "most_frequent":
         top = fit_on.where(x.isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(1).collect()
         return df.withColumn(column, F.coalesce(x, F.lit(top[0][0]))) if top else df
-    value = fitted(fit_on, {"v": F.percentile(x.cast("double"), F.lit(0.5)) if how == "median" else F.avg(x.cast("double"))})["v"]
+    value = quantile(fit_on, column, [0.5])[0] if how == "median" else fitted(fit_on, {"v": F.avg(x.cast("double"))})["v"]
     return df.withColumn(column, F.coalesce(x.cast("double"), F.lit(value)))
 
 
-def impute_approximately(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
-    """MLlib's Imputer, for many columns at once."""
-    return Imputer(inputCols=columns, outputCols=columns, strategy=how).fit(df).transform(df)
-
-
 def scale(df: DataFrame, fit_on: DataFrame, column: str, how: str) -> DataFrame:
     """standard (population deviation), robust (median and quartiles) or min_max; a zero range gives 0."""
     x = F.col(column).cast("double")
     if how == "standard":
         s = fitted(fit_on, {"a": F.avg(x), "b": F.stddev_pop(x)})
     elif how == "robust":
-        q = fitted(fit_on, {"a": F.percentile(x, F.lit(0.5)), "lo": F.percentile(x, F.lit(0.25)), "hi": F.percentile(x, F.lit(0.75))})
-        s = {"a": q["a"], "b": None if q["lo"] is None else q["hi"] - q["lo"]}
+        low, middle, high = quantile(fit_on, column, [0.25, 0.5, 0.75])
+        s = {"a": middle, "b": None if low is None else high - low}
     else:
         q = fitted(fit_on, {"lo": F.min(x), "hi": F.max(x)})
         s = {"a": q["lo"], "b": None if q["lo"] is None else q["hi"] - q["lo"]}
@@ -122,18 +115,9 @@ def build(df: DataFrame, fit_on: DataFrame, plan: dict[str, list[str]], target:
     return out.select(*([key] if key and key not in kept else []), *kept)
 
 
-def vector_one_hot(columns: list[str]) -> Pipeline:
-    """MLlib's form, for models that take vectors."""
-    return Pipeline(stages=[StringIndexer(inputCols=columns, outputCols=[f"{c}_i" for c in columns], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in columns], outputCols=[f"{c}_v" for c in columns])])
-
-
-def robust_vector(column: str, out: str) -> RobustScaler:
-    return RobustScaler(inputCol=column, outputCol=out, withCentering=True)
-
-
 def label_encode(df: DataFrame, target: str, positive: str | None = None) -> DataFrame:
     """df and label_code. Two classes: 1 is the given or the rarer one (ties: the last in order); more: their order. At most 1,000 classes."""
-    counts = sorted((r[0], r[1]) for r in df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string")).count().limit(1001).collect())
+    counts = sorted((r[0], r[1]) for r in df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string")).count().limit(1001).collect())  # a 1,001st class raises, whichever it is
     if len(counts) > 1000:
         raise ValueError("more than 1,000 classes")
     names = [c for c, _ in counts]

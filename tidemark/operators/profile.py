@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 SAMPLE_ROWS, SEED, CHUNK = 1_000_000, 42, 40
 
 
@@ -32,13 +34,66 @@ def _unpivot(df: DataFrame, parts: dict[str, list[Column]], names: list[str]) ->
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def table_stats(df: DataFrame, columns: list[str] | None = None, chunk: int = CHUNK, quantiles: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """c, n, n_distinct, q: the interpolated quantiles of each c's numbers, from distinct rows (c, x, n).
+
+    The counts are dealt by ranges of c and x and written once; each range's total says which ranges hold a position that is
+    asked for, and only those are sorted. What is joined by broadcast has a row for each c and range at most.
+    """
+    dealt = written(counts.repartitionByRange("c", "x").withColumn("_p", F.spark_partition_id()), "quantiles")
+    by_range = Window.partitionBy("c").orderBy("_p")
+    sizes = dealt.groupBy("c", "_p").agg(F.sum("n").alias("m"), F.count("*").alias("d"))
+    sizes = sizes.withColumns({"first": F.sum("m").over(by_range) - F.col("m"), "total": F.sum("m").over(Window.partitionBy("c")), "distinct": F.sum("d").over(Window.partitionBy("c"))})
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in shares]
+    places = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    sizes = sizes.withColumn("places", F.filter(places, lambda t: (t >= F.col("first")) & (t < F.col("first") + F.col("m"))))
+    asked = sizes.where(F.size("places") > 0).select("c", "_p", "first", "places")
+    run = F.sum("n").over(Window.partitionBy("c", "_p").orderBy("x")) + F.col("first")
+    rows = dealt.join(F.broadcast(asked), ["c", "_p"]).select("c", "x", "n", "places", run.alias("end"))
+    hits = rows.select("c", "x", F.explode(F.filter("places", lambda t: (t >= F.col("end") - F.col("n")) & (t < F.col("end")))).alias("t"))
+    found = hits.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("v"))  # at most two for each share
+    totals = sizes.groupBy("c").agg(F.max("total").alias("total"), F.max("distinct").alias("n_distinct"))
+
+    def between(a: Column) -> Column:
+        low, high = F.floor(a), F.ceil(a)
+        x, y = F.element_at("v", low.cast("long")), F.element_at("v", high.cast("long"))
+        return F.when((low == high) | (x == y), x).otherwise((high - a) * x + (a - low) * y)
+
+    return totals.join(F.broadcast(found), "c").select("c", F.col("total").alias("n"), "n_distinct", F.array(*[between(a) for a in at]).alias("q"))
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """column_name, n (numbers), n_distinct, q (an array in the order of shares): exact and interpolated, nulls left out.
+
+    Equal numbers are counted before anything is dealt, so a frequent one is one row. A column without a number gives no row.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), (F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias("x")) for c in columns])
+    counts = df.select(F.inline(pairs)).where("x is not null").groupBy("c", "x").agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, shares).withColumnRenamed("c", "column_name")
+
+
+def quantile(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """The quantiles of one column on the driver."""
+    row = quantiles(df, [column], shares).first()
+    return list(row["q"]) if row else [None] * len(shares)
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, n_distinct: values as text, one job for all columns; a column without a value gives no row."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    return df.select(F.inline(pairs)).where("v is not null").groupBy("column_name", "v").agg(F.lit(1)).groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+
+
+def table_stats(df: DataFrame, columns: list[str] | None = None, chunk: int = CHUNK, shares: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
     """For each column: non_null, n_distinct, null_fraction, min_text, max_text; numbers (and shares of true) mean, std, p1, p50, p99.
 
-    Columns are taken in chunks, since several exact distinct counts in one aggregate expand each row once for each.
+    Columns are taken in chunks. Numbers get distinct counts and quantiles from one table of counted values, other columns
+    theirs from another, so no aggregate expands its rows or holds a column's values. Numbers are compared as doubles, but
+    for whole ones of 64 bits and decimals, whose distinct values are counted as text.
     """
     kinds = dict(df.dtypes)
-    names = ["non_null", "n_distinct", "null_fraction", "min_text", "max_text", "mean", "std", *[f"p{round(q * 100)}" for q in quantiles]]
+    names = ["non_null", "null_fraction", "min_text", "max_text", "mean", "std"]
+    marks = [f"p{round(q * 100)}" for q in shares]
     todo, out = columns or df.columns, None
     for lo in range(0, len(todo), chunk):
         parts = {}
@@ -51,15 +106,27 @@ def table_stats(df: DataFrame, columns: list[str] | None = None, chunk: int = CH
             ordered = number or kind in ("timestamp", "date")
             parts[c] = [
                 F.count(col),
-                F.count_distinct(col) if kind != "other" else F.lit(None).cast("long"),
                 F.try_divide(F.count_if(col.isNull()).cast("double"), F.count("*").cast("double")),
                 (F.min(x if number else col)).cast("string") if ordered else none_s,
                 (F.max(x if number else col)).cast("string") if ordered else none_s,
                 mean,
                 F.stddev_samp(x) if number else none_d,
-                *[F.percentile(x, F.lit(q)) if number else none_d for q in quantiles],
             ]
+        numbers = [c for c in parts if kind_of(kinds[c]) in ("integer", "float")]
+        wide = [c for c in numbers if kinds[c] == "bigint" or kinds[c].startswith("decimal")]
+        texts = [c for c in parts if kind_of(kinds[c]) not in ("integer", "float", "other")] + wide
         one = _unpivot(df, parts, names)
+        if numbers:
+            q = quantiles(df, numbers, list(shares)).select("column_name", F.col("n_distinct").alias("_d"), "q")
+            one = one.join(F.broadcast(q), "column_name", "left")
+        else:
+            one = one.withColumns({"_d": F.lit(None).cast("long"), "q": F.lit(None).cast("array<double>")})
+        if texts:
+            one = one.join(F.broadcast(distinct_counts(df, texts)), "column_name", "left")
+        else:
+            one = one.withColumn("n_distinct", F.lit(None).cast("long"))
+        distinct = F.when(F.col("column_name").isin([c for c in parts if kind_of(kinds[c]) == "other"]), F.lit(None)).otherwise(F.coalesce("n_distinct", "_d", F.lit(0)))
+        one = one.select("column_name", "non_null", distinct.cast("long").alias("n_distinct"), *names[1:], *[F.get("q", F.lit(i)).alias(m) for i, m in enumerate(marks)])
         out = one if out is None else out.union(one)
     return out
 
@@ -86,7 +153,7 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, missing, mean, std, min, q25, median, q75, max, and bias-corrected skew and excess kurtosis."""
-    names = ["n", "missing", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]
+    names = ["n", "missing", "mean", "std", "min", "max", "skew", "kurtosis"]
     parts = {}
     for c in columns:
         x = F.col(f"`{c}`").cast("double")
@@ -94,8 +161,21 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         g1, g2 = F.skewness(x), F.kurtosis(x)
         skew = F.when(n >= 3, F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
         kurt = F.when(n >= 4, F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)))
-        parts[c] = [F.count(x), F.count_if(x.isNull()), F.avg(x), F.stddev_samp(x), F.min(x), *[F.percentile(x, F.lit(q)) for q in (0.25, 0.5, 0.75)], F.max(x), skew, kurt]
-    return _unpivot(df, parts, names)
+        parts[c] = [F.count(x), F.count_if(x.isNull()), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), skew, kurt]
+    q = quantiles(df, columns, [0.25, 0.5, 0.75]).select("column_name", "q")
+    both = _unpivot(df, parts, names).join(F.broadcast(q), "column_name", "left")
+    return both.select("column_name", *names[:5], *[F.get("q", F.lit(i)).alias(m) for i, m in enumerate(("q25", "median", "q75"))], *names[5:])
+
+
+def text_stats(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
+    """column_name, n, missing, n_unique, value, value_n, position: each column's counts beside its k most frequent values.
+
+    A column without a value has one row, whose value is null.
+    """
+    parts = {c: [F.count(f"`{c}`"), F.count_if(F.col(f"`{c}`").isNull())] for c in columns}
+    whole = _unpivot(df, parts, ["n", "missing"]).join(F.broadcast(distinct_counts(df, columns)), "column_name", "left")
+    top = top_values(df, columns, k).withColumnRenamed("n", "value_n")
+    return whole.join(F.broadcast(top), "column_name", "left").select("column_name", "n", "missing", F.coalesce("n_distinct", F.lit(0)).alias("n_unique"), "value", "value_n", "position")
 
 
 def target_balance(df: DataFrame, target: str, levels: int = 10) -> DataFrame:
@@ -158,10 +238,13 @@ def _stem(name: str) -> str:
 
 def _singular(name: str) -> str:
     n = name.lower()
-    for a, b in (("ies", "y"), ("sses", "ss"), ("s", "")):
-        if n.endswith(a) and not n.endswith("ss"):
-            return n[: -len(a)] + b
-    return n
+    if n.endswith(("ss", "us", "is")):  # glass, status, analysis
+        return n
+    if n.endswith("ies") and len(n) > 4:
+        return f"{n[:-3]}y"
+    if n.endswith(("sses", "xes", "ches", "shes")):
+        return n[:-2]
+    return n.removesuffix("s")
 
 
 def name_strength(column: str, parent: str) -> float:

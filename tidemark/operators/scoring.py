@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.profile import quantiles
 from tidemark.operators.splits import ordered_rank
 
 DECILES = [i / 10 for i in range(1, 10)]
@@ -22,9 +23,10 @@ def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        parts += [F.avg(x.isNull().cast("double")).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.array_distinct(F.percentile(x, F.array(*[F.lit(d) for d in DECILES]))).alias(f"e{i}")]
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("null_rate"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"e{i}").alias("edges")) for i, c in enumerate(columns)])
-    return df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
+        parts += [F.avg(x.isNull().cast("double")).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("null_rate"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i, c in enumerate(columns)])
+    edges = quantiles(df, columns, DECILES).select(F.col("column_name").alias("feature"), F.array_distinct("q").alias("edges"))
+    return df.agg(*parts).select(F.inline(rows)).join(F.broadcast(edges), "feature", "left")
 
 
 def bin_shares(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:

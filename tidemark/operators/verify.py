@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import KEYS
+from tidemark.operators.profile import quantiles_of_counts
 
 
 def contract(result: DataFrame, spine: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -58,18 +59,14 @@ def sample_entities(labels: DataFrame, most_rows: int, seed: int = 42) -> DataFr
     if n <= most_rows:
         return labels
     per = labels.groupBy("entity_id").agg(F.max(F.col("label").cast("double")).alias("_ever"))
-    # a rank by hash within each stratum, without a window over a stratum: the hash is uniform, so its quantile is a cut
     h = F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(1 << 31)).cast("double")
-    cut = per.groupBy("_ever").agg(F.percentile(h, F.lit(most_rows / n)).alias("_cut"))
-    kept = per.join(F.broadcast(cut), per["_ever"].eqNullSafe(cut["_ever"])).where(h <= F.col("_cut")).select("entity_id")
+    # a rank by hash within each stratum: the hash's quantile is the cut
+    cells = per.select(F.coalesce(F.col("_ever").cast("string"), F.lit("")).alias("c"), h.alias("x")).groupBy("c", "x").agg(F.count("*").alias("n"))
+    cut = quantiles_of_counts(cells, [most_rows / n]).select("c", F.get("q", F.lit(0)).alias("_cut"))
+    kept = per.withColumn("c", F.coalesce(F.col("_ever").cast("string"), F.lit(""))).join(F.broadcast(cut), "c").where(h <= F.col("_cut")).select("entity_id")
     return labels.join(kept, "entity_id", "left_semi")
 
 
-def pit_view(df: DataFrame, key: str, time: str, spine: DataFrame) -> DataFrame:
-    """The rows of a table before each cutoff of its entity, with the spine's keys: all that a user's function gets to see."""
-    return spine.select(*KEYS).join(df, (F.col("entity_id") == F.col(key)) & (F.col(time) < F.col("cutoff_time")))
-
-
 def accept(make: Callable[[DataFrame, dict[str, DataFrame]], DataFrame], spine: DataFrame, tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """One row: accepted, with the contract's counts and the number of rows that truncation changes."""
     result = make(spine, {n: df for n, (df, _) in tables.items()})
