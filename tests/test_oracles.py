@@ -38,6 +38,6 @@ def test_same_as_sql(spark, duck, name):
     assert len(got)
 
 
-@pytest.mark.parametrize("name", ["A1", "A5_snapshot", "A14", "A16", "M2", "M4", "M6", "M7", "D1", "V9"])
+@pytest.mark.parametrize("name", ["A1", "A5_snapshot", "A14", "A16", "M2", "M4", "M6", "M7", "D1", "V9", "V12", "D7", "M9", "M12_summary"])
 def test_rows_only(spark, name):
     assert model_queries.QUERIES[name](spark, SF).count()

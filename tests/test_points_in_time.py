@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.formula import formula
-from tidemark.operators import clean, dfs, leakage, metrics, models, profile, splits, verify
+from tidemark.operators import clean, dfs, leakage, metrics, models, profile, scoring, splits, verify
 from tidemark.operators import features as fs
 from tidemark.operators import labels as lb
 from tidemark.operators.features import Feature, Path, Predicate
@@ -235,3 +236,52 @@ def test_entity_sample_is_whole_and_repeatable(spark):
     n = s.groupBy("entity_id").count()
     assert n.where("count <> 3").count() == 0 and 240 <= n.count() <= 360
     assert sorted(s.collect()) == sorted(verify.sample_entities(lab.repartition(5), 900).collect())
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=500), np.full(700, 1.5), [-0.0, 0.0]])
+    rows = [(float(v), int(i % 7), None if i % 3 else 2.5, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, k int, `odd name` double, none double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = {r["column_name"]: r for r in profile.quantiles(df, df.columns, shares).collect()}
+    assert set(got) == {"x", "k", "odd name"}
+    assert got["x"]["n"] == len(x) and got["x"]["n_distinct"] == len(np.unique(x))
+    for name, values in (("x", x), ("k", np.arange(len(x)) % 7), ("odd name", np.full(401, 2.5))):
+        assert np.allclose(got[name]["q"], np.quantile(values, shares), atol=1e-12)
+    assert profile.quantiles(df.where("false"), ["x"], [0.5]).count() == 0
+    assert profile.quantile(df.where("false"), "x", [0.5]) == [None]
+    stats = {r["column_name"]: r for r in profile.table_stats(df).collect()}
+    assert stats["none"]["n_distinct"] == 0 and stats["none"]["p50"] is None and stats["k"]["n_distinct"] == 7
+
+
+def test_single_features_by_kind_of_target(spark):
+    rows = [(i, float(i % 5), float((i * 7919) % 1000), "abc"[i % 3], i % 2, float(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, a double, noise double, cls string, two int, third double")
+    score = lambda y, cols: {r["column_name"]: (r["metric"], r["severity"]) for r in leakage.single_feature(df, y, cols).collect()}
+    assert score("cls", ["third", "noise"]) == {"third": ("roc_auc", "block"), "noise": ("roc_auc", "ok")}
+    assert score("a", ["a", "noise"]) == {"a": ("r2", "block"), "noise": ("r2", "ok")}
+    assert score("two", ["two", "third"]) == {"two": ("roc_auc", "block"), "third": ("roc_auc", "ok")}
+    assert leakage.single_feature(df.withColumn("one", F.lit(1)), "one", ["a"]).first()["score"] is None
+
+
+def test_scoring_history_names_what_drifted(spark):
+    train = spark.createDataFrame([(i, float(i % 50), float(i % 40)) for i in range(1000)], "entity_id int, same double, moved double")
+    now = train.withColumn("moved", F.col("moved") + 30)
+    stats = scoring.feature_stats(train, ["same", "moved"])
+    row = scoring.history_row(now, "2020-01-01", ["same", "moved"], scoring.psi(train, now, ["same", "moved"], stats)).first()
+    assert row["n_scored"] == 1000 and row["drifted"] == ["moved"] and row["psi"]["same"] == 0.0
+
+
+def test_parent_names(spark):
+    assert profile.name_strength("status_id", "status") == 1.0 and profile.name_strength("box_id", "boxes") == 1.0
+    assert profile.name_strength("category_id", "categories") == 1.0 and profile.name_strength("billing_customer_id", "customers") == 0.7
+    assert profile.name_strength("customer_id", "shop_customers") == 0.7 and profile.name_strength("price", "customers") == 0.0
+
+
+def test_database_table_is_read_in_ranges(spark):
+    url, how = "jdbc:derby:memory:tidemark_test;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(500).select(F.col("id").alias("ck"), (F.col("id") % 7).alias("v")).write.mode("overwrite").jdbc(url, "c", properties=how)
+    got = src.read_jdbc(spark, url, "c", "ck", 4, how)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i % 7) for i in range(500)]

@@ -65,7 +65,7 @@ class Feature:
             raise ValueError("days: 1 to 3650")
         if len(self.where) > 5:
             raise ValueError("where: at most 5 predicates")
-        if self.log1p and self.agg not in ("count", "count_distinct", "share", "days_since_last", "days_since_first", "exists"):
+        if self.log1p and self.agg not in ("count", "count_distinct", "share", "std", "days_since_last", "days_since_first", "exists"):
             raise ValueError("log1p: only on aggregates that are never negative")
 
 

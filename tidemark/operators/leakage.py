@@ -11,7 +11,10 @@ from tidemark.operators.profile import _unpivot, kind_of
 from tidemark.operators.splits import ordered_rank
 
 #: Words that name what happens after, or with, an outcome.
-AFTER_WORDS = frozenset("cancel cancelled cancellation refund refunded chargeback churn churned terminated termination closed resolved resolution outcome final result reason after exit end".split())
+AFTER_WORDS = frozenset(
+    "cancelled canceled cancellation churned refund refunded chargeback outcome result resolved resolution closed terminated termination "
+    "default defaulted writeoff collections label after post final".split()
+)
 
 
 def id_like(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -83,25 +86,55 @@ def _auc(y: np.ndarray, p: np.ndarray) -> float:
     return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / max(1, pos * (len(y) - pos)))
 
 
-def single_feature(df: DataFrame, target: str, columns: list[str], sample: int = 20_000, seed: int = 42) -> DataFrame:
-    """column_name, score, severity: 3-fold AUC of a depth-3 tree on one numeric column for a 0/1 target; over 0.90 warn, 0.98 block.
-
-    The sample is bounded, so each column's group is too; columns are fitted in parallel.
+def _fold_score(x: np.ndarray, y: np.ndarray, fold: np.ndarray, classes: np.ndarray | None) -> float:
+    """The mean over three folds of a depth-3 tree's AUC (of one class against the rest, averaged) or R2."""
+    def predicted(target: np.ndarray, f: int) -> np.ndarray:
+        tree = _depth_three(x[fold != f], target[fold != f])
+        return np.array([m for _, m in tree])[np.searchsorted(np.array([t for t, _ in tree])[:-1], x[fold == f], "left")]
+
+    scores = []
+    for f in range(3):
+        held = y[fold == f]
+        if classes is None:
+            spread = ((held - held.mean()) ** 2).sum() if len(held) else 0.0
+            if spread > 0:
+                scores.append(1 - ((held - predicted(y, f)) ** 2).sum() / spread)
+            continue
+        there = [c for c in (classes[1:] if len(classes) == 2 else classes) if 0 < (held == c).sum() < len(held)]
+        if there:
+            scores.append(float(np.mean([_auc((held == c).astype(float), predicted((y == c).astype(float), f)) for c in there])))
+    return float(np.mean(scores)) if scores else float("nan")
+
+
+def single_feature(df: DataFrame, target: str, columns: list[str], sample: int = 20_000, seed: int = 42, most_classes: int = 20) -> DataFrame:
+    """column_name, metric, score, severity: how well a depth-3 tree on one numeric column predicts the target; over 0.90 warn, 0.98 block.
+
+    roc_auc for classes (text, boolean or at most two numbers; each class against the rest), r2 for other numbers, as the
+    mean of three folds. The sample is bounded, so each column's group is too; columns are fitted in parallel. A target with a
+    single value gives no score and no flag. Text with more than `most_classes` values keeps the most frequent classes' rows
+    in the average only.
     """
-    rows = df.select(F.col(target).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in columns]).where("y is not null").orderBy(F.xxhash64(*columns, F.lit(seed))).limit(sample)
-    long = rows.withColumn("_k", F.xxhash64(*columns)).select("y", "_k", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in columns])).alias("p")).select("p.column_name", "p.x", "y", "_k")
+    rows = df.select(F.col(target).alias("_y"), *[F.col(c).cast("double").alias(c) for c in columns]).where("_y is not null").orderBy(F.xxhash64(*columns, F.lit(seed))).limit(sample)
+    number = kind_of(dict(df.dtypes)[target]) in ("integer", "float")
+    classify = not number or rows.select("_y").distinct().limit(3).count() <= 2
+    y = F.col("_y").cast("double") if number else F.col("_y").cast("string")
+    long = rows.select(y.alias("y"), F.xxhash64(*columns).alias("_k"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in columns])).alias("p")).select("p.column_name", "p.x", "y", "_k")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_k", "x", "y"])
-        x, y = group["x"].fillna(-1e300).to_numpy(), group["y"].to_numpy().astype(float)
-        fold, p = np.arange(len(y)) % 3, np.zeros(len(y))
-        for f in range(3):
-            tree = _depth_three(x[fold != f], y[fold != f])
-            p[fold == f] = np.array([m for _, m in tree])[np.searchsorted(np.array([t for t, _ in tree])[:-1], x[fold == f], "left")]
-        return pd.DataFrame({"column_name": [group["column_name"].iloc[0]], "score": [_auc(y, p)]})
-
-    out = long.groupBy("column_name").applyInPandas(fit, "column_name string, score double")
-    return out.withColumn("severity", F.when(F.col("score") > 0.98, "block").when(F.col("score") > 0.90, "warn").otherwise("ok"))
+        # dealt in turn within each class, so every fold has its share of each
+        group = group.sort_values(["y", "_k", "x"] if classify else ["_k", "x", "y"])
+        codes, values = pd.factorize(group["y"], sort=True) if classify else (group["y"].to_numpy(float), None)
+        classes = None
+        if classify:
+            sizes = np.bincount(codes, minlength=len(values))
+            classes = np.sort(np.argsort(-sizes, kind="stable")[:most_classes])
+        x = group["x"].fillna(-1e300).to_numpy()
+        score = _fold_score(x, np.asarray(codes, float), np.arange(len(x)) % 3, classes if classes is None or len(classes) > 1 else classes[:0])
+        return pd.DataFrame({"column_name": [group["column_name"].iloc[0]], "score": [score]})
+
+    out = long.groupBy("column_name").applyInPandas(fit, "column_name string, score double").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    severity = F.when(F.col("score") > 0.98, "block").when(F.col("score") > 0.90, "warn").otherwise("ok")
+    return out.select("column_name", F.lit("roc_auc" if classify else "r2").alias("metric"), "score", severity.alias("severity"))
 
 
 def duplicate_rows(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -50,6 +50,12 @@ def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).agg(F.max_by("s", F.struct(f1, F.col("s"))).alias("threshold"), F.max(f1).alias("f1"))
 
 
+def at_threshold(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
+    """threshold, and accuracy, precision, recall, f1 where scores from the threshold on count as class 1."""
+    got = classification(df.withColumn("_pred", (F.col(score) >= threshold).cast("int")), label, "_pred")
+    return got.select(F.lit(threshold).alias("threshold"), "accuracy", "precision", "recall", "f1")
+
+
 def k_of(share: float, n: int) -> int:
     """The rows of a share: rounded up, with an allowance for binary fractions, at least one."""
     return max(1, math.ceil(share * n - 1e-9))
@@ -128,3 +134,26 @@ def paired_gain(folds: DataFrame, lower_is_better: bool = False, least: float =
     c = folds.agg(F.avg(gain).alias("mean_gain"), F.coalesce(F.stddev_samp(gain), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
     half = F.col("std") * 1.96 / F.sqrt("n")
     return c.select("mean_gain", "std", (F.col("mean_gain") - half).alias("ci_low"), (F.col("mean_gain") + half).alias("ci_high"), (F.col("mean_gain") > F.greatest(F.lit(least), F.col("std"))).alias("accepted"))
+
+
+def multiclass(df: DataFrame, label: str, predicted: str, p_true: Column, train: DataFrame) -> DataFrame:
+    """macro_f1, accuracy, log_loss, trivial_log_loss and n_unseen_class; train holds the training rows' labels.
+
+    Rows whose class no training row has are counted and left out of the rest. The trivial loss gives each class its share
+    of the training rows. macro_f1 is over the classes present here, true or predicted.
+    """
+    shares = train.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("_c")).agg(F.count("*").alias("_n"))
+    total = shares.agg(F.sum("_n").alias("_t"))
+    shares = shares.crossJoin(F.broadcast(total)).select("_c", (F.col("_n") / F.col("_t")).alias("_share"))  # a row for each class
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_c"), F.col(predicted).cast("string").alias("_p"), p_true.alias("_q"))
+    cells = rows.groupBy("_c", "_p").agg(F.count("*").alias("n"), F.sum(-F.log(F.greatest(F.least("_q", F.lit(1.0)), F.lit(1e-15)))).alias("loss"))
+    cells = cells.join(shares, "_c", "left")
+    unseen = cells.agg(F.coalesce(F.sum(F.when(F.col("_share").isNull(), F.col("n"))), F.lit(0)).alias("n_unseen_class"))
+    known = cells.where("_share is not null")
+    sides = F.array(F.struct(F.col("_c").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("q")), F.struct(F.col("_p").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("q")))
+    hit = F.when(F.col("_c") == F.col("_p"), F.col("n")).otherwise(0)
+    per = known.select(F.inline(sides), hit.alias("hit")).groupBy("c").agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum(F.when(F.col("t") > 0, F.col("hit")).otherwise(0)).alias("tp"))
+    f1 = per.agg(F.avg((2 * F.col("tp")).cast("double") / (F.col("t") + F.col("q"))).alias("macro_f1"))
+    m = known.agg(F.sum("n").alias("m"), F.sum(hit).alias("ok"), F.sum("loss").alias("loss"), F.sum(-F.log(F.greatest("_share", F.lit(1e-15))) * F.col("n")).alias("trivial"))
+    div = lambda c: F.try_divide(F.col(c).cast("double"), F.col("m").cast("double"))
+    return f1.crossJoin(m).crossJoin(unseen).select("macro_f1", div("ok").alias("accuracy"), div("loss").alias("log_loss"), div("trivial").alias("trivial_log_loss"), "n_unseen_class")  # one row each

@@ -64,16 +64,17 @@ def engines(seed: int = 7) -> dict:
 def battery(df: DataFrame, columns: list[str], label: str = "label", makers: dict | None = None) -> DataFrame:
     """model, accuracy, f1, error on part val; one model's failure does not stop the others."""
     data, _ = ready(df.withColumn("label_d", F.col(label).cast("double")), columns)
-    data = data.persist()
-    out = None
+    data = data.persist()  # all fits read it; the scores below are small and brought in before it is let go
+    out = []
     for name, maker in (makers or engines()).items():
         try:
             got = maker.fit(data.where("part = 'train'")).transform(data.where("part = 'val'"))
-            one = metrics.classification(got, "label_d", "prediction").select(F.lit(name).alias("model"), "accuracy", "f1", F.lit(None).cast("string").alias("error"))
+            r = metrics.classification(got, "label_d", "prediction").first()
+            out.append((name, r["accuracy"], r["f1"], None))
         except Exception as e:  # noqa: BLE001
-            one = df.sparkSession.createDataFrame([(name, None, None, str(e)[:200])], "model string, accuracy double, f1 double, error string")
-        out = one if out is None else out.union(one)
-    return out
+            out.append((name, None, None, str(e)[:200]))
+    data.unpersist()
+    return df.sparkSession.createDataFrame(out, "model string, accuracy double, f1 double, error string")
 
 
 def search(df: DataFrame, columns: list[str], label: str = "label", tries: int = 4, seed: int = 7) -> DataFrame:
@@ -125,6 +126,14 @@ def forward_selection(df: DataFrame, base: list[str], candidates: list[str], fol
     return kept, log
 
 
+def refit_score(df: DataFrame, columns: list[str], label: str = "label", rounds: int = 8, depth: int = 3, seed: int = 7) -> DataFrame:
+    """roc_auc, n_test: the chosen columns' model, fitted once more on parts train and val, on part test; to be read once, at the end."""
+    data, _ = ready(df.where(F.col("part").isin("train", "val")).withColumn("label_d", F.col(label).cast("double")), columns)
+    model = GBTClassifier(labelCol="label_d", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(data)
+    test = predict(model, df.where("part = 'test'"), columns)
+    return metrics.roc_auc(test, "score", label).crossJoin(test.agg(F.count("*").alias("n_test")))  # one row each
+
+
 def rebuilds(model, df: DataFrame, columns: list[str], recorded: float, label: str = "label") -> bool:
     """Whether the metric on part val is rebuilt from the stored features and model within 1e-6."""
     now = metrics.roc_auc(predict(model, df.where("part = 'val'"), columns), "score", label).first()[0]
@@ -241,3 +250,13 @@ def reasons(model, df: DataFrame, columns: list[str], key: str, top: int = 3) ->
     kind = dict(df.dtypes)[key]
     out = data.select(key, vector_to_array("features").alias("x")).mapInArrow(run, f"{key} {kind}, base double, margin double, contributions array<double>, reasons array<string>")
     return out.select(key, "base", "margin", "contributions", *[F.get("reasons", F.lit(i)).alias(f"reason_{i + 1}") for i in range(top)])
+
+
+def reason_summary(model, df: DataFrame, columns: list[str], key: str, rows: int = 2000, seed: int = 42) -> DataFrame:
+    """source, mean_abs, share: the mean size of each column's contributions over at most `rows` rows, drawn by a hash of the key."""
+    drawn = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
+    each = reasons(model, drawn, columns, key).select(F.posexplode("contributions").alias("i", "v"))
+    means = each.groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs"))
+    total = means.agg(F.sum("mean_abs").alias("t"))
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return means.crossJoin(F.broadcast(total)).select(named.alias("source"), "mean_abs", F.try_divide("mean_abs", "t").alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,27 +249,32 @@ def _singular(name: str) -> str:
 
 
 def name_strength(column: str, parent: str) -> float:
-    """1.0 if the column's stem is the parent's name, 0.7 if it ends in it after a role, else 0."""
-    stem, name = _stem(column), _singular(parent)
+    """1.0 if the column's stem is the parent's name, 0.7 if one ends in the other after a role or prefix, else 0."""
+    stem, name = _singular(_stem(column)), _singular(parent)
     if stem == name:
         return 1.0
-    return 0.7 if stem.endswith(f"_{name}") or stem.endswith(name) and len(name) > 2 else 0.0
+    return 0.7 if stem.endswith(f"_{name}") or name.endswith(f"_{stem}") or stem.endswith(name) and len(name) > 2 else 0.0
 
 
 def infer_edges(tables: dict[str, DataFrame], keys: dict[str, str], least: float = 0.95) -> list[dict]:
-    """Foreign keys: a child column named for a parent, of its kind, whose keys (at least 95 per cent) are in its unique key."""
+    """Foreign keys: a child column named for a parent, of its kind, whose keys (at least 95 per cent) are in its unique key.
+
+    Names and kinds choose the pairs; one job for each child table then tests all of its pairs over all rows.
+    """
     found = []
     unique = {p: uniqueness(tables[p], [k]).first()["is_unique"] for p, k in keys.items()}
+    kinds = {p: kind_of(dict(tables[p].dtypes)[k]) for p, k in keys.items()}
     for child, df in tables.items():
-        for c, t in df.dtypes:
-            if c == keys.get(child):
-                continue
-            named = [(name_strength(c, p), p) for p, k in keys.items() if p != child and unique[p] and kind_of(dict(tables[p].dtypes)[k]) == kind_of(t)]
-            best: dict | None = None
-            for strength, p in sorted(x for x in named if x[0] > 0):
-                overlap = key_overlap(df, tables[p], [(c, keys[p])]).first()["overlap"] or 0.0
-                if overlap >= least and (best is None or (strength, overlap) > (best["strength"], best["overlap"])):
-                    best = {"child": child, "column": c, "parent": p, "key": keys[p], "strength": strength, "overlap": overlap, "confidence": 0.5 * strength + 0.5 * overlap}
-            if best:
-                found.append(best)
+        pairs = [(c, p, name_strength(c, p)) for c, t in df.dtypes if c != keys.get(child) for p in keys if p != child and unique[p] and kinds[p] == kind_of(t)]
+        pairs = [x for x in pairs if x[2] > 0]
+        if not pairs:
+            continue
+        tests = [key_overlap(df, tables[p], [(c, keys[p])]).withColumn("parent", F.lit(p)) for c, p, _ in pairs]
+        overlaps = {(r["child_column"], r["parent"]): r["overlap"] or 0.0 for r in reduce(DataFrame.union, tests).collect()}
+        best: dict[str, tuple] = {}
+        for c, p, strength in sorted(pairs):
+            score = (strength, overlaps[c, p])
+            if score[1] >= least and (c not in best or score > best[c][0]):
+                best[c] = (score, p)
+        found += [{"child": child, "column": c, "parent": p, "key": keys[p], "strength": s, "overlap": o, "confidence": 0.5 * s + 0.5 * o} for c, ((s, o), p) in best.items()]
     return found

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import models
 from tidemark.operators.profile import quantiles
 from tidemark.operators.splits import ordered_rank
 
@@ -66,3 +67,19 @@ def summary(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
     """n_scored, score_at_k, expected_in_top (sum of scores in the top k), expected."""
     top = F.col("rank") <= k
     return ranked.agg(F.count("*").alias("n_scored"), F.min(F.when(top, F.col(score))).alias("score_at_k"), F.sum(F.when(top, F.col(score))).alias("expected_in_top"), F.sum(score).alias("expected"))
+
+
+def history_row(now: DataFrame, cutoff: str, columns: list[str], psis: DataFrame, most: float = 0.2) -> DataFrame:
+    """One row for a scoring: cutoff_time, n_scored, hash of what was scored, psi by feature, drifted (features over the limit)."""
+    what = now.agg(F.count("*").alias("n_scored"), F.coalesce(F.bit_xor(F.xxhash64("entity_id", *columns)), F.lit(0)).alias("hash"))
+    by = F.sort_array(F.collect_list(F.struct("feature", "psi")))  # a pair for each feature
+    drifted = F.transform(F.filter(by, lambda p: p["psi"] > most), lambda p: p["feature"])
+    return what.crossJoin(psis.agg(F.map_from_entries(by).alias("psi"), drifted.alias("drifted"))).select(F.lit(cutoff).cast("timestamp_ntz").alias("cutoff_time"), "n_scored", "hash", "psi", "drifted")
+
+
+def preview(model, df: DataFrame, columns: list[str], k: int = 20, key: str = "entity_id") -> DataFrame:
+    """The k highest scores (ties by key) with the three columns that moved each most: key, score, rank, reason_1 to reason_3."""
+    top = models.predict(model, df, columns).orderBy(F.desc("score"), key).limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
+    why = models.reasons(model, top, columns, key).select(key, "reason_1", "reason_2", "reason_3")
+    return ranked.join(why, key).select(key, "score", "rank", "reason_1", "reason_2", "reason_3")

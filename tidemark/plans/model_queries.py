@@ -12,7 +12,7 @@ from tidemark.operators import features as fs
 from tidemark.operators import labels as lb
 from tidemark.operators import metrics, models, scoring, splits
 from tidemark.operators.features import Feature
-from tidemark.plans.reference_queries import items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
+from tidemark.plans.reference_queries import drift_features, items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
 from tidemark.sources import tables as src
 from tidemark.sources.shared import new_path, shared_dir, written
 
@@ -66,9 +66,14 @@ def a14(spark, d):
 
 @query("A15")
 def a15(spark, d):
-    path = new_path(spark, "history")
-    rows = scored(spark, d).groupBy("cutoff_time").agg(F.count("*").alias("n_scored"), F.bit_xor(F.xxhash64("entity_id", "score")).alias("hash"))
-    src.append_history(rows, path)
+    """Two scorings of one model's features, appended one after the other; the training rows are those of the drift queries."""
+    path, cols = new_path(spark, "history"), ["n_orders", "mean_price"]
+    f = written(drift_features(spark, d), "features")
+    train = f.where("cutoff_time < timestamp_ntz '1996-07-01'")
+    stats = written(scoring.feature_stats(train, cols), "stats")
+    for cutoff in ("1996-11-01", "1996-12-01"):
+        now = f.where(F.col("cutoff_time") == F.lit(cutoff).cast("timestamp_ntz"))
+        src.append_history(scoring.history_row(now, cutoff, cols, scoring.psi(train, now, cols, stats)), path)
     return spark.read.parquet(path)
 
 
@@ -132,9 +137,12 @@ def m7(spark, d):
 
 @query("M9")
 def m9(spark, d):
-    f = written(splits.expanding_folds(frame(spark, d).where("cutoff_time < timestamp_ntz '1996-10-01'"), 2), "folds")
-    _, log = models.forward_selection(f, ["n_30"], ["n_365", "since_last"], ["fold_1", "fold_2"])
-    return spark.createDataFrame([(x["column"], x["gain"], x["accepted"]) for x in log], "column_name string, gain double, accepted boolean")
+    all_rows = frame(spark, d)
+    f = written(splits.expanding_folds(all_rows.where("cutoff_time < timestamp_ntz '1996-10-01'"), 2), "folds")
+    kept, log = models.forward_selection(f, ["n_30"], ["n_365", "since_last"], ["fold_1", "fold_2"])
+    end = models.refit_score(all_rows, kept)
+    steps = spark.createDataFrame([(x["column"], x["gain"], x["accepted"]) for x in log], "column_name string, gain double, accepted boolean")
+    return steps.crossJoin(F.broadcast(end.withColumnRenamed("roc_auc", "test_roc_auc")))  # one row
 
 
 @query("M10")
@@ -156,7 +164,15 @@ def m12(spark, d):
     f = frame(spark, d)
     model, _ = models.fit_validated(f, COLUMNS, rounds=5, depth=3)
     rows = f.where("part = 'val'").withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time"))
-    return models.reasons(model, rows, COLUMNS, "row_id").drop("contributions")
+    return models.reasons(model, rows, COLUMNS, "row_id")
+
+
+@query("M12_summary")
+def m12_summary(spark, d):
+    f = frame(spark, d)
+    model, _ = models.fit_validated(f, COLUMNS, rounds=5, depth=3)
+    rows = f.where("part = 'val'").withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time"))
+    return models.reason_summary(model, rows, COLUMNS, "row_id")
 
 
 @query("V9")
@@ -166,10 +182,31 @@ def v9(spark, d):
     return metrics.calibration_error(fitted(rows) if fitted else rows.withColumn("calibrated", F.col("score")), "calibrated", "label")
 
 
+@query("V12")
+def v12(spark, d):
+    """Calibrated and given a threshold on the first half of the year, measured on the second."""
+    rows = scored(spark, d)
+    early, late = (rows.where(f"cutoff_time {op} timestamp_ntz '1996-07-01'") for op in ("<", ">="))
+    fitted = models.calibrate(early)
+    if not fitted:
+        fitted = lambda x: x.withColumn("calibrated", F.col("score"))
+    threshold = metrics.best_threshold(fitted(early), "calibrated", "label").first()["threshold"]
+    return metrics.at_threshold(fitted(late), "calibrated", "label", threshold)
+
+
 @query("D1")
 def d1(spark, d):
     model, _ = models.fit_validated(frame(spark, d), COLUMNS)
-    one = lb.cutoffs(spark, "2001-05-01", "2001-05-01", 1, "months")
-    now = lb.apply_rule(lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", one), t1_rule(spark, d))
-    got = models.predict(model, frame(spark, d, now), COLUMNS)
+    got = models.predict(model, frame(spark, d, now_eligible(spark, d)), COLUMNS)
     return scoring.rank_rows(got.select("entity_id", "score")).select("entity_id", "score", "rank", "decile")
+
+
+def now_eligible(spark: SparkSession, d: str) -> DataFrame:
+    one = lb.cutoffs(spark, "2001-05-01", "2001-05-01", 1, "months")
+    return lb.apply_rule(lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", one), t1_rule(spark, d))
+
+
+@query("D7")
+def d7(spark, d):
+    model, _ = models.fit_validated(frame(spark, d), COLUMNS, rounds=5, depth=3)
+    return scoring.preview(model, frame(spark, d, now_eligible(spark, d)), COLUMNS, 20)
