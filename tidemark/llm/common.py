@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +50,24 @@ def byte_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def binary_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives an empty text."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def thrifty(made: pa.Table | None) -> pa.Table | None:
+    """made, once memory that is free has gone back to the system: a Python worker outlives its task and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+    return made
+
+
+def thrifty_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and the same at the end of its task."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        thrifty(None)
+
+    return over

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
-from tidemark.llm.tokens import encoder
+from tidemark.llm.common import thrifty_batches, written
+from tidemark.llm.tokens import REMEMBERED, encoder
 
 CAPACITY = 1024
 END_ID = 0
@@ -120,11 +120,11 @@ def whole_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     return out
 
 
-def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of every document, with their ids, crc32 and rank among its task's pieces of that length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode_all, part = encoder(tokenizer, remembered).encode, TaskContext.get().partitionId()
         seen, end, wide = np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes(), capacity * 4
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -141,12 +141,12 @@ def pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(thrifty_batches(cut), PIECES)
 
 
-def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, gap: float = GAP) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, gap: float = GAP, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (little-endian, 32 bits) for each piece."""
-    cut = written(pieces(df, tokenizer, doc_id, text, capacity, end_id), "packing-pieces")
+    cut = written(pieces(df, tokenizer, doc_id, text, capacity, end_id, remembered), "packing-pieces")
     spark = cut.sparkSession
     counted = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

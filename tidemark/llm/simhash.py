@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_values, drop_path, new_path, parts_for, written
+from tidemark.llm.common import binary_values, drop_path, new_path, parts_for, thrifty, thrifty_batches, written
 
 SEED = 42
 SHINGLE = 4
@@ -125,7 +125,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_values(binary_values(b.column(1)), shingle).view(np.int64))], names=["doc_id", "fp"])
 
     kept = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(thrifty_batches(run), "doc_id long, fp long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def sketches(df: DataFrame, row_key: str = "row_key", text: str = "text") -> Dat
                 counts = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * 2, pa.int32()), pa.array(np.stack([steps, pops], axis=1).ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), counts, pa.array([p.tobytes() for p in prints], pa.binary())], names=["row_key", "node", "counts", "fp"])
 
-    return df.select(F.col(f"`{row_key}`").cast("long").alias("row_key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "row_key long, node long, counts array<int>, fp binary")
+    return df.select(F.col(f"`{row_key}`").cast("long").alias("row_key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(thrifty_batches(run), "row_key long, node long, counts array<int>, fp binary")
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -320,7 +320,7 @@ def tile_links(rows: DataFrame, n_tiles: int, near: Near) -> DataFrame:
 
     names = ["tile", "nodes", "roots", "counts", "fps", "shingles", "sizes"]
 
-    tiles = written(ordered.mapInArrow(as_tile, f"tile long, grp long, low array<int>, high array<int>, {', '.join(f'{n} binary' for n in names[1:])}"), "simhash-tiles")
+    tiles = written(ordered.mapInArrow(thrifty_batches(as_tile), f"tile long, grp long, low array<int>, high array<int>, {', '.join(f'{n} binary' for n in names[1:])}"), "simhash-tiles")
     # tiles meet where their first counts' bands are equal or next to each other: an equi-join
     wide = near.bounds[0][2] + 1
     bands = lambda more: F.explode(F.sequence(F.floor(F.get("low", F.lit(0)) / wide) - more, F.floor(F.get("high", F.lit(0)) / wide) + more))
@@ -343,7 +343,7 @@ def tile_links(rows: DataFrame, n_tiles: int, near: Near) -> DataFrame:
         links = (verified_links if with_sets else forest_links)(*rows, near)
         return pa.table({"u": pa.array(links[:, 0]), "v": pa.array(links[:, 1])})
 
-    return side("ga", "1").groupBy("ga1", "gb1").cogroup(side("gb", "2").groupBy("ga2", "gb2")).applyInArrow(compare, "u long, v long")
+    return side("ga", "1").groupBy("ga1", "gb1").cogroup(side("gb", "2").groupBy("ga2", "gb2")).applyInArrow(lambda a, b: thrifty(compare(a, b)), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ def shingles_of(df: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
-    return df.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return df.select("node", "text").mapInArrow(thrifty_batches(run), "node long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

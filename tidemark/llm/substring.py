@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_values, byte_words, parts_for
+from tidemark.llm.common import binary_values, byte_words, parts_for, thrifty
 
 SIZE = 35
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
@@ -231,12 +231,12 @@ def repeated_spans(df: DataFrame, each, out: str, keep: list[str], text: str = "
             np.add.at(removed, begin + size, -1)
         return each(docs, words, np.cumsum(removed)[:-1] > 0)
 
-    anchors = rows.select("block", "text", *names).groupBy("block").applyInArrow(ask_anchors, asked)
+    anchors = rows.select("block", "text", *names).groupBy("block").applyInArrow(lambda docs: thrifty(ask_anchors(docs)), asked)
     anchor_answers = anchors.groupBy("bucket").applyInArrow(lambda t: _answers(t, np.dtype(np.uint64), "anchor"), answered)
     by_block = rows.select("block", "text", *names).groupBy("block")
-    windows = by_block.cogroup(anchor_answers.groupBy("block")).applyInArrow(ask_windows, asked)
+    windows = by_block.cogroup(anchor_answers.groupBy("block")).applyInArrow(lambda docs, answers: thrifty(ask_windows(docs, answers)), asked)
     window_answers = windows.groupBy("bucket").applyInArrow(lambda t: _answers(t, WIDE, "window"), answered)
-    return by_block.cogroup(anchor_answers.union(window_answers).groupBy("block")).applyInArrow(mark, out)
+    return by_block.cogroup(anchor_answers.union(window_answers).groupBy("block")).applyInArrow(lambda docs, answers: thrifty(mark(docs, answers)), out)
 
 
 def digest_rows(docs: pa.Table, words: Words, removed: np.ndarray) -> pa.Table:

@@ -24,7 +24,8 @@ UNSURE = re.compile(r" (?:\s|\Z)")
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,7 +87,7 @@ class Encoder:
             gaps = [i for i, k in enumerate(known) if k is None]
             if gaps:
                 new = {flat[i] for i in gaps}
-                if len(self.units) + 2 * len(new) > REMEMBERED:
+                if len(self.units) + 2 * len(new) > self.remembered:
                     self.units.clear()
                 self.learn(list(new))
                 for i in gaps:
@@ -97,11 +98,11 @@ class Encoder:
                 at += len(p) - 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each path and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One for each path, bound and Python worker."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
