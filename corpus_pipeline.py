@@ -19,6 +19,9 @@ from tidemark.llm import packing, pii, quality, simhash, substring
 from tidemark.llm.common import new_path
 from tidemark.llm.queries import table, tokenizer_file
 
+#: Units whose ids a Python worker of the packing stage remembers: fewer than alone, since workers of earlier stages live on beside it.
+REMEMBERED = 200_000
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,7 +59,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = packing.pack(docs, tokenizer_file())
+    packed = packing.pack(docs, tokenizer_file(), remembered=REMEMBERED)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
