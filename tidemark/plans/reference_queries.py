@@ -18,7 +18,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators.features import Feature, Path, Predicate
 from tidemark.operators.labels import Rule, Target
 from tidemark.sources import tables as src
-from tidemark.sources.shared import new_path, ship
+from tidemark.sources.shared import new_path, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -924,7 +924,7 @@ _PSI = _FEAT + _EDGES + ", v as (" + " union all ".join(f"select '{c}' as featur
 
 @query("D4", f"with {_PSI} select feature, round(psi, 6) as psi from psi")
 def d4(spark, d):
-    f = drift_features(spark, d)
+    f = written(drift_features(spark, d), "features")  # read several times below
     train, now = f.where(_TRAIN.replace("timestamp", "timestamp_ntz")), f.where(_NOW.replace("timestamp", "timestamp_ntz"))
     cols = ["n_orders", "mean_price"]
     return scoring.psi(train, now, cols, scoring.feature_stats(train, cols)).withColumn("psi", r("psi"))
@@ -932,7 +932,7 @@ def d4(spark, d):
 
 @query("D5", f"with {_PSI}, st as (" + " union all ".join(f"select '{c}' as feature, avg(({c} is null)::int) filter (where {_TRAIN}) as n0, avg(({c} is null)::int) filter (where {_NOW}) as n1, avg({c}) filter (where {_TRAIN}) as m0, avg({c}) filter (where {_NOW}) as m1, stddev_samp({c}) filter (where {_TRAIN}) as s0 from ft" for c in ("n_orders", "mean_price")) + ") select feature, round(abs(n1 - n0), 6) as null_gap, round(abs(m1 - m0) / s0, 6) as mean_shift, round(psi, 6) as psi, abs(n1 - n0) > 0.1 as null_drift, coalesce(abs(m1 - m0) / s0 > 3, false) as mean_drift, psi > 0.2 as psi_drift from st join psi using (feature)")
 def d5(spark, d):
-    f = drift_features(spark, d)
+    f = written(drift_features(spark, d), "features")  # read several times below
     out = scoring.drift(f.where(_TRAIN.replace("timestamp", "timestamp_ntz")), f.where(_NOW.replace("timestamp", "timestamp_ntz")), ["n_orders", "mean_price"])
     return out.select(*[r(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
