@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, langid, packing, pii, quality, sampling, simhash, substring, token_store, topk
+from tidemark.llm import html_text, langid, merkle, packing, pii, quality, sampling, simhash, substring, token_store, topk
 from tidemark.llm.common import new_path
 from tidemark.sources.shared import ship
 
@@ -71,6 +71,14 @@ def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = {"text": F.translate("text", upper, lower)}
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered, fifth)
+    return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,10 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
+#: A field of a manifest's leaf.
+_FIELD = "(case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end)"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -131,5 +143,40 @@ with v as (
 )
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score
 from s qualify rank <= 10
+""",
+    # `nodes` are the trees of the sources, `tops` the tree over them; `steps` and `ends` fold each leaf up both
+    "op13_merkle_manifest": rf"""
+with recursive docs as (
+  select row_number() over () as id, doc_id, coalesce('1' || source, '0') as g,
+    {_FIELD.format("doc_id")} || {_FIELD.format("source")} || {_FIELD.format("lang")} || {_FIELD.format("n_chars")} as head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered,
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+      lambda a, b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, xor(a, b)), 4294967295), 4294967295) as crc
+  from documents
+), hashed as (
+  select id, doc_id, g, sha256(head || {_FIELD.format("text")}) as leaf, case when crc % 5 = 0 then sha256(head || {_FIELD.format("lowered")}) end as other from docs
+), leaves as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as n from hashed
+), nodes as (
+  select 0 as lv, g, pos, n, leaf as h from leaves
+  union all select lv + 1, g, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by lv, g, pos // 16, n
+), tops as (
+  select 0 as lv, g, row_number() over (order by g) - 1 as pos, count(*) over () as n, h from nodes where n = 1
+  union all select lv + 1, min(g), pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by lv, pos // 16, n
+), steps as (
+  select id, g, 0 as lv, pos, n, coalesce(other, leaf) as acc from leaves
+  union all select s.id, s.g, s.lv + 1, s.pos // 16, (s.n + 15) // 16, sha256(string_agg(case when x.pos = s.pos then s.acc else x.h end, '' order by x.pos))
+  from steps s join nodes x on x.lv = s.lv and x.g = s.g and x.pos // 16 = s.pos // 16 where s.n > 1 group by s.id, s.g, s.lv, s.pos, s.n
+), ends as (
+  select s.id, 0 as lv, r.pos, r.n, s.acc from steps s join tops r on r.lv = 0 and r.g = s.g where s.n = 1
+  union all select e.id, e.lv + 1, e.pos // 16, (e.n + 15) // 16, sha256(string_agg(case when x.pos = e.pos then e.acc else x.h end, '' order by x.pos))
+  from ends e join tops x on x.lv = e.lv and x.pos // 16 = e.pos // 16 where e.n > 1 group by e.id, e.lv, e.pos, e.n
+), siblings as (
+  select s.id, 0 as tree, s.lv, x.pos, x.h from steps s join nodes x on x.lv = s.lv and x.g = s.g and x.pos // 16 = s.pos // 16 and x.pos <> s.pos where s.n > 1
+  union all select e.id, 1, e.lv, x.pos, x.h from ends e join tops x on x.lv = e.lv and x.pos // 16 = e.pos // 16 and x.pos <> e.pos where e.n > 1
+), proofs as (select id, sha256(string_agg(h, '' order by tree, lv, pos)) as proof_sha256 from siblings group by id)
+select doc_id, leaf, t.h as subroot, r.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, e.acc as folded_root, e.acc = r.h as verified
+from leaves l join (select g, h from nodes where n = 1) t using (g) cross join (select h from tops where n = 1) r
+join (select id, acc from ends where n = 1) e using (id) left join proofs using (id)
 """,
 }
