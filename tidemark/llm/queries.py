@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, langid, merkle, packing, pii, quality, sampling, simhash, substring, token_store, topk
-from tidemark.llm.common import new_path
+from tidemark.llm import alignment, bpe, html_text, langid, merkle, packing, pii, quality, sampling, simhash, substring, token_store, topk
+from tidemark.llm.common import new_path, written
 from tidemark.sources.shared import ship
 
 
@@ -71,6 +71,20 @@ def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = written(found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links", "times"), "alignment")
+    return alignment.scored(aligned, alignment.link_counts(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     tampered = {"text": F.translate("text", upper, lower)}
@@ -90,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
