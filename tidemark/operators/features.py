@@ -1,4 +1,4 @@
-"""Point-in-time features: all features of one path are conditional aggregates over one join.
+"""Point-in-time features: all features of one path from one aggregation by segments of time.
 
 A feature reads rows with `time < cutoff` only (and `time >= cutoff - days` with a window). `pit_join` adds these
 bounds itself, so a feature cannot be written without them; it also bounds the child's scan by constants.
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.labels import KEYS
+from tidemark.operators.intervals import KEYS, Measure, aggregate, cutoff_times
 
 AGGREGATES = ("count", "count_distinct", "sum", "mean", "min", "max", "std", "days_since_last", "days_since_first", "share", "latest", "exists")
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "in", "is_null", "is_not_null")
@@ -140,8 +140,64 @@ def _aggregate(f: Feature, tie: str | None) -> Column:
     return F.log1p(made) if f.log1p else made
 
 
+DAY = 86_400_000_000
+_KINDS = {"count_distinct": "distinct", "days_since_last": "last_time", "days_since_first": "first_time", "latest": "last", "exists": "count", "share": "count"}
+
+
 def compute(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
-    """entity_id, cutoff_time and a column for each feature: one join and one aggregation for all of them."""
+    """entity_id, cutoff_time and a column for each feature, in work linear in the path's rows (see `intervals`).
+
+    Cutoffs of which each row may have its own (more than 2,000 different ones), and paths with several timed hops, are
+    computed by the join instead.
+    """
+    cuts = None if path.also else cutoff_times(spine)
+    if not cuts:
+        return compute_by_join(spine, path, features)
+    conditions = {w: f"_on{i}" for i, w in enumerate(dict.fromkeys(f.where for f in features if f.where))}
+    added = {"_key": F.col(path.key), "_t": F.col(path.time).cast("timestamp_ntz")}
+    for where, name in conditions.items():
+        cond = F.lit(True)
+        for p in where:
+            cond = cond & p.column_expression()
+        added[name] = F.coalesce(cond, F.lit(False))
+    used = {c for f in features for c in (f.column, path.tie) if c}
+    rows = path.table.withColumns(added).select("_key", "_t", *conditions.values(), *used)
+    windows = {_window(f): [(None if f.days is None else c - f.days * DAY, c) for c in cuts] for f in features}
+    measures = []
+    for f in features:
+        kind = _KINDS.get(f.agg, f.agg)
+        needs = kind not in ("count", "last_time", "first_time")
+        measures.append(Measure(f.name, kind, _window(f), conditions.get(f.where), (f.column or "_key") if needs else None, path.tie if kind == "last" else None))
+        if f.agg == "share":
+            measures.append(Measure(f"{f.name}/all", "count", _window(f)))
+    found = aggregate(spine, rows, "_key", "_t", cuts, windows, measures)
+    kinds = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in features]).schema
+    entity = F.col("entity_id").cast(spine.schema["entity_id"].dataType)
+    return found.select(entity.alias("entity_id"), "cutoff_time", *[_finished(f).cast(kinds[f.name].dataType).alias(f.name) for f in features])
+
+
+def _window(f: Feature) -> str:
+    return "all" if f.days is None else f"d{f.days}"
+
+
+def _finished(f: Feature) -> Column:
+    """A feature from its measure."""
+    c = F.col(f"`{f.name}`")
+    if f.agg == "share":
+        n = F.col(f"`{f.name}/all`")
+        none = F.lit(None) if f.empty == "null" else F.lit(1.0 if all(p.op == "is_null" for p in f.where) else 0.0)
+        c = F.when(n > 0, c / n).otherwise(none)
+    elif f.agg == "exists":
+        c = (c > 0).cast("int")
+    elif f.agg == "sum":
+        c = F.coalesce(c, F.lit(0))
+    elif f.agg in ("days_since_last", "days_since_first"):
+        c = (seconds(F.col("cutoff_time")) - seconds(c)) / F.lit(86400.0)
+    return F.log1p(c) if f.log1p else c
+
+
+def compute_by_join(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
+    """`compute` with one join and one aggregation: each row is paired with the cutoffs after it."""
     days = None if any(f.days is None for f in features) else max(f.days for f in features)
     joined = pit_join(spine, path, days)
     return joined.groupBy(*KEYS).agg(*[_aggregate(f, path.tie).alias(f.name) for f in features])

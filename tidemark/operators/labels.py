@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = ["entity_id", "cutoff_time"]
-MOST_CUTOFFS = 2000
+from tidemark.operators.intervals import KEYS, MOST_CUTOFFS, Measure, aggregate, micros, ordered
+
 
 
 @dataclass(frozen=True)
@@ -96,37 +96,80 @@ def apply_rule(spine: DataFrame, rule: Rule, exists: bool = True) -> DataFrame:
     return spine.join(right, near, "left_semi" if exists else "left_anti")
 
 
+def window_ends(spine: DataFrame) -> list[tuple[int, int]] | None:
+    """The distinct cutoffs with their window's end in microseconds; None if there are too many, or one cutoff has two ends."""
+    pairs = spine.select(micros(F.col("cutoff_time")).alias("c"), micros(F.col("label_window_end")).alias("e")).where("c is not null").distinct().limit(MOST_CUTOFFS + 1).collect()
+    if len(pairs) > MOST_CUTOFFS or len({r["c"] for r in pairs}) < len(pairs):
+        return None
+    return sorted((r["c"], r["e"]) for r in pairs)
+
+
 def labels(spine: DataFrame, target: Target) -> DataFrame:
     """entity_id, cutoff_time, label, label_window_end; rows whose label is NULL are dropped.
 
-    spine has entity_id, cutoff_time and label_window_end. The child's scan is bounded by the earliest cutoff and the
-    latest window end, which the residual range condition alone does not tell the scan.
+    spine has entity_id, cutoff_time and label_window_end. Where every cutoff has one window end (a schedule), the work is
+    linear in the target's rows (see `intervals`); rows with windows of their own are joined with theirs.
     """
-    low, high = spine.agg(F.min("cutoff_time"), F.max("label_window_end")).first()
+    ends = window_ends(spine)
+    if not ends or any(e is None for _, e in ends):
+        return labels_by_join(spine, target)
+    edges = [(c + 1, max(c, e) + 1) for c, e in ends]  # a window is (cutoff, end]; one that ends before it begins is empty
+    if not ordered({"w": edges}):
+        return labels_by_join(spine, target)
     rows = target.table.where(target.where) if target.where else target.table
-    if low is not None:
-        rows = rows.where((F.col(target.time) > F.lit(low)) & (F.col(target.time) <= F.lit(high)))
     value = F.col(target.column) if target.column else F.lit(1)
+    value = value.cast("string") if target.agg == "first" else value
     child = rows.select(F.col(target.key).alias("_k"), F.col(target.time).alias("_t"), value.alias("_v"))
-    inside = (F.col("entity_id") == F.col("_k")) & (F.col("_t") > F.col("cutoff_time")) & (F.col("_t") <= F.col("label_window_end"))
-    if target.agg == "first":
-        child = child.where("_v is not null").withColumn("_v", F.col("_v").cast("string"))
-        found = spine.join(child, inside).groupBy("entity_id", "cutoff_time", "label_window_end")
-        return found.agg(F.min_by("_v", F.struct("_t", "_v")).alias("label")).select("entity_id", "cutoff_time", "label", "label_window_end")
-    how = {
+    kind = {"avg": "mean", "count_distinct": "distinct"}.get(target.agg, target.agg)
+    measure = Measure("value", kind, "w", "_v is not null" if kind == "first" else None, None if kind == "count" else "_v", "_v" if kind == "first" else None)
+    found = aggregate(spine, child, "_k", "_t", [c for c, _ in ends], {"w": edges}, [measure])
+    how = _aggregates(target)
+    plain = found.withColumn("value", F.col("value").cast(child.select(how).schema[0].dataType))
+    if target.agg in ("sum", "count"):
+        plain = plain.withColumn("value", F.coalesce("value", F.lit(0)))
+    table = spine.sparkSession.createDataFrame(ends, "_c long, _e long")
+    closed = plain.withColumn("_c", micros(F.col("cutoff_time"))).join(F.broadcast(table), "_c").withColumn("label_window_end", F.timestamp_micros("_e").cast("timestamp_ntz"))
+    return _labelled(closed, target).select(F.col("entity_id").cast(spine.schema["entity_id"].dataType).alias("entity_id"), "cutoff_time", "label", "label_window_end")
+
+
+def _aggregates(target: Target) -> Column:
+    return {
         "count": F.count("_k"),
         "sum": F.coalesce(F.sum("_v"), F.lit(0)),
         "avg": F.avg("_v"),
         "min": F.min("_v"),
         "max": F.max("_v"),
         "count_distinct": F.count_distinct("_v"),
+        "first": F.min_by("_v", F.struct("_t", "_v")),
     }[target.agg]
-    found = spine.join(child, inside, "left").groupBy("entity_id", "cutoff_time", "label_window_end").agg(how.alias("value")).where("value is not null")
+
+
+def _labelled(found: DataFrame, target: Target) -> DataFrame:
     label = F.col("value")
     if target.compare:
         op, limit = target.compare
         label = F.expr(f"case when value {op} {limit} then 1 else 0 end")
-    return found.select("entity_id", "cutoff_time", label.alias("label"), "label_window_end")
+    return found.where("value is not null").withColumn("label", label)
+
+
+def labels_by_join(spine: DataFrame, target: Target) -> DataFrame:
+    """`labels` with each row of the target's table paired with the windows it lies in.
+
+    The child's scan is bounded by the earliest cutoff and the latest window end, which the residual range condition
+    alone does not tell the scan.
+    """
+    low, high = spine.agg(F.min("cutoff_time"), F.max("label_window_end")).first()
+    rows = target.table.where(target.where) if target.where else target.table
+    if low is not None:
+        rows = rows.where((F.col(target.time) > F.lit(low)) & (F.col(target.time) <= F.lit(high)))
+    value = F.col(target.column) if target.column else F.lit(1)
+    child = rows.select(F.col(target.key).alias("_k"), F.col(target.time).alias("_t"), value.alias("_v"))
+    inside = (F.col("entity_id") == F.col("_k")) & (F.col("_t") > F.col("cutoff_time")) & (F.col("_t") <= F.col("label_window_end"))
+    first = target.agg == "first"
+    if first:
+        child = child.where("_v is not null").withColumn("_v", F.col("_v").cast("string"))
+    found = spine.join(child, inside, "inner" if first else "left").groupBy("entity_id", "cutoff_time", "label_window_end").agg(_aggregates(target).alias("value"))
+    return _labelled(found, target).select("entity_id", "cutoff_time", "label", "label_window_end")
 
 
 def label_counts(rows: DataFrame, kind: str = "binary") -> DataFrame:
