@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import alignment, bpe, merkle, queries
+from tidemark.llm import alignment, bpe, merkle, packing, queries
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -233,3 +233,32 @@ def test_manifest_of_one_row_and_small_runs(spark):
     many = spark.createDataFrame([(i, "x", None, "s", 1) for i in range(11)], SCHEMA)
     rows = merkle.verified(merkle.manifest(many, ["doc_id", "text"], "source", "doc_id", fan_out=2)).collect()
     assert len({r.root for r in rows}) == 1 and all(r.verified for r in rows) and {len(r.path) for r in rows} == {4}
+
+
+# ---- packing: the program's start over many lengths, inside a session
+
+
+def test_packing_of_a_thousand_lengths(spark):
+    """1,022 different lengths are left over; the basis is inverted on the driver beside a running JVM."""
+    docs = spark.range(1, 1023).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" a"), F.col("id").cast("int")).alias("text"))
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "length", "doc_tokens", "sequence_id", "offset").collect()
+    assert len(packed) == 1022 and all(r.length == r.doc_tokens == r.doc_id + 1 for r in packed)
+    used = Counter()
+    for r in packed:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1024 and len(used) <= 1.03 * sum(used.values()) / 1024 + 1
+
+
+def test_inverses_and_equal_counts():
+    rng = np.random.default_rng(2)
+    order = rng.permutation(40).tolist()
+    basis = np.zeros((40, 40))
+    for k, row in enumerate(order):
+        basis[row, : k + 1] = rng.integers(0, 3, k + 1)
+        basis[row, k] = rng.integers(1, 4)
+    for inverse in (packing.triangular_inverse(basis, order), packing.inverse_of(basis)):
+        assert np.abs((inverse[:, :, None] * basis[None]).sum(1) - np.eye(40)).max() < 1e-6
+    # equal counts tie in every step; a gap of nothing makes the program run to its end, with a new inverse on the way
+    lengths = np.arange(300, 420, 2)
+    patterns, x = packing.column_generation(lengths, np.full(len(lengths), 30), gap=0.0, refactor=5)
+    assert np.allclose((patterns * x[:, None]).sum(0), 30, atol=1e-3) and (patterns @ lengths <= 1024).all()

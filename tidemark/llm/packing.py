@@ -64,14 +64,49 @@ def best_pattern(lengths: np.ndarray, duals: np.ndarray, capacity: int) -> tuple
     return float(best[capacity]), pattern
 
 
-def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+def triangular_inverse(basis: np.ndarray, order: list[int]) -> np.ndarray:
+    """Inverse of a basis whose column k has its last use of row order[k]: forward substitution, row by row.
+
+    No call goes to a linear algebra library here or below: its threads may block in a process that also runs a JVM.
+    """
+    m = len(order)
+    solved = np.zeros((m, m))
+    for k, row in enumerate(order):
+        used = np.flatnonzero(basis[row, :k])
+        solved[k] = -(basis[row, used][:, None] * solved[used]).sum(axis=0)
+        solved[k, k] += 1.0
+        solved[k] /= basis[row, k]
+    inverse = np.empty((m, m))
+    inverse[:, order] = solved
+    return inverse
+
+
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row exchange."""
+    m = len(basis)
+    both = np.concatenate([basis, np.eye(m)], axis=1)
+    for k in range(m):
+        r = k + int(np.abs(both[k:, k]).argmax())
+        if r != k:
+            both[[k, r]] = both[[r, k]]
+        both[k] /= both[k, k]
+        on = np.flatnonzero(both[:, k])
+        on = on[on != k]
+        both[on] -= both[on, k][:, None] * both[k]
+    return both[:, m:]
+
+
+def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, refactor: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used, a solution of the linear program within `gap` of its optimum.
 
     The first basis is that of the largest-first patterns over fractional counts: each uses up one length, so the
-    matrix is triangular in that order and the basis feasible.
+    matrix is triangular in that order and the basis feasible. Counts are raised by small amounts that differ from
+    length to length, so that no two leave the basis at once and the program cannot cycle; the inverse is made anew
+    every `refactor` steps. The caller fits whole numbers to the true counts.
     """
     m = len(lengths)
-    basis, x, left, active = np.zeros((m, m)), np.zeros(m), counts.astype(float), np.ones(m, np.int64)
+    wanted = counts + 1e-5 * (1 + np.arange(m)) / m
+    basis, x, left, active, order = np.zeros((m, m)), np.zeros(m), wanted.copy(), np.ones(m, np.int64), []
     for k in range(m):
         pattern = largest_first(lengths, active * capacity, capacity)
         on = np.flatnonzero(pattern)
@@ -80,22 +115,31 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int = C
         left = np.maximum(0.0, left - x[k] * pattern)
         left[i], active[i] = 0.0, 0
         basis[:, k] = pattern
-    inverse = np.linalg.inv(basis)
+        order.append(int(i))
+    inverse, least = triangular_inverse(basis, order), float((lengths * wanted).sum()) / capacity
+    steps = 0
     while True:
         duals = inverse.sum(axis=0)
         value, pattern = best_pattern(lengths, np.maximum(duals, 0), capacity)
-        bound = max(x.sum() / max(value, 1.0), float(lengths @ counts) / capacity)
+        bound = max(x.sum() / max(value, 1.0), least)
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             return basis.T.round().astype(np.int64), x
-        way = inverse @ pattern
+        on = np.flatnonzero(pattern)
+        way = (inverse[:, on] * pattern[on]).sum(axis=1)
         can = way > 1e-9
         step = np.where(can, x / np.where(can, way, 1), np.inf)
         r = int(np.argmin(step))
         x = np.maximum(0.0, x - step[r] * way)
         x[r] = step[r]
         basis[:, r] = pattern
+        steps += 1
+        if steps % refactor == 0:
+            inverse = inverse_of(basis)
+            x = np.maximum(0.0, (inverse * wanted).sum(axis=1))
+            continue
         row = inverse[r] / way[r]
-        inverse = inverse - np.outer(way, row)
+        hit = np.flatnonzero(way)
+        inverse[hit] -= way[hit, None] * row
         inverse[r] = row
 
 
