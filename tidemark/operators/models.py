@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -184,68 +186,95 @@ def trees_of(model) -> list[tuple[float, list]]:
     return out
 
 
-def tree_shap(nodes: list, x: np.ndarray, phi: np.ndarray, weight: float) -> float:
-    """Adds a tree's exact Shapley contributions for one row to phi; gives the tree's expected value.
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf's path: its distinct features, the share of rows that follow the path where a feature is unknown, and the splits to pass."""
 
-    Along each path to a leaf, the features on it are kept with the share of rows that would go this way if a feature
-    were unknown and whether x goes this way if it is known; the leaf's value is shared among them over all coalitions.
-    """
-    from math import factorial
-
-    base = 0.0
-
-    def leaf(value: float, path: dict[int, tuple[float, float]]) -> None:
-        nonlocal base
-        feats = list(path)
-        m = len(feats)
-        zero = [path[f][0] for f in feats]
-        one = [path[f][1] for f in feats]
-        base += value * float(np.prod(zero)) if m else value
-        for i in range(m):
-            poly = np.array([1.0])  # by size of the coalition: the sum of products over the other features
-            for j in range(m):
-                if j != i:
-                    poly = np.convolve(poly, [zero[j], one[j]])
-            total = sum(poly[s] * factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m))
-            phi[feats[i]] += weight * value * (one[i] - zero[i]) * total
-
-    def walk(at: int, path: dict[int, tuple[float, float]]) -> None:
+    value: float
+    features: np.ndarray  # the path's distinct features
+    shares: np.ndarray  # for each of them, the share of rows that go this way
+    splits: tuple[tuple[int, int, float, bool], ...]  # place among features, feature, threshold, whether to the left
+
+
+def leaves_of(nodes: list) -> list[Leaf]:
+    """The paths of a tree from `trees_of`."""
+    out = []
+    todo: list[tuple[int, dict[int, float], tuple]] = [(0, {}, ())]
+    while todo:
+        at, shares, splits = todo.pop()
         f, threshold, left, right, value, rows = nodes[at]
         if f < 0:
-            leaf(value, path)
-            return
-        goes_left = x[f] <= threshold
-        for child, hit in ((left, goes_left), (right, not goes_left)):
-            z, o = path.get(f, (1.0, 1.0))
-            walk(child, path | {f: (z * nodes[child][5] / rows, o * float(hit))})
+            place = {x: k for k, x in enumerate(shares)}
+            out.append(Leaf(value, np.array(list(shares), np.int64), np.array(list(shares.values())), tuple((place[x], x, t, to) for x, t, to in splits)))
+            continue
+        for child, to in ((left, True), (right, False)):
+            todo.append((child, shares | {f: shares.get(f, 1.0) * nodes[child][5] / rows}, (*splits, (f, threshold, to))))
+    return out
+
+
+def coalition_weights(shares: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """For each pattern (row of `follows`: whether each feature of the path leads to the leaf) the features' exact Shapley shares of its value.
 
-    walk(0, {})
-    return base * weight
+    Over the other features of a path, the products of (share or follows) are collected by the coalition's size; sizes
+    are weighed by the share of orders in which just that many features come first.
+    """
+    rows, m = follows.shape
+    hits, out = follows.astype(float), np.empty((rows, m))
+    orders = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+    for i in range(m):
+        sizes = np.ones((rows, 1))
+        for j in range(m):
+            if j != i:
+                wider = np.zeros((rows, sizes.shape[1] + 1))
+                wider[:, :-1] = sizes * shares[j]
+                wider[:, 1:] += sizes * hits[:, j : j + 1]
+                sizes = wider
+        out[:, i] = (hits[:, i] - shares[i]) * (sizes * orders).sum(axis=1)
+    return out
+
+
+def contributions(trees: list[tuple[float, list[Leaf]]], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """The expected value of all trees and the exact contributions of each feature (columns) to each row of x.
+
+    Rows that pass and fail the same features of a leaf's path share one evaluation, so its cost is bounded by the
+    patterns that occur, not by the rows.
+    """
+    base, phi = 0.0, np.zeros(x.shape)
+    for weight, leaves in trees:
+        for leaf in leaves:
+            base += weight * leaf.value * float(leaf.shares.prod())
+            if not len(leaf.features):
+                continue
+            follows = np.ones((len(x), len(leaf.features)), bool)
+            for place, feature, threshold, left in leaf.splits:
+                follows[:, place] &= (x[:, feature] <= threshold) == left
+            if len(leaf.features) < 63:
+                code = (follows << np.arange(len(leaf.features), dtype=np.int64)).sum(axis=1)
+                _, first, which = np.unique(code, return_index=True, return_inverse=True)
+            else:
+                _, first, which = np.unique(np.packbits(follows, axis=1), axis=0, return_index=True, return_inverse=True)
+            shares = coalition_weights(leaf.shares, follows[first])
+            phi[:, leaf.features] += weight * leaf.value * shares[which.ravel()]
+    return base, phi
 
 
 def reasons(model, df: DataFrame, columns: list[str], key: str, top: int = 3) -> DataFrame:
     """key, margin, base, reason_1 ... and contributions, summed back to source columns: base + their sum is the margin."""
-    trees = trees_of(model)
+    trees = [(w, leaves_of(nodes)) for w, nodes in trees_of(model)]
     data, names = ready(df, columns)
-    sources = [n.removesuffix("_missing") for n in names]
     place = {c: i for i, c in enumerate(columns)}
+    source = np.array([place[n.removesuffix("_missing")] for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, vectors = b.column(0), b.column(1).to_pylist()
-            bases, margins, shares, named = [], [], [], []
-            for v in vectors:
-                x, phi = np.array(v), np.zeros(len(names))
-                base = sum(tree_shap(nodes, x, phi, w) for w, nodes in trees)
-                total = np.zeros(len(columns))
-                for s, p in zip(sources, phi, strict=True):
-                    total[place[s]] += p
-                bases.append(base)
-                margins.append(base + total.sum())
-                shares.append(total.tolist())
-                order = np.lexsort((np.arange(len(columns)), -np.abs(total)))[:top]
-                named.append([columns[i] for i in order])
-            yield pa.RecordBatch.from_arrays([keys, pa.array(bases, pa.float64()), pa.array(margins, pa.float64()), pa.array(shares, pa.list_(pa.float64())), pa.array(named, pa.list_(pa.string()))], names=[key, "base", "margin", "contributions", "reasons"])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(names))
+            base, phi = contributions(trees, x)
+            total = np.zeros((len(x), len(columns)))
+            np.add.at(total.T, source, phi.T)
+            order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :top]
+            named = pa.array(np.array(columns, object)[order].ravel(), pa.string())
+            shares, chosen = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), v) for n, v in ((len(columns), pa.array(total.ravel())), (order.shape[1], named)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), base)), pa.array(base + total.sum(axis=1)), shares, chosen], names=[key, "base", "margin", "contributions", "reasons"])
 
     kind = dict(df.dtypes)[key]
     out = data.select(key, vector_to_array("features").alias("x")).mapInArrow(run, f"{key} {kind}, base double, margin double, contributions array<double>, reasons array<string>")
