@@ -80,3 +80,49 @@ def test_deep_paths_share_patterns_beyond_a_word():
     base, phi = models.contributions([(1.0, leaves)], x)
     want = [expected(chain, row, set(range(n))) for row in x]
     assert np.allclose(base + phi.sum(axis=1), want, atol=1e-6)
+
+
+def test_softmax_boosting_beats_a_forest(spark):
+    """Three classes by two thresholds and a product, one class that only the validation rows have."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+
+    from tidemark.operators import metrics
+
+    df = spark.range(1500).select("id", (F.rand(1) * 2 - 1).alias("a"), (F.rand(2) * 2 - 1).alias("b"), F.when(F.rand(3) > 0.2, F.rand(4)).alias("c"))
+    kind = F.when(F.col("a") * F.col("b") > 0.1, "both").when(F.coalesce("c", F.lit(0.0)) > 0.5, "high").otherwise("low")
+    df = df.withColumn("part", F.when(F.col("id") % 4 == 0, "val").otherwise("train")).withColumn("label", F.when(F.col("id") % 100 == 0, "rare").otherwise(kind)).cache()
+    model, _ = models.fit_validated(df, ["a", "b", "c"], kind="multiclass", rounds=12)
+    assert model.classes == ("both", "high", "low") and 1 <= len(model.rounds) <= 12
+    val = models.predict_classes(model, df.where("part = 'val'"), ["a", "b", "c"])
+    place = F.array_position(F.array(*map(F.lit, model.classes)), F.col("label")).cast("int") - 1
+    got = metrics.multiclass(val, "label", "prediction", F.coalesce(F.get("probabilities", place), F.lit(0.0)), df.where("part = 'train'")).first()
+    assert got.n_unseen_class == 15 and got.accuracy > 0.9
+    data, _ = models.ready(df, ["a", "b", "c"])
+    train = data.where("part = 'train'")
+    indexed = StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip").fit(train)
+    forest = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=4, seed=7).fit(indexed.transform(train))
+    out = PipelineModel([indexed, forest]).transform(data.where("part = 'val'"))
+    loss = metrics.log_loss(out, F.element_at(models.vector_to_array("probability"), F.col("y").cast("int") + 1)).first()[0]
+    assert got.log_loss < loss
+    p = np.array([r.probabilities for r in val.collect()])
+    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+
+
+def test_softmax_needs_two_classes(spark):
+    df = spark.range(20).select(F.lit("x").alias("label"), F.rand(1).alias("a"), F.lit("train").alias("part"))
+    with pytest.raises(ValueError, match="classes"):
+        models.fit_validated(df, ["a"], kind="multiclass")
+
+
+def test_fits_side_by_side_keep_their_order_and_failures():
+    def slow(i):
+        time.sleep(0.2 * (3 - i))
+        return i
+
+    began = time.time()
+    assert models.side_by_side([lambda i=i: slow(i) for i in range(3)]) == [0, 1, 2]
+    assert time.time() - began < 1.1
+    with pytest.raises(ZeroDivisionError):
+        models.side_by_side([lambda: 1, lambda: 1 // 0])

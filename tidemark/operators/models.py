@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
+from tidemark.sources.shared import written
+
+#: Fits that run side by side; Spark's scheduler shares the cores among their jobs.
+AT_ONCE = 4
+
+
+def side_by_side(jobs: list[Callable], most: int = AT_ONCE) -> list:
+    """The results of all jobs in order, several running at a time; the first failure is raised when all have ended."""
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
+        begun = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+    return [b.result() for b in begun]
 
 
 def ready(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -44,13 +57,96 @@ def fit_validated(df: DataFrame, columns: list[str], label: str = "label", kind:
     if kind == "tweedie":
         return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="label_d", maxIter=20, regParam=0.01).fit(data.where(~F.col("_val"))), names
     if kind == "multiclass":
-        indexed = StringIndexer(inputCol=label, outputCol="label_i", handleInvalid="keep").fit(data.where(~F.col("_val")))
-        forest = RandomForestClassifier(labelCol="label_i", numTrees=20, maxDepth=depth, seed=seed).fit(indexed.transform(data).where(~F.col("_val")))
-        return PipelineModel([indexed, forest]), names
+        return fit_softmax(data, label, rounds=rounds, depth=depth, seed=seed), names
     maker = GBTClassifier if kind == "binary" else GBTRegressor
     return maker(labelCol="label_d", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_val").fit(data), names
 
 
+@dataclass(frozen=True)
+class SoftmaxTrees:
+    """Boosted trees for several classes: in each round a regression tree for each class adds to that class's margin."""
+
+    classes: tuple[str, ...]
+    start: tuple[float, ...]
+    step: float
+    rounds: tuple[tuple[list, ...], ...] = field(default=())  # nodes of each round's trees, by class
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with probabilities (in the order of classes) and prediction, a class."""
+        trees, start, step = self.rounds, np.array(self.start), self.step
+
+        @F.pandas_udf("array<double>")
+        def share(x: pd.Series) -> pd.Series:
+            rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
+            margins = np.tile(start, (len(rows), 1))
+            for some in trees:
+                for k, nodes in enumerate(some):
+                    margins[:, k] += step * leaf_values(nodes, rows)
+            e = np.exp(margins - margins.max(axis=1, keepdims=True))
+            return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+
+        out = df.withColumn("probabilities", share(vector_to_array("features")))
+        names = F.array(*[F.lit(c) for c in self.classes])
+        return out.withColumn("prediction", F.get(names, F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1))
+
+
+def leaf_values(nodes: list, x: np.ndarray) -> np.ndarray:
+    """The value of the leaf that each row of x comes to."""
+    feature, threshold, left, right, value = (np.array([n[i] for n in nodes]) for i in range(5))
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while (inner := feature[at] >= 0).any():
+        go = rows[inner]
+        here = at[inner]
+        at[go] = np.where(x[go, feature[here]] <= threshold[here], left[here], right[here])
+    return value[at]
+
+
+def fit_softmax(data: DataFrame, label: str, rounds: int = 20, depth: int = 4, step: float = 0.3, patience: int = 3, most_classes: int = 30, seed: int = 7) -> SoftmaxTrees:
+    """Newton boosting of the softmax loss on rows without `_val`, ended by the loss of those with it.
+
+    In each round the trees of all classes are fitted side by side: to the residual over p(1 - p), weighed by p(1 - p), so
+    that a leaf's mean is its Newton step. Only the vectors, the class and the margins are written between rounds. Classes
+    are those of the training rows; other rows are not part of the loss.
+    """
+    counts = {r["c"]: r["n"] for r in data.where(~F.col("_val") & F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n")).limit(most_classes + 1).collect()}
+    if not 2 <= len(counts) <= most_classes:
+        raise ValueError(f"between 2 and {most_classes} classes, not {len(counts)}")
+    classes, total = tuple(sorted(counts)), sum(counts.values())
+    start = tuple(float(np.log(counts[c] / total)) for c in classes)
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("string")) - 1
+    rows = written(data.select("features", number.alias("y"), "_val", F.array(*[F.lit(v) for v in start]).alias("m")).where("y >= 0"), "boosting")
+    k, made, best, best_loss = len(classes), [], 0, None
+    top = F.array_max("m")
+    shares = F.transform("m", lambda v: F.exp(v - top))
+    p = [shares[c] / F.aggregate(shares, F.lit(0.0), lambda a, v: a + v) for c in range(k)]
+
+    def tree(c: int):
+        weight = F.greatest(p[c] * (1 - p[c]), F.lit(1e-6))
+        target = ((F.col("y") == c).cast("double") - p[c]) / weight * F.lit((k - 1) / k)
+        part = rows.where("not _val").select("features", weight.alias("w"), F.greatest(F.least(target, F.lit(4.0)), F.lit(-4.0)).alias("t"))
+        return DecisionTreeRegressor(labelCol="t", weightCol="w", maxDepth=depth, seed=seed + c).fit(part)
+
+    for _ in range(rounds):
+        fitted = side_by_side([lambda c=c: tree(c) for c in range(k)])
+        for c, t in enumerate(fitted):
+            rows = t.setPredictionCol(f"t{c}").transform(rows)
+        grown = F.array(*[F.col("m")[c] + F.lit(step) * F.col(f"t{c}") for c in range(k)])
+        rows = written(rows.select("features", "y", "_val", grown.alias("m")), "boosting")
+        made.append(tuple(nodes_of(t) for t in fitted))
+        loss = rows.where("_val").agg(F.avg(F.log(F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)) + top - F.get("m", F.col("y").cast("int")))).first()[0]
+        if loss is None or best_loss is None or loss < best_loss:
+            best, best_loss = len(made), loss
+        elif len(made) - best >= patience:
+            break
+    return SoftmaxTrees(classes, start, step, tuple(made[:best]))
+
+
+def predict_classes(model, df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with prediction (a class) and probabilities."""
+    data, _ = ready(df, columns)
+    return model.transform(data).select(*df.columns, "prediction", "probabilities")
+
+
 def predict(model, df: DataFrame, columns: list[str]) -> DataFrame:
     """df and score: the probability of class 1, or the prediction."""
     data, _ = ready(df, columns)
@@ -67,14 +163,16 @@ def battery(df: DataFrame, columns: list[str], label: str = "label", makers: dic
     """model, accuracy, f1, error on part val; one model's failure does not stop the others."""
     data, _ = ready(df.withColumn("label_d", F.col(label).cast("double")), columns)
     data = data.persist()  # all fits read it; the scores below are small and brought in before it is let go
-    out = []
-    for name, maker in (makers or engines()).items():
+
+    def one(name: str, maker) -> tuple:
         try:
             got = maker.fit(data.where("part = 'train'")).transform(data.where("part = 'val'"))
             r = metrics.classification(got, "label_d", "prediction").first()
-            out.append((name, r["accuracy"], r["f1"], None))
+            return name, r["accuracy"], r["f1"], None
         except Exception as e:  # noqa: BLE001
-            out.append((name, None, None, str(e)[:200]))
+            return name, None, None, str(e)[:200]
+
+    out = side_by_side([lambda n=n, m=m: one(n, m) for n, m in (makers or engines()).items()])
     data.unpersist()
     return df.sparkSession.createDataFrame(out, "model string, accuracy double, f1 double, error string")
 
@@ -83,11 +181,13 @@ def search(df: DataFrame, columns: list[str], label: str = "label", tries: int =
     """depth, rounds, roc_auc on part val for a seeded choice of the grid, the best first."""
     grid = list(itertools.product((2, 3, 4), (5, 10, 20)))
     random.Random(seed).shuffle(grid)
-    rows = []
-    for depth, rounds in grid[:tries]:
+
+    def one(depth: int, rounds: int) -> tuple:
         model, _ = fit_validated(df, columns, label, rounds=rounds, depth=depth, seed=seed)
         scored = predict(model, df.where("part = 'val'"), columns)
-        rows.append((depth, rounds, metrics.roc_auc(scored, "score", label).first()[0]))
+        return depth, rounds, metrics.roc_auc(scored, "score", label).first()[0]
+
+    rows = side_by_side([lambda g=g: one(*g) for g in grid[:tries]])
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -(r[2] or 0)), "depth int, rounds int, roc_auc double")
 
 
@@ -103,11 +203,13 @@ def vote(predictions: list[DataFrame], key: str) -> DataFrame:
 
 def fold_scores(df: DataFrame, columns: list[str], folds: list[str], label: str = "label", seed: int = 7) -> DataFrame:
     """fold, roc_auc for each fold column, whose values are 'train' and 'val'."""
-    rows = []
-    for i, f in enumerate(folds):
+
+    def one(i: int, f: str) -> tuple:
         part = df.withColumn("part", F.col(f)).where("part is not null")
         model, _ = fit_validated(part, columns, label, rounds=8, depth=3, seed=seed)
-        rows.append((i + 1, metrics.roc_auc(predict(model, part.where("part = 'val'"), columns), "score", label).first()[0]))
+        return i + 1, metrics.roc_auc(predict(model, part.where("part = 'val'"), columns), "score", label).first()[0]
+
+    rows = side_by_side([lambda i=i, f=f: one(i, f) for i, f in enumerate(folds)])
     return df.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
 
 
@@ -164,26 +266,28 @@ def calibrate(df: DataFrame, p: str = "score", label: str = "label", least_error
     return lambda d: d.withColumn("calibrated", 1 / (1 + F.exp(-(logit(F.col(p)) * a + b))))
 
 
-def trees_of(model) -> list[tuple[float, list]]:
-    """(weight, nodes) of each tree; a node is (feature, threshold, left, right, value, weight of rows)."""
-    out = []
-    for w, t in zip(model.treeWeights, model.trees, strict=True):
-        nodes: list = []
-
-        def walk(n) -> int:
-            at = len(nodes)
-            nodes.append(None)
-            rows = float(n.impurityStats().count())
-            if n.subtreeDepth() == 0:
-                nodes[at] = (-1, 0.0, -1, -1, float(n.prediction()), rows)
-            else:
-                left, right = walk(n.leftChild()), walk(n.rightChild())
-                nodes[at] = (int(n.split().featureIndex()), float(n.split().threshold()), left, right, 0.0, rows)
-            return at
+def nodes_of(tree) -> list:
+    """The nodes of a tree: (feature, threshold, left, right, value, weight of rows), the root first; leaves have feature -1."""
+    nodes: list = []
 
-        walk(t._call_java("rootNode"))
-        out.append((float(w), nodes))
-    return out
+    def walk(n) -> int:
+        at = len(nodes)
+        nodes.append(None)
+        rows = float(n.impurityStats().count())
+        if n.subtreeDepth() == 0:
+            nodes[at] = (-1, 0.0, -1, -1, float(n.prediction()), rows)
+        else:
+            left, right = walk(n.leftChild()), walk(n.rightChild())
+            nodes[at] = (int(n.split().featureIndex()), float(n.split().threshold()), left, right, 0.0, rows)
+        return at
+
+    walk(tree._call_java("rootNode"))
+    return nodes
+
+
+def trees_of(model) -> list[tuple[float, list]]:
+    """(weight, nodes) of each tree."""
+    return [(float(w), nodes_of(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
 
 @dataclass(frozen=True)

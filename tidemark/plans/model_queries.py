@@ -101,6 +101,19 @@ def m2(spark, d):
     return metrics.regression(models.predict(model, f.where("part = 'val'"), ["n_365", "mean_price"]), "label", "score").withColumn("kind", F.lit(kind))
 
 
+@query("M2_multiclass")
+def m2_multiclass(spark, d):
+    """The status of the first order after the cutoff, by boosted trees with a softmax."""
+    rows = lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="first", column="o_orderstatus"))
+    feats = [Feature("n_365", "count", days=365), Feature("mean_price", "mean", "o_totalprice"), Feature("since_last", "days_since_last")]
+    columns = [x.name for x in feats]
+    f = written(fs.wide(splits.partition(rows, "1996-07-01", "1996-10-01"), [fs.compute(rows, orders_path(spark, d), feats)]), "frame")
+    model, _ = models.fit_validated(f, columns, kind=models.task_kind(f), rounds=5)
+    place = F.array_position(F.array(*map(F.lit, model.classes)), F.col("label")).cast("int") - 1
+    val = models.predict_classes(model, f.where("part = 'val'"), columns)
+    return metrics.multiclass(val, "label", "prediction", F.coalesce(F.get("probabilities", place), F.lit(0.0)), f.where("part = 'train'"))
+
+
 @query("M3")
 def m3(spark, d):
     f, _ = models.ready(frame(spark, d).withColumn("label_d", F.col("label").cast("double")), COLUMNS)
