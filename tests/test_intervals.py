@@ -12,7 +12,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators.features import Feature, Path, Predicate
 from tidemark.operators.labels import Target
 
-DAYS = (None, 3, 30, 200)
+DAYS = (None, 3, 90)
 WHERE = (Predicate("kind", "in", ("a", "b")), Predicate("x", "is_not_null"))
 
 
@@ -51,9 +51,8 @@ def same(a, b, within=1e-9):
     return a == b
 
 
-@pytest.mark.parametrize("odd", [False, True])
-def test_every_aggregate_equals_the_join(spark, odd):
-    path = Path(events(spark, 600, odd=odd), "who", "at", tie="id")
+def test_every_aggregate_equals_the_join(spark):
+    path = Path(events(spark, 600, odd=True), "who", "at", tie="id")
     feats = every_feature()
     keys = spine(spark).select(*lb.KEYS)
     fast, slow = fs.compute(keys, path, feats), fs.compute_by_join(keys, path, feats)
@@ -94,7 +93,7 @@ def test_dates_and_text_keys(spark):
 
 def test_no_rows_and_no_cutoffs(spark):
     path = Path(events(spark, 20).where("false"), "who", "at", tie="id")
-    feats = [f for f in every_feature() if f.days in (None, 30)]
+    feats = [f for f in every_feature() if f.days == 90 and not f.where]
     keys = spine(spark).select(*lb.KEYS)
     assert sorted(fs.compute(keys, path, feats).collect()) == sorted(fs.compute_by_join(keys, path, feats).collect())
     assert fs.compute(keys.where("false"), path, feats).count() == 0

@@ -220,6 +220,18 @@ def test_foreign_keys_are_found(spark):
     assert got == {("orders", "customer_id", "customers")}
 
 
+def test_inclusions_scan_each_table_once(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 2.5), (None, None, 3.0), (7, "y", 7.0)], "k long, s string, d double")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "x")], "p int, t string")
+    pairs = [("a", "k", "b", "p"), ("a", "d", "b", "p"), ("a", "s", "b", "t"), ("b", "p", "a", "k")]
+    found = profile.inclusions({"a": a, "b": b}, pairs)
+    got = {(r.child_column, r.parent_column): (r.n_keys, r.matched, r.unique_parent) for r in found.collect()}
+    assert got == {("k", "p"): (3, 2, True), ("d", "p"): (4, 2, True), ("s", "t"): (2, 1, False), ("p", "k"): (3, 2, True)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    empty = profile.uniqueness(a.where("false"), ["k", "s"]).collect()
+    assert [(r.non_null, r.n_distinct, r.is_unique) for r in empty] == [(0, 0, True)] * 2
+
+
 def test_generator_names_and_paths(spark, shop):
     c, o, every = shop
     cat = {"customers": dfs.Table(c, "customer_id", "signup_at"), "orders": dfs.Table(o, "order_id", "ordered_at", {"customer_id": "customers"}), "notes": dfs.Table(o, "order_id", None, {"customer_id": "customers"})}
@@ -279,6 +291,36 @@ def test_parent_names(spark):
     assert profile.name_strength("customer_id", "shop_customers") == 0.7 and profile.name_strength("price", "customers") == 0.0
 
 
+def test_database_catalog_lists_tables_keys_and_edges(spark):
+    """Two tables made by SQL in an embedded database, one with a key of two columns and foreign keys to the other."""
+    url, how = "jdbc:derby:memory:tidemark_catalog;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    with src.database(spark, url, how) as connection:
+        for text in ("create table customer (ck int primary key, name varchar(20))", "create table orders (ok int, line int, ck int references customer, placed timestamp, primary key (ok, line))", "insert into customer values (1, 'a'), (2, 'b'), (900, 'c')", "insert into orders values (1, 1, 1, timestamp('2024-01-01 00:00:00')), (1, 2, 1, null), (2, 1, 900, timestamp('2024-02-01 00:00:00'))"):
+            connection.createStatement().execute(text)
+    found = src.catalog(spark, url, how)
+    names = {n.lower().rpartition(".")[2]: t for n, t in found.items()}
+    assert set(names) == {"customer", "orders"}
+    assert names["customer"].key == ("CK",) and names["orders"].key == ("OK", "LINE")
+    assert [(e.columns, e.parent.rpartition(".")[2], e.parent_columns) for e in names["orders"].foreign] == [(("CK",), "CUSTOMER", ("CK",))]
+    frames = src.read_catalog(spark, url, how, parts=3)
+    customer = frames[next(n for n in found if n.endswith("CUSTOMER"))]
+    assert customer.rdd.getNumPartitions() == 3 and {r.NAME for r in customer.collect()} == {"a", "b", "c"}
+    assert sum(f.count() for f in frames.values()) == 6
+    src.write_back(spark.createDataFrame([(1, "2024-01-01", 0.5)], "entity_id int, cutoff_time string, score double"), "run", url=url, table="scores", properties=how)
+    assert src.read_jdbc(spark, url, "scores", properties=how).count() == 1
+
+
+def test_quantile_sketches_keep_their_rank_error(spark):
+    df = spark.range(40_000).select(((F.col("id") * 7919) % 40_000).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 100).alias("b"), F.lit(None).cast("double").alias("c"))
+    got = {r.column_name: r for r in profile.sketched_quantiles(df.repartition(7), ["a", "b", "c"], [0.01, 0.5, 0.99]).collect()}
+    assert set(got) == {"a", "b"} and got["a"].n == 40_000 and got["b"].n == 32_000
+    for q, x in zip([0.01, 0.5, 0.99], got["a"].q, strict=True):
+        assert abs(x / 40_000 - q) <= profile.rank_error(profile.SKETCH_K)
+    exact = profile.table_stats(df, ["a"]).first()
+    near = profile.table_stats(df, ["a"], sketch=True).first()
+    assert exact.p50 == 19999.5 and abs(near.p50 - exact.p50) <= 40_000 * profile.rank_error(profile.SKETCH_K)
+
+
 def test_database_table_is_read_in_ranges(spark):
     url, how = "jdbc:derby:memory:tidemark_test;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(500).select(F.col("id").alias("ck"), (F.col("id") % 7).alias("v")).write.mode("overwrite").jdbc(url, "c", properties=how)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,82 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return spark.read.format("jdbc").options(url=url, **(properties or {}), dbtable=table, partitionColumn=column, lowerBound=str(low or 0), upperBound=str(high or 0), numPartitions=str(parts)).load()
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    columns: tuple[str, ...]
+    parent: str
+    parent_columns: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class DatabaseTable:
+    """What a database tells of a table: columns with their SQL type numbers, the primary key, the foreign keys."""
+
+    name: str
+    columns: tuple[tuple[str, int], ...]
+    key: tuple[str, ...]
+    foreign: tuple[ForeignKey, ...]
+
+
+#: java.sql.Types of whole numbers, by which a scan can be split.
+WHOLE = (-6, 5, 4, -5)
+
+
+@contextmanager
+def database(spark: SparkSession, url: str, properties: dict | None = None) -> Iterator:
+    """A JDBC connection of the driver, for metadata; rows are read by executors."""
+    jvm, given = spark._jvm, dict(properties or {})
+    if "driver" in given:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(given.pop("driver"))
+    told = jvm.java.util.Properties()
+    for k, v in given.items():
+        told.setProperty(k, str(v))
+    connection = jvm.java.sql.DriverManager.getConnection(url, told)
+    try:
+        yield connection
+    finally:
+        connection.close()
+
+
+def _rows(found, *names: str) -> list[tuple]:
+    """The named columns of a result set, which is closed."""
+    out = []
+    while found.next():
+        out.append(tuple(found.getString(n) for n in names))
+    found.close()
+    return out
+
+
+def catalog(spark: SparkSession, url: str, properties: dict | None = None, schema: str | None = None) -> dict[str, DatabaseTable]:
+    """The tables of a database (of one schema, if given) by `schema.table`, with primary and foreign keys as the database has them."""
+    out = {}
+    with database(spark, url, properties) as connection:
+        told, kinds = connection.getMetaData(), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        full = lambda *parts: ".".join(p for p in parts if p)
+        for cat, sch, table in _rows(told.getTables(None, schema, "%", kinds), "TABLE_CAT", "TABLE_SCHEM", "TABLE_NAME"):
+            columns = [(n, int(t)) for n, t, _ in sorted(_rows(told.getColumns(cat, sch, table, "%"), "COLUMN_NAME", "DATA_TYPE", "ORDINAL_POSITION"), key=lambda r: int(r[2]))]
+            key = [n for n, _ in sorted(_rows(told.getPrimaryKeys(cat, sch, table), "COLUMN_NAME", "KEY_SEQ"), key=lambda r: int(r[1]))]
+            edges: dict[tuple, list] = {}
+            for name, ps, pt, pc, fc, seq in _rows(told.getImportedKeys(cat, sch, table), "FK_NAME", "PKTABLE_SCHEM", "PKTABLE_NAME", "PKCOLUMN_NAME", "FKCOLUMN_NAME", "KEY_SEQ"):
+                edges.setdefault((name, full(ps, pt)), []).append((int(seq), fc, pc))
+            foreign = [ForeignKey(tuple(f for _, f, _ in sorted(e)), parent, tuple(p for _, _, p in sorted(e))) for (_, parent), e in sorted(edges.items(), key=str)]
+            out[full(sch, table)] = DatabaseTable(full(sch, table), tuple(columns), tuple(key), tuple(foreign))
+    return out
+
+
+def read_catalog(spark: SparkSession, url: str, properties: dict | None = None, schema: str | None = None, parts: int = 32) -> dict[str, DataFrame]:
+    """Every table of a database as a DataFrame, scanned in ranges of the first whole-number column of its primary key."""
+    mark = "`" if url.startswith("jdbc:mysql") else '"'
+    out = {}
+    for name, t in catalog(spark, url, properties, schema).items():
+        kinds = dict(t.columns)
+        column = next((c for c in t.key if kinds[c] in WHOLE), None)
+        quoted = ".".join(f"{mark}{p}{mark}" for p in name.split("."))
+        out[name] = read_jdbc(spark, url, quoted, column, parts, properties)
+    return out
+
+
 def bounded(df: DataFrame, limit: int) -> DataFrame:
     """df, if it has at most `limit` rows; a longer result is an error and is never cut short."""
     if df.limit(limit + 1).count() > limit:
@@ -155,10 +233,10 @@ def append_history(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
-def write_back(scores: DataFrame, run_id: str, url: str | None = None, table: str = "tidemark_scores", path: str | None = None) -> None:
+def write_back(scores: DataFrame, run_id: str, url: str | None = None, table: str = "tidemark_scores", path: str | None = None, properties: dict | None = None) -> None:
     """Insert run_id, entity_id, cutoff_time, score, created_at, into a database table or a Parquet folder."""
     rows = scores.select(F.lit(run_id).alias("run_id"), "entity_id", "cutoff_time", "score", F.current_timestamp().alias("created_at"))
     if url:
-        rows.write.mode("append").jdbc(url, table)
+        rows.write.mode("append").jdbc(url, table, properties=properties)
     else:
         rows.write.mode("append").parquet(path)
