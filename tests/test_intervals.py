@@ -35,7 +35,7 @@ def events(spark, n, seed=1, odd=False):
         t = f"2024-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d} {rng.choice(['00:00:00', '12:30:15.000001', '23:59:59.999999'])}"
         x = rng.choice([None, 0.1, -2.5, 1e-3, 1234.5, 7.0, 1e6])
         if odd and rng.random() < 0.1:
-            x = rng.choice([math.nan, math.inf, -math.inf, 1e9])
+            x = rng.choice([math.nan, math.inf, -math.inf, 1e7])
         rows.append((i, 1 if hot else rng.choice([None, *range(2, 15)]), None if rng.random() < 0.02 else t, rng.choice([None, "a", "b", "c"]), x, rng.choice([None, 1, 5, -3])))
     return spark.createDataFrame(rows, "id long, who int, at string, kind string, x double, n int").withColumn("at", F.col("at").cast("timestamp_ntz"))
 

@@ -15,7 +15,8 @@ Sums of doubles are split into multiples of two fixed powers of two, chosen from
 rows, whose totals are exact in any order; so a difference of totals is as exact as the sum of the window's own rows, but for
 parts below 1e-30 of (number of rows times largest value).
 NaN and infinities are counted apart and put back. Deviations come from such sums of values and squares around the
-column's approximate median; their relative error is about 1e-16 times the square of (mean of the window - median) / deviation.
+column's approximate median; their relative error is about 1e-16 times the square of (mean of the window - median) / deviation,
+and squares below 1e-30 of (number of rows times largest square) are lost.
 """
 
 from __future__ import annotations
@@ -214,7 +215,8 @@ class Builder:
             got = {k: self.within(self.total(m, k, c), m.window) for k, c in made.items()}
             n, a, b = got["dn"], got["da"] + got["df"], got["db"] + got["dg"]
             squares = b - a * a / n
-            squares = F.when(squares > b * F.lit(ROUNDING), squares).otherwise(F.lit(0.0))
+            lost = n * F.lit(unit_of(reach * reach, n_rows)[1])
+            squares = F.when((squares > b * F.lit(ROUNDING)) & (squares > lost), squares).otherwise(F.lit(0.0))
             odd = got.get("do", F.lit(0))
             return F.when(n + odd >= 2, F.when(odd > 0, F.lit(math.nan)).otherwise(F.sqrt(squares / (n - 1))))
         row = F.when(self.on(m), F.struct(F.col(self.time).alias("t"), (F.col(m.tie) if m.tie else F.lit(0)).alias("tie"), F.expr(m.value).alias("v"))) if m.kind in ("first", "last") else None
