@@ -75,6 +75,38 @@ def test_quality_filter_and_labels(spark, real):
     assert good > 0.9 and both.where("quality = 0").count() <= 0.1 * labels.where("quality = 0").count() + 1
 
 
+def test_quality_weighs_repeated_lines(spark):
+    """One short repeat among three lines is kept; several, or a fifth of all characters, are not; the limits themselves are kept."""
+    words = " ".join(f"word{i} the" for i in range(40))
+    line = lambda i: f"the own line number {i} is of some length here"
+    cases = {
+        f"{words}\nthe same\nthe same": True,
+        "\n".join([words, "the same", "the same", "and more", "and more"]): True,
+        "\n".join([words, *["Next", "Top"] * 3, "Top"]): False,  # five of eight lines
+        "\n".join([words, *[line(i) for i in range(4)], *["Up"] * 4]): True,  # three repeats count as three of ten
+        "\n".join([words, *[line(i) for i in range(3)], *["Up"] * 5]): False,
+        "\n".join(["the " * 7 + f"w{i} " + "of " * 6 for i in range(6)] + ["x" * 70 + " yes"] * 2): False,
+        "": False,
+    }
+    # over a fifth of the characters in one repeated line of few words, over no window of eight
+    long = "\n".join([" ".join(f"ab{i} the" for i in range(12)), "z" * 40, "z" * 40])
+    cases[long] = False
+    got = {r["text"]: r["_quality"] for r in quality.judge(docs(spark, list(cases))).collect()}
+    for text, kept in cases.items():
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (got[text]["line_chars"], got[text]["dup_line_chars"]) == (sum(map(len, lines)), sum(map(len, lines)) - sum(map(len, set(lines))))
+        assert got[text]["kept"] == kept, text
+
+
+def test_quality_keeps_labelled_good_texts(spark):
+    """No text that is labelled good falls to the rules of repeated lines."""
+    d = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id")
+    told = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), keep=["doc_id"]).join(good, "doc_id")
+    lines = [r for r in quality.RULES if r.name.startswith("repeated_line")]
+    assert told.where(~F.col("_quality.base_failed") & ~quality.verdict(lambda c: F.col(f"_quality.{c}"), tuple(lines))).count() == 0
+
+
 # ---- substring dedup
 
 

@@ -23,6 +23,8 @@ STOP_WORDS = (
 ).split()
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+#: Texts of fewer lines are held to the share of repeated lines as if they had this many: one or two short repeats are no junk.
+LEAST_LINES = 10
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,8 @@ RULES = (
     Rule("symbols_to_words", "n_symbols", "<=", 10, "n_words"),
     Rule("exclamations_to_words", "n_exclaimed", "<=", 50, "n_words"),
     Rule("stop_words", "n_stop_words", ">=", 2, "n_words"),
-    Rule("repeated_lines", "n_dup_lines", "<=", 30, "n_lines"),
+    Rule("repeated_lines", "n_dup_lines", "<=", 30, "n_lines_from_ten"),
+    Rule("repeated_line_chars", "dup_line_chars", "<=", 20, "line_chars"),
 )
 
 
@@ -76,20 +79,24 @@ def measured(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         F.array_join("w", "").alias("letters"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("lines", "")).cast("long").alias("line_chars"),
+        F.length(F.array_join(F.array_distinct("lines"), "")).cast("long").alias("own_line_chars"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.when(n >= WINDOW, F.transform("w", lambda x: F.xxhash64(x))).alias("h"),
     )
     window = F.transform(F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int")), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]))
-    measures = ["n_words", "n_lines", "n_dup_lines", "n_stop_words"]
+    measures = ["n_words", "n_lines", "n_dup_lines", "line_chars", "n_stop_words"]
     step = step.select(
         *held,
         *measures,
         F.length("letters").cast("long").alias("word_chars"),
         F.regexp_count("letters", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count("letters", F.lit("!")).cast("long").alias("n_exclaimed"),
+        F.greatest("n_lines", F.lit(LEAST_LINES).cast("long")).alias("n_lines_from_ten"),
+        (F.col("line_chars") - F.col("own_line_chars")).alias("dup_line_chars"),
         F.when(F.col("h").isNotNull(), window).alias("wh"),
     )
-    measures += ["word_chars", "n_symbols", "n_exclaimed"]
+    measures += ["word_chars", "n_symbols", "n_exclaimed", "n_lines_from_ten", "dup_line_chars"]
     # only texts with a repeated window pay for sorting (hash, position) pairs
     pairs = F.sort_array(F.transform("wh", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     step = step.select(*held, *measures, F.when(F.size(F.array_distinct("wh")) < F.size("wh"), pairs).alias("s"))

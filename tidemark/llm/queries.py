@@ -141,12 +141,14 @@ again as (select doc_id, i from win qualify count(*) over (partition by doc_id,
 covered as (select doc_id, count(distinct i + o)::bigint as c from again, range(8) t(o) group by doc_id),
 b as (
   select doc_id, n_words, word_chars, n_symbols, n_exclaimed, n_stop_words, len(lines)::bigint as n_lines,
-    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c, 0) as n_repeat_words
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, length(array_to_string(lines, '')) as line_chars,
+    length(array_to_string(lines, '')) - length(array_to_string(list_distinct(lines), '')) as dup_line_chars, coalesce(c, 0) as n_repeat_words
   from m left join covered using (doc_id)
 ), f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and 100 * word_chars >= 200 * n_words and 100 * word_chars <= 2000 * n_words and 100 * n_symbols <= 10 * n_words
-  and 100 * n_exclaimed <= 50 * n_words and 100 * n_stop_words >= 2 * n_words and 100 * n_dup_lines <= 30 * n_lines as kept
+  and 100 * n_exclaimed <= 50 * n_words and 100 * n_stop_words >= 2 * n_words and 100 * n_dup_lines <= 30 * greatest(n_lines, 10)
+  and 100 * dup_line_chars <= 20 * line_chars as kept
 from f
 """,
     "op10_topk": """
