@@ -6,17 +6,15 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.profile import _unpivot, kind_of, quantile, top_values
+from tidemark.operators.profile import _unpivot, distinct_counts, kind_of, quantile, top_values
 
 
 def id_columns(df: DataFrame) -> DataFrame:
     """column_name, n_distinct, is_id: one value a row and no float, or a name that ends in id and 90 per cent distinct."""
-    parts = {}
-    for c, t in df.dtypes:
-        named = c.lower().endswith("id")
-        whole = F.lit(kind_of(t) != "float")
-        parts[c] = [F.count_distinct(f"`{c}`"), (whole & (F.count_distinct(f"`{c}`") == F.count("*"))) | (F.lit(named) & (F.count_distinct(f"`{c}`") >= 0.9 * F.count("*")))]
-    return _unpivot(df, parts, ["n_distinct", "is_id"])
+    parts = {c: [F.count("*"), F.lit(kind_of(t) != "float"), F.lit(c.lower().endswith("id"))] for c, t in df.dtypes}
+    both = _unpivot(df, parts, ["n", "whole", "named"]).join(F.broadcast(distinct_counts(df, df.columns)), "column_name", "left")
+    d = F.coalesce("n_distinct", F.lit(0).cast("long"))
+    return both.select("column_name", d.alias("n_distinct"), ((F.col("whole") & (d == F.col("n"))) | (F.col("named") & (d >= 0.9 * F.col("n")))).alias("is_id"))
 
 
 def numeric_text(df: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.profile import _unpivot, kind_of
+from tidemark.operators.profile import _unpivot, distinct_counts, kind_of
 from tidemark.operators.splits import ordered_rank
 
 #: Words that name what happens after, or with, an outcome.
@@ -31,8 +31,9 @@ def id_like(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
         steps = steps.withColumn(f"_d_{c}", F.sign(F.col(c) - F.lag(c).over(w)))
     for c in columns:
         up = (F.coalesce(F.min(f"_d_{c}"), F.lit(0)) > 0) | (F.coalesce(F.max(f"_d_{c}"), F.lit(0)) < 0) if c in whole else F.lit(False)
-        parts[c] = [F.count_distinct(c) / F.count("*"), up, F.lit(kind_of(kinds[c]) == "text"), F.count("*")]
-    out = _unpivot(steps, parts, ["distinct_share", "rising", "is_text", "n"])
+        parts[c] = [up, F.lit(kind_of(kinds[c]) == "text"), F.count("*")]
+    out = _unpivot(steps, parts, ["rising", "is_text", "n"]).join(F.broadcast(distinct_counts(df, columns)), "column_name", "left")
+    out = out.withColumn("distinct_share", F.try_divide(F.coalesce("n_distinct", F.lit(0)).cast("double"), F.col("n").cast("double")))
     return out.select("column_name", "distinct_share", "rising", ((F.col("n") >= 20) & (F.col("distinct_share") > 0.95) & (F.col("is_text") | F.col("rising"))).alias("flagged"))
 
 
@@ -147,11 +148,11 @@ def duplicate_rows(df: DataFrame, features: list[str], target: str) -> DataFrame
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, min, max, mean, std, flagged: 0 to 1, or mean 0 and deviation 1, and no whole numbers."""
-    parts = {c: [F.min(c).cast("double"), F.max(c).cast("double"), F.avg(c), F.stddev_samp(c), F.count_distinct(c), F.count_if(F.col(c) != F.floor(c)), F.count("*")] for c in columns}
-    out = _unpivot(df, parts, ["min", "max", "mean", "std", "d", "broken", "n"])
+    parts = {c: [F.min(c).cast("double"), F.max(c).cast("double"), F.avg(c), F.stddev_samp(c), F.count_if(F.col(c) != F.floor(c)), F.count("*")] for c in columns}
+    out = _unpivot(df, parts, ["min", "max", "mean", "std", "broken", "n"]).join(F.broadcast(distinct_counts(df, columns)), "column_name", "left")
     unit = (F.col("min") == 0) & (F.col("max") == 1)
     z = (F.abs("mean") < 1e-3) & (F.abs(F.col("std") - 1) < 1e-2)
-    return out.select("column_name", "min", "max", "mean", "std", ((F.col("n") >= 20) & (F.col("d") > 2) & (F.col("broken") > 0) & (unit | z)).alias("flagged"))
+    return out.select("column_name", "min", "max", "mean", "std", ((F.col("n") >= 20) & (F.coalesce("n_distinct", F.lit(0)) > 2) & (F.col("broken") > 0) & (unit | z)).alias("flagged"))
 
 
 def date_like(df: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:

@@ -22,10 +22,18 @@ def kind_of(dtype: str) -> str:
     return "date" if t.startswith("date") else "other"
 
 
-def sampled(df: DataFrame, rows: int, limit: int = SAMPLE_ROWS) -> tuple[DataFrame, dict]:
-    """df, or a seeded Bernoulli sample of about `limit` rows if it is larger, and what was done."""
+def sampled(df: DataFrame, rows: int, limit: int = SAMPLE_ROWS, keys: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """df, or a seeded Bernoulli sample of about `limit` rows if it is larger, and what was done.
+
+    With the keys of the rows, a hash of key and seed chooses, so the sample is the same however the rows are dealt; rows
+    of one key are then taken together. Without keys the choice depends on the partitions.
+    """
     if rows <= limit:
         return df, {"sampled": False, "fraction": 1.0, "method": None}
+    if keys:
+        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(chr(0))) for c in keys]
+        place = F.conv(F.substring(F.md5(F.concat_ws(chr(31), F.lit(str(SEED)), *fields).cast("binary")), 1, 8), 16, 10).cast("long")
+        return df.where(place < F.lit(int(limit / rows * 2**32))), {"sampled": True, "fraction": limit / rows, "method": "bernoulli"}
     return df.sample(fraction=limit / rows, seed=SEED), {"sampled": True, "fraction": limit / rows, "method": "bernoulli"}
 
 
@@ -96,8 +104,10 @@ def quantile(df: DataFrame, column: str, shares: list[float]) -> list[float | No
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n_distinct: values as text, one job for all columns; a column without a value gives no row."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    """column_name, n_distinct: values as text (both zeros are one), one job for all columns; a column without a value gives no row."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.col(f"`{c}`") + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(f"`{c}`")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).cast("string").alias("v")) for c in columns])
     return df.select(F.inline(pairs)).where("v is not null").groupBy("column_name", "v").agg(F.lit(1)).groupBy("column_name").agg(F.count("*").alias("n_distinct"))
 
 

@@ -1,4 +1,4 @@
-"""Queries whose result depends on a fitted model or a written file: rows only, with properties held in the tests."""
+"""Queries whose result depends on a fitted model (rows only, with properties held in the tests) or a written file (with SQL)."""
 
 from __future__ import annotations
 
@@ -12,17 +12,20 @@ from tidemark.operators import features as fs
 from tidemark.operators import labels as lb
 from tidemark.operators import metrics, models, scoring, splits
 from tidemark.operators.features import Feature
-from tidemark.plans.reference_queries import drift_features, items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
+from tidemark.plans.reference_queries import SC, S, drift_features, items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
 from tidemark.sources import tables as src
-from tidemark.sources.shared import new_path, shared_dir, written
+from tidemark.sources.shared import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 COLUMNS = ["n_30", "n_90", "n_365", "mean_price", "since_last", "quantity"]
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return put
@@ -37,31 +40,38 @@ def frame(spark: SparkSession, d: str, keys: DataFrame | None = None) -> DataFra
     return written(wide, "frame")
 
 
-@query("A1")
+@query("A1", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') as o_orderdate, o_orderpriority from orders")
 def a1(spark, d):
-    path = f"{shared_dir(spark)}/tidemark/csv-orders"
-    load(spark, d, "orders").write.mode("overwrite").csv(path, header=True)
+    path = new_path(spark, "csv-orders")
+    load(spark, d, "orders").write.csv(path, header=True)
     return src.read_text_table(spark, path)
 
 
 @query("A5_snapshot")
 def a5_snapshot(spark, d):
     tables = {"orders": (load(spark, d, "orders"), "o_orderdate"), "customer": (load(spark, d, "customer"), None)}
-    version, path = src.snapshot(spark, tables, "1998-01-01", f"{shared_dir(spark)}/tidemark/snapshots")
+    version, path = src.snapshot(spark, tables, "1998-01-01", new_path(spark, "snapshots"))
     return spark.read.parquet(f"{path}/orders").agg(F.count("*").alias("n_rows"), F.max("o_orderdate").alias("max_time")).withColumn("version", F.lit(version))
 
 
-@query("A13")
+@query("A13", f"with {S} select entity_id, cutoff_time, count(o_orderkey) as n_orders from spine left join orders on o_custkey = entity_id and o_orderdate < cutoff_time group by entity_id, cutoff_time")
 def a13(spark, d):
-    spine, feats = t1_spine(spark, d), [Feature("n_orders", "count")]
-    root = f"{shared_dir(spark)}/tidemark/features"
-    return src.cached_features(spark, root, feats, "v", spine, lambda: fs.compute(spine, orders_path(spark, d), feats))
+    """The data's checksum is the version; the second call reads what the first has written, and builds nothing."""
+    spine, feats, root = t1_spine(spark, d), [Feature("n_orders", "count")], new_path(spark, "features")
+    orders = load(spark, d, "orders")
+    version = str(orders.agg(src.checksum(orders)).first()[0])
+    src.cached_features(spark, root, feats, version, spine, lambda: fs.compute(spine, orders_path(spark, d), feats))
 
+    def again():
+        raise RuntimeError("the written features were not found")
 
-@query("A14")
+    return src.cached_features(spark, root, feats, version, spine, again)
+
+
+@query("A14", f"with {SC}, k as (select entity_id, score, row_number() over (order by score desc, entity_id) as rank, count(*) over () as n from sc where cutoff_time = timestamp '1996-12-01') select entity_id, score, rank, least(10, 1 + (rank - 1) * 10 // n)::bigint as decile from k")
 def a14(spark, d):
     ranked = scoring.rank_rows(scored(spark, d).where("cutoff_time = timestamp_ntz '1996-12-01'").select("entity_id", "score"))
-    return src.read_text_table(spark, src.write_scores_csv(ranked, f"{shared_dir(spark)}/tidemark", "1996-12-01"))
+    return src.read_text_table(spark, src.write_scores_csv(ranked, new_path(spark, "scores"), "1996-12-01"))
 
 
 @query("A15")
@@ -77,7 +87,7 @@ def a15(spark, d):
     return spark.read.parquet(path)
 
 
-@query("A16")
+@query("A16", f"with {SC} select 'run-1' as run_id, entity_id, cutoff_time, score from sc")
 def a16(spark, d):
     path = new_path(spark, "scores")
     src.write_back(scored(spark, d), "run-1", path=path)
