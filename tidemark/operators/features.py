@@ -6,7 +6,7 @@ bounds itself, so a feature cannot be written without them; it also bounds the c
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +171,10 @@ def compute(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
         if f.agg == "share":
             measures.append(Measure(f"{f.name}/all", "count", _window(f)))
     found = aggregate(spine, rows, "_key", "_t", cuts, windows, measures)
-    kinds = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in features]).schema
+    # a type depends on the aggregate and its column only
+    plain = {(f.agg, f.column, f.log1p): replace(f, name=f"_f{i}", days=None, where=()) for i, f in enumerate(features)}
+    typed = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in plain.values()]).schema
+    kinds = {f.name: typed[plain[f.agg, f.column, f.log1p].name] for f in features}
     entity = F.col("entity_id").cast(spine.schema["entity_id"].dataType)
     return found.select(entity.alias("entity_id"), "cutoff_time", *[_finished(f).cast(kinds[f.name].dataType).alias(f.name) for f in features])
 

@@ -187,9 +187,10 @@ class Builder:
 
     def within(self, n: str, window: str) -> Column:
         """A total inside a window."""
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        low, high = self.at(n, window, 0), zero(self.at(n, window, 1))
-        return high if low is None else high - zero(low)
+        marks = [self.plan.mark_of[window, side] for side in (0, 1)]
+        self.wanted |= {(n, m) for m in marks if m is not None}
+        low, high = (f"coalesce({n}_{m}, 0)" for m in marks)
+        return F.expr(high if marks[0] is None else f"{high} - {low}")
 
     def result(self, m: Measure) -> Column:
         low = self.plan.mark_of[m.window, 0]
@@ -337,7 +338,7 @@ def _at_marks(marks: DataFrame, segments: DataFrame, running: dict[str, Column],
     both = segments.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
     over = Window.partitionBy("entity_id").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = both.select(*KEYS, "_w", "_mark", *[c.over(over).alias(n) for n, c in running.items()]).where("_mark = 1")
-    return run.groupBy(*KEYS).agg(*[F.max(F.when(F.col("_w") == w, F.col(n))).alias(f"{n}_{w}") for n, w in sorted(wanted)])
+    return run.groupBy(*KEYS).agg(*[F.expr(f"max(case when _w = {w} then {n} end) as {n}_{w}") for n, w in sorted(wanted)])
 
 
 def _plain(keys: DataFrame, cut: DataFrame, b: Builder, results: dict[str, Column], entity: str) -> DataFrame:
