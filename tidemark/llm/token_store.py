@@ -5,8 +5,10 @@ maxima prune by document id, and the Bloom filters answer for ids that fall betw
 a file is split at stripes of the size given. Each row holds its file's number and its start within the file; the
 start among all documents is that plus the totals of the files before, one row for each file.
 
-Defined results: a null text counts as empty (the end id only); rows that repeat an id follow each other, ordered by
-a hash of their text; an empty table gives an empty folder of files; further columns are not written.
+Defined results: a null text counts as empty (the end id only); rows without an id come first; rows that repeat an id
+follow each other, ordered by a hash of their text, over several files if they are many (only equal texts of one id
+share one); a text of any length is one row; an empty table gives an empty folder of files; further columns are not
+written.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
     """Encode every text, append end_id and write the ids in ascending doc_id order as ORC files."""
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(parts_for(total, max(file_bytes, total // MOST_FILES)), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    keys = ["doc_id", F.xxhash64("text")]  # texts of one id, or without one, are dealt to several files
+    ordered = rows.repartitionByRange(parts_for(total, max(file_bytes, total // MOST_FILES)), *keys).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, part, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
