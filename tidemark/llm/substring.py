@@ -10,12 +10,15 @@ and are equal. So each repeated window holds an anchor that occurs twice, and on
 2. only windows around such anchors are extended to their full length: they go the same way with 128-bit hashes;
 3. each block reads the answers and marks the words.
 
-A block is a few MB of documents by a hash of the row; blocks, buckets and answers are the only groups. A hash that a
+A block is a few MB of documents by a hash of the row with its text, so texts without an id, or under one id, lie in
+many blocks; only rows equal in all kept columns and the text share one. Blocks, buckets and answers are the only groups. A hash that a
 third of all rows holds is sent once by each block, so no bucket depends on how often a passage occurs.
 Equal 128-bit hashes count as equal words.
 
 Defined results: a null text has no words; a text shorter than `size` words keeps all; repeated rows count as
-occurrences of each other, so they lose all words in full windows; further columns are not read.
+occurrences of each other, so they lose all words in full windows; null and repeated ids are kept as they are, with a
+row for each; a text of any length lies in one block whole; no result depends on an order, so there are no ties;
+an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_values, byte_words, parts_for, thrifty
@@ -182,6 +185,12 @@ def _told(answers: pa.Table, name: str, keys: np.ndarray, high: np.ndarray, buck
     return found[where]
 
 
+def row_block(rows: DataFrame, names: list[str], blocks: int) -> Column:
+    """The block of a row by a hash of its columns (but maps) and its whole text."""
+    hashed = [n for n in names if not rows.schema[n].dataType.typeName() == "map"]
+    return F.pmod(F.xxhash64(*hashed, "text"), F.lit(blocks))
+
+
 WIDE = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
 
 
@@ -200,7 +209,7 @@ def repeated_spans(df: DataFrame, each, out: str, keep: list[str], text: str = "
     window_buckets = parts_for(total // 12, BUCKET_HASHES)
     names = [f"c{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], raw.alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(*[n for n, (_, kind) in zip(names, df.select(*[f"`{c}`" for c in keep]).dtypes, strict=True) if not kind.startswith("map")], F.octet_length("text")), F.lit(blocks)))
+    rows = rows.withColumn("block", row_block(rows, names, blocks))
     asked = "bucket long, block long, keys binary, twice binary"
     answered = "block long, kind string, bucket long, found binary"
 
