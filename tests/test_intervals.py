@@ -137,3 +137,22 @@ def test_a_hot_entity_is_aggregated_before_it_is_dealt(spark):
     per = rows.groupBy("who", "_at").count()
     assert per.where("who = 1").count() <= len(plan.edges) + 1 and rows.where("who = 1").count() > 6000
     assert shuffled_rows(per) <= 4 * 14 * (len(plan.edges) + 1)
+
+
+def joins_by_key(df) -> list[str]:
+    """The joins of a plan whose keys include the entity."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [x.strip(" :+-") for x in lines if "Join [entity_id" in x]
+
+
+def test_keys_are_never_broadcast(spark):
+    """A written table of keys is a few MB as Parquet with millions of rows; its size does not tell what it takes on the driver."""
+    orders = spark.sql("select id as k, timestamp_ntz '2024-01-05' + make_dt_interval(cast(id % 20 as int)) as t, id % 3 as v, double(id) as x from range(60)")
+    cuts, _ = lb.windows(lb.cutoffs(spark, "2024-01-06", "2024-01-20", 7, "days"), 5, "2024-03-01")
+    spine = lb.entity_cutoffs(spark.range(60), "id", cuts)
+    distinct = lb.labels(spine, lb.Target(orders, "k", "t", agg="count_distinct", column="v"))
+    path = fs.Path(orders, "k", "t")
+    both = fs.compute(spine, path, [fs.Feature("n", "count_distinct", "v", 9), fs.Feature("low", "min", "x", 9), fs.Feature("total", "sum", "x")])
+    for df in (distinct, both, fs.wide(spine, [both])):
+        assert joins_by_key(df)
+        assert not [x for x in joins_by_key(df) if x.startswith("Broadcast")]

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import KEYS, Measure, aggregate, cutoff_times
+from tidemark.operators.intervals import KEYS, Measure, aggregate, cutoff_times, merged
 
 AGGREGATES = ("count", "count_distinct", "sum", "mean", "min", "max", "std", "days_since_last", "days_since_first", "share", "latest", "exists")
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "in", "is_null", "is_not_null")
@@ -227,7 +227,7 @@ def wide(spine: DataFrame, frames: list[DataFrame]) -> DataFrame:
     """spine with the columns of every path's frame: a join for each path, not for each feature."""
     out = spine
     for f in frames:
-        out = out.join(f, KEYS, "left")
+        out = merged(out, f, "left")
     return out
 
 

@@ -60,6 +60,11 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
+def merged(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by KEYS, never broadcast: millions of keys are a few MB as Parquet, which is all that Spark knows of a written table, and GBs on the driver."""
+    return left.join(right.hint("merge"), KEYS, how)
+
+
 def cutoff_times(keys: DataFrame) -> list[int] | None:
     """The distinct cutoffs in microseconds, ascending; None if there are more than MOST_CUTOFFS."""
     found = keys.select(micros(F.col("cutoff_time")).alias("c")).where("c is not null").distinct().limit(MOST_CUTOFFS + 1).collect()
@@ -260,9 +265,9 @@ def _looked_up(places: DataFrame, segments: DataFrame, builder: Builder) -> Data
         side = lambda k: F.struct(F.lit(i).alias("w"), j.alias("j"), k.alias("k"))  # noqa: B023, E731
         asked.append(F.when(high > low, F.array(side(low + 1), side(high - F.pow(F.lit(2.0), j).cast("long") + 1))))  # noqa: B023
     each = places.select(*KEYS, F.explode(F.flatten(F.array_compact(F.array(*asked)))).alias("_q")).select(*KEYS, F.col("_q.w").alias("_w"), F.col("_q.j").alias("_j"), F.col("_q.k").alias("_k"))
-    got = each.join(table, ["entity_id", "_k"]).withColumn("_v", F.get("_t", F.col("_j")))
+    got = each.join(table.hint("merge"), ["entity_id", "_k"]).withColumn("_v", F.get("_t", F.col("_j")))
     columns = [(F.min if how == "min" else F.max)(F.when(F.col("_w") == i, F.col("_v")[n])).alias(f"{n}@{w}") for i, (w, some) in enumerate(builder.tabled.items()) for n in dict.fromkeys(some) for how in [builder.extremes[n]]]
-    return places.select(*KEYS).join(got.groupBy(*KEYS).agg(*columns), KEYS, "left")
+    return merged(places.select(*KEYS), got.groupBy(*KEYS).agg(*columns), "left")
 
 
 def _distinct(keys: DataFrame, rows: DataFrame, builder: Builder, measures: list[Measure], entity: str) -> DataFrame:
@@ -329,7 +334,7 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
         if m.kind == "distinct":
             distinct.setdefault((m.on, m.value), []).append(m)
     for some in distinct.values():
-        out = out.join(_distinct(keys.select(*KEYS), cut, b, some, entity), KEYS, "left")
+        out = merged(out, _distinct(keys.select(*KEYS), cut, b, some, entity), "left")
     return out.select(*KEYS, *[m.name for m in measures])
 
 
@@ -353,7 +358,7 @@ def _plain(keys: DataFrame, cut: DataFrame, b: Builder, results: dict[str, Colum
         places = {("_k", plan.mark_of[w, side]) for w in b.tabled for side in (0, 1)}
         ones = segments.select("entity_id", "_at", F.lit(1).cast("long").alias("_one"))
         found = _looked_up(_at_marks(marks, ones, {"_k": F.sum("_one")}, places), segments, b)
-        out = found if out is None else out.join(found, KEYS)
+        out = found if out is None else merged(out, found)
     if b.lows:
         lows = {w: plan.windows[w] for w in dict.fromkeys(b.lows)}
         table = keys.sparkSession.createDataFrame([(c, *[e[i][0] for e in lows.values()]) for i, c in enumerate(plan.cutoffs)], ", ".join(["_c long", *[f"_low_{w} long" for w in lows]]))
