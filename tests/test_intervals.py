@@ -156,3 +156,16 @@ def test_keys_are_never_broadcast(spark):
     for df in (distinct, both, fs.wide(spine, [both])):
         assert joins_by_key(df)
         assert not [x for x in joins_by_key(df) if x.startswith("Broadcast")]
+
+
+def test_first_labels_without_look_ups(spark):
+    """The first row of a window comes from one pass back over its entity's segments: no join by key, equal to the join, ties and repeated keys included."""
+    rows = events(spark, 300).withColumn("kind", F.when(F.col("id") % 7 > 0, F.col("kind")))
+    cuts, _ = lb.windows(lb.cutoffs(spark, "2024-02-01", "2024-11-01", 1, "months"), 45, "2025-03-01")
+    spine = lb.entity_cutoffs(spark.sql("select explode(sequence(1, 16)) as who union all select 3"), "who", cuts)
+    target = Target(rows, "who", "at", agg="first", column="kind")
+    got = lb.labels(spine, target)
+    assert not joins_by_key(got)
+    want = lb.labels_by_join(spine, target)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 30

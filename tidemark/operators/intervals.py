@@ -6,7 +6,8 @@ follows sees at most as many rows for an entity as there are edges, also for an
 and no row is ever paired with a cutoff. Then
 
 - counts, sums, means and deviations are differences of running totals at a window's two edges;
-- latest rows are running maxima at the upper edge, valid if they lie above the lower one;
+- latest rows are running maxima at the upper edge, valid if they lie above the lower one; first rows of a window are running
+  minima from the end back to its lower edge, valid if they lie below the upper one;
 - extremes inside a window are two look-ups in a sparse table (extremes of 1, 2, 4, ... segments from each on);
 - distinct counts add 1 for the range of cutoffs that see a value's occurrence but not the one before it, as
   differences that are summed over the cutoffs.
@@ -163,7 +164,9 @@ class Builder:
         self.spreads: dict[str, Spread] = {}
         self.wanted: set[tuple[str, int]] = set()
         self.tabled: dict[str, list[str]] = {}  # the extremes that are looked up for a window
-        self.lows: list[str] = []  # windows whose lower edges are compared with times
+        self.backward: dict[str, Column] = {}  # what runs from the last segment back
+        self.asked: set[tuple[str, int]] = set()  # of those, what is wanted at which mark
+        self.bounds: list[tuple[str, int]] = []  # windows and sides whose edges are compared with times
         self.keys: dict[tuple, str] = {}
 
     def name(self, *what: object) -> str:
@@ -235,8 +238,14 @@ class Builder:
             found = self.at(n, m.window, 1)
             if low is not None:  # valid if it lies inside
                 time = micros(found["t"] if row is not None else found)
-                self.lows.append(m.window)
-                found = F.when(time >= F.col(f"_low_{m.window}"), found)
+                self.bounds.append((m.window, 0))
+                found = F.when(time >= F.col(f"_edge0_{m.window}"), found)
+        elif m.kind in ("first", "first_time"):  # the running extreme back to the lower edge, valid if it lies inside
+            self.backward[f"{n}_back"] = F.min(n)
+            self.asked.add((f"{n}_back", low))
+            self.bounds.append((m.window, 1))
+            found = F.col(f"{n}_back_{low}")
+            found = F.when(micros(found["t"] if row is not None else found) < F.col(f"_edge1_{m.window}"), found)
         else:
             self.extremes[n] = "max" if most else "min"
             self.tabled.setdefault(m.window, []).append(n)
@@ -325,7 +334,7 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
     plain = [m for m in measures if m.kind != "distinct"]
     results = {m.name: b.result(m) for m in plain}
     out = keys.select(*KEYS)
-    if b.extremes or len(plain) < len(measures):  # several parts read the keys
+    if b.extremes or b.wanted and b.asked or len(plain) < len(measures):  # several parts read the keys
         out = keys = written(out, "keys")
     if plain:
         out = _plain(out, cut, b, results, entity)
@@ -338,11 +347,17 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
     return out.select(*KEYS, *[m.name for m in measures])
 
 
-def _at_marks(marks: DataFrame, segments: DataFrame, running: dict[str, Column], wanted: set[tuple[str, int]]) -> DataFrame:
-    """KEYS and, for each (name, mark) wanted, the running column there."""
-    both = segments.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
-    over = Window.partitionBy("entity_id").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.select(*KEYS, "_w", "_mark", *[c.over(over).alias(n) for n, c in running.items()]).where("_mark = 1")
+def _at_marks(marks: DataFrame, segments: DataFrame, running: dict[str, Column], wanted: set[tuple[str, int]], back: bool = False) -> DataFrame:
+    """KEYS and, for each (name, mark) wanted, the running column there; `back` runs from the last segment to the mark."""
+    used = {w for _, w in wanted}
+    both = segments.withColumn("_mark", F.lit(0)).unionByName(marks.where(F.col("_w").isin(*used)).withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    by = Window.partitionBy("entity_id").orderBy(*([F.desc("_at"), F.desc("_mark")] if back else ["_at", "_mark"]), "cutoff_time")
+    over = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [c.over(over).alias(n) for n, c in running.items()]
+    if len(used) == 1:  # a key has one row, and a repeated key lies beside its copy
+        run = both.select(*KEYS, "_mark", *columns, F.lag("cutoff_time").over(by).alias("_before")).where("_mark = 1 and not (_before <=> cutoff_time)")
+        return run.select(*KEYS, *[F.col(n).alias(f"{n}_{w}") for n, w in sorted(wanted)])
+    run = both.select(*KEYS, "_w", "_mark", *columns).where("_mark = 1")
     return run.groupBy(*KEYS).agg(*[F.expr(f"max(case when _w = {w} then {n} end) as {n}_{w}") for n, w in sorted(wanted)])
 
 
@@ -350,17 +365,20 @@ def _plain(keys: DataFrame, cut: DataFrame, b: Builder, results: dict[str, Colum
     plan = b.plan
     segments = cut.groupBy(entity, "_at").agg(*[c.alias(n) for n, c in b.segments.items()]).withColumnRenamed(entity, "entity_id")
     marks, out = plan.marked(keys), None
-    if b.extremes:  # read for the totals, for the places of segments and for the table
+    if b.extremes or b.wanted and b.asked:  # read for the totals, both ways, for the places of segments and for the table
         segments = written(segments, "segments")
     if b.wanted:
         out = _at_marks(marks, segments, b.running, b.wanted)
+    if b.asked:
+        found = _at_marks(marks, segments, b.backward, b.asked, back=True)
+        out = found if out is None else merged(out, found)
     if b.extremes:
         places = {("_k", plan.mark_of[w, side]) for w in b.tabled for side in (0, 1)}
         ones = segments.select("entity_id", "_at", F.lit(1).cast("long").alias("_one"))
         found = _looked_up(_at_marks(marks, ones, {"_k": F.sum("_one")}, places), segments, b)
         out = found if out is None else merged(out, found)
-    if b.lows:
-        lows = {w: plan.windows[w] for w in dict.fromkeys(b.lows)}
-        table = keys.sparkSession.createDataFrame([(c, *[e[i][0] for e in lows.values()]) for i, c in enumerate(plan.cutoffs)], ", ".join(["_c long", *[f"_low_{w} long" for w in lows]]))
+    if b.bounds:
+        bounds = list(dict.fromkeys(b.bounds))
+        table = keys.sparkSession.createDataFrame([(c, *[plan.windows[w][i][side] for w, side in bounds]) for i, c in enumerate(plan.cutoffs)], ", ".join(["_c long", *[f"_edge{side}_{w} long" for w, side in bounds]]))
         out = out.withColumn("_c", micros(F.col("cutoff_time"))).join(F.broadcast(table), "_c")
     return out.select(*KEYS, *[c.alias(n) for n, c in results.items()])
