@@ -242,7 +242,7 @@ def running(spine: DataFrame, path: Path, sums: dict[str, str]) -> DataFrame:
     keys = spine.select(*KEYS)
     marks = keys.select("entity_id", F.col("cutoff_time").alias("at"), F.lit(1).alias("c"), *[F.lit(0.0).alias(n) for n in sums], F.lit(0).alias("n"))
     events = path.table.select(F.col(path.key).alias("entity_id"), F.col(path.time).alias("at"), F.lit(0).alias("c"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(n) for n, v in sums.items()], F.lit(1).alias("n"))
-    events = events.join(keys.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id", "at", "c").agg(*[F.sum(n).alias(n) for n in sums], F.sum("n").alias("n"))
+    events = events.join(keys.select("entity_id").distinct().hint("merge"), "entity_id", "left_semi").groupBy("entity_id", "at", "c").agg(*[F.sum(n).alias(n) for n in sums], F.sum("n").alias("n"))
     # at equal times the cutoff (c = 1) comes first: an event exactly then is not before it
     over = Window.partitionBy("entity_id").orderBy("at", F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = marks.unionByName(events)

@@ -168,7 +168,7 @@ def labels_by_join(spine: DataFrame, target: Target) -> DataFrame:
     first = target.agg == "first"
     if first:
         child = child.where("_v is not null").withColumn("_v", F.col("_v").cast("string"))
-    found = spine.join(child, inside, "inner" if first else "left").groupBy("entity_id", "cutoff_time", "label_window_end").agg(_aggregates(target).alias("value"))
+    found = spine.join(child.hint("merge"), inside, "inner" if first else "left").groupBy("entity_id", "cutoff_time", "label_window_end").agg(_aggregates(target).alias("value"))
     return _labelled(found, target).select("entity_id", "cutoff_time", "label", "label_window_end")
 
 
@@ -189,7 +189,7 @@ def coverage(spine: DataFrame, tables: dict[str, tuple[DataFrame, str, str]]) ->
     out = None
     for name, (table, key, time) in tables.items():
         seen = apply_rule(start, Rule(table, key, time)).select("entity_id", F.lit(1).alias("s"))
-        one = start.join(seen, "entity_id", "left").agg(F.count("*").alias("eligible"), F.count("s").alias("covered")).select(F.lit(name).alias("table_name"), "eligible", "covered")
+        one = start.join(seen.hint("merge"), "entity_id", "left").agg(F.count("*").alias("eligible"), F.count("s").alias("covered")).select(F.lit(name).alias("table_name"), "eligible", "covered")
         out = one if out is None else out.union(one)
     return out
 

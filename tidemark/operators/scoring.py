@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import models
 from tidemark.operators.profile import quantiles
 from tidemark.operators.splits import ordered_rank
+from tidemark.sources.shared import written
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -79,7 +80,7 @@ def history_row(now: DataFrame, cutoff: str, columns: list[str], psis: DataFrame
 
 def preview(model, df: DataFrame, columns: list[str], k: int = 20, key: str = "entity_id") -> DataFrame:
     """The k highest scores (ties by key) with the three columns that moved each most: key, score, rank, reason_1 to reason_3."""
-    top = models.predict(model, df, columns).orderBy(F.desc("score"), key).limit(k)
+    top = written(models.predict(model, df, columns).orderBy(F.desc("score"), key).limit(k), "top")  # all rows are scored once
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
     why = models.reasons(model, top, columns, key).select(key, "reason_1", "reason_2", "reason_3")
     return ranked.join(why, key).select(key, "score", "rank", "reason_1", "reason_2", "reason_3")

@@ -33,7 +33,7 @@ def entity_overlap(parted: DataFrame) -> DataFrame:
     """For each pair of parts, the entities in both."""
     pairs = parted.select("entity_id", "part").distinct()
     other = pairs.select("entity_id", F.col("part").alias("other"))
-    return pairs.join(other, "entity_id").where("part < other").groupBy("part", "other").agg(F.count("*").alias("n_entities"))
+    return pairs.join(other.hint("merge"), "entity_id").where("part < other").groupBy("part", "other").agg(F.count("*").alias("n_entities"))
 
 
 def expanding_folds(train: DataFrame, folds: int) -> DataFrame:

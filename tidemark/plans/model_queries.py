@@ -103,7 +103,7 @@ def m1(spark, d):
 
 @query("M2")
 def m2(spark, d):
-    rows = lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="sum", column="o_totalprice"))
+    rows = written(lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="sum", column="o_totalprice")), "labels")
     f = fs.wide(splits.partition(rows, "1996-07-01", "1996-10-01"), [fs.compute(rows, orders_path(spark, d), [Feature("n_365", "count", days=365), Feature("mean_price", "mean", "o_totalprice")])])
     f = written(f.withColumns({"label": F.col("label") / 1e5, "mean_price": F.col("mean_price") / 1e5}), "frame")
     kind = models.task_kind(f)
@@ -114,7 +114,7 @@ def m2(spark, d):
 @query("M2_multiclass")
 def m2_multiclass(spark, d):
     """The status of the first order after the cutoff, by boosted trees with a softmax."""
-    rows = lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="first", column="o_orderstatus"))
+    rows = written(lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="first", column="o_orderstatus")), "labels")
     feats = [Feature("n_365", "count", days=365), Feature("mean_price", "mean", "o_totalprice"), Feature("since_last", "days_since_last")]
     columns = [x.name for x in feats]
     f = written(fs.wide(splits.partition(rows, "1996-07-01", "1996-10-01"), [fs.compute(rows, orders_path(spark, d), feats)]), "frame")
@@ -226,7 +226,7 @@ def d1(spark, d):
 
 def now_eligible(spark: SparkSession, d: str) -> DataFrame:
     one = lb.cutoffs(spark, "2001-05-01", "2001-05-01", 1, "months")
-    return lb.apply_rule(lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", one), t1_rule(spark, d))
+    return written(lb.apply_rule(lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", one), t1_rule(spark, d)), "keys")
 
 
 @query("D7")

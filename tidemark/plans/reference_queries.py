@@ -51,8 +51,9 @@ def t1_rule(spark: SparkSession, d: str, days: int = 365) -> Rule:
 
 
 def t1_spine(spark: SparkSession, d: str) -> DataFrame:
+    """Written, since whatever follows reads it several times."""
     every = lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", t1_windows(spark))
-    return lb.apply_rule(every, t1_rule(spark, d))
+    return written(lb.apply_rule(every, t1_rule(spark, d)), "spine")
 
 
 def orders_target(spark: SparkSession, d: str, **more) -> Target:
@@ -65,11 +66,11 @@ def t1_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     s = F.pmod(F.col("entity_id") * 7919 + F.month("cutoff_time") * 104729, F.lit(1000)) / F.lit(1000.0)
-    return t1_labels(spark, d).select("entity_id", "cutoff_time", "label", s.alias("score"), (F.col("entity_id") * 100 + F.month("cutoff_time")).alias("row_id"), (s >= 0.5).cast("int").alias("pred"))
+    return written(t1_labels(spark, d), "labels").select("entity_id", "cutoff_time", "label", s.alias("score"), (F.col("entity_id") * 100 + F.month("cutoff_time")).alias("row_id"), (s >= 0.5).cast("int").alias("pred"))
 
 
 def parted(spark: SparkSession, d: str) -> DataFrame:
-    return splits.partition(t1_labels(spark, d), "1996-07-01", "1996-10-01")
+    return splits.partition(written(t1_labels(spark, d), "labels"), "1996-07-01", "1996-10-01")
 
 
 def orders_path(spark: SparkSession, d: str) -> Path:
@@ -463,7 +464,7 @@ MULTI = S + ", mc as (select entity_id, cutoff_time, o_orderstatus as label, lab
 
 @query("Q8", f"with {MULTI}, x as (select part, label, count(*) as n from mp where part in ('train', 'val', 'test') group by 1, 2), y as (select part, count(*) as n_classes, sum(n)::bigint as n_rows, min(n) as smallest, count(*) filter (where label not in (select label from x where part = 'train')) as unseen from x group by part) select *, case when n_classes > 30 or (part = 'train' and n_classes < 2) or (part <> 'train' and n_rows < 20) then 'block' when (part = 'train' and smallest < 30) or unseen > 0 then 'warn' else 'ok' end as status from y")
 def q8(spark, d):
-    parts = splits.partition(lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="first", column="o_orderstatus")), "1996-07-01", "1996-10-01")
+    parts = splits.partition(written(lb.labels(t1_spine(spark, d), orders_target(spark, d, agg="first", column="o_orderstatus")), "labels"), "1996-07-01", "1996-10-01")
     return feasibility.classes_per_part(parts.groupBy("part", "label").agg(F.count("*").alias("n")))
 
 
