@@ -169,3 +169,56 @@ def test_first_labels_without_look_ups(spark):
     want = lb.labels_by_join(spine, target)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 30
+
+
+def numeric_features():
+    made = (("count", None), ("sum", "x"), ("sum", "n"), ("mean", "x"), ("std", "x"), ("min", "x"), ("max", "n"), ("days_since_last", None), ("days_since_first", None), ("exists", None))
+    return [Feature(f"{a}_{c}_{d}_{i}", a, c, d, w) for d in DAYS for a, c in made for i, w in enumerate(((), WHERE))]
+
+
+def test_few_cutoffs_are_paired_with_segments(spark):
+    """Equal to the join, with repeated keys, a missing entity and entities without rows; no row for each edge of a key runs through a window."""
+    path, feats = Path(events(spark, 600, odd=True), "who", "at", tie="id"), numeric_features()
+    keys = spine(spark).select(*lb.KEYS)
+    more = keys.union(keys.where("entity_id = 3")).union(keys.where("entity_id = 4").withColumn("entity_id", F.lit(None).cast("int")))
+    fast, slow = fs.compute(more, path, feats), fs.compute_by_join(more.distinct(), path, feats)
+    assert fast.dtypes == slow.dtypes
+    a, b = ({(r.entity_id, r.cutoff_time): r for r in x.collect()} for x in (fast, slow))
+    assert a.keys() == b.keys() and len(a) == 18 * 12 == fast.count()
+    wrong = [(k, f.name, a[k][f.name], b[k][f.name]) for k in a for f in feats if not same(a[k][f.name], b[k][f.name], 1e-6 if f.agg == "std" else 1e-9)]
+    assert not wrong, wrong[:5]
+    assert "Window" not in fast._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_both_ways_give_the_same_sums(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW_CUTOFFS", few)
+    got = fs.compute(spine(spark).select(*lb.KEYS), Path(events(spark, 400), "who", "at"), [Feature("s", "sum", "x", 90), Feature("m", "max", "x", 90), Feature("n", "count")])
+    want = fs.compute_by_join(spine(spark).select(*lb.KEYS), Path(events(spark, 400), "who", "at"), [Feature("s", "sum", "x", 90), Feature("m", "max", "x", 90), Feature("n", "count")])
+    a, b = (sorted((r.entity_id, str(r.cutoff_time), round(r.s, 6), r.m or 0.0, r.n) for r in x.collect()) for x in (got, want))
+    assert a == b
+
+
+def test_tasks_grow_with_the_keys(spark, monkeypatch):
+    """The results of a task stay about as large, however many keys there are (fixed partitions grew with them)."""
+    monkeypatch.setattr(intervals, "TASK_BYTES", 500)
+    path, feats = Path(events(spark, 300), "who", "at"), [Feature("n", "count", days=30), Feature("s", "sum", "x", 90)]
+    one, all_ = (fs.compute(spine(spark).select(*lb.KEYS).where(w), path, feats).rdd.getNumPartitions() for w in ("entity_id < 4", "true"))
+    assert all_ >= 4 * one > 0
+
+
+def test_sizes_of_sums_come_from_the_cheaper_table(spark):
+    """Units are chosen from `sizes`, so that a joined path is not run twice; sums stay those of the joined rows."""
+    rows = events(spark, 300).where("x is not null")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    slow = rows.withColumn("x", counted(F.col("x")))
+    keys, feats = spine(spark).select(*lb.KEYS), [Feature("s", "sum", "x", 90)]
+    got = sorted(map(tuple, fs.compute(keys, Path(slow, "who", "at", sizes=rows), feats).collect()))
+    assert calls.value <= 300
+    assert got == sorted(map(tuple, fs.compute(keys, Path(rows, "who", "at"), feats).collect()))

@@ -74,7 +74,8 @@ class Path:
     """A source of rows: `key` joins to the entity, `time` is the event time that is bounded.
 
     For a path of several hops, join the tables beforehand (a child without a time of its own with its timed parent):
-    that does not depend on the cutoff. Further timed hops on the way are listed in `also`.
+    that does not depend on the cutoff. Further timed hops on the way are listed in `also`. `sizes` is a table with the summed
+    columns that is cheaper to read than `table`, has at least as many rows and all their values (the child of such a join).
     """
 
     table: DataFrame
@@ -82,6 +83,7 @@ class Path:
     time: str
     also: tuple[str, ...] = ()
     tie: str | None = None
+    sizes: DataFrame | None = None
 
 
 def pit_join(spine: DataFrame, path: Path, days: int | None = None) -> DataFrame:
@@ -170,7 +172,7 @@ def compute(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
         measures.append(Measure(f.name, kind, _window(f), conditions.get(f.where), (f.column or "_key") if needs else None, path.tie if kind == "last" else None))
         if f.agg == "share":
             measures.append(Measure(f"{f.name}/all", "count", _window(f)))
-    found = aggregate(spine, rows, "_key", "_t", cuts, windows, measures)
+    found = aggregate(spine, rows, "_key", "_t", cuts, windows, measures, path.sizes)
     # a type depends on the aggregate and its column only
     plain = {(f.agg, f.column, f.log1p): replace(f, name=f"_f{i}", days=None, where=()) for i, f in enumerate(features)}
     typed = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in plain.values()]).schema

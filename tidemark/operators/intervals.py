@@ -12,6 +12,9 @@ and no row is ever paired with a cutoff. Then
 - distinct counts add 1 for the range of cutoffs that see a value's occurrence but not the one before it, as
   differences that are summed over the cutoffs.
 
+With at most FEW_CUTOFFS cutoffs the entity's segments are paired with its cutoffs instead and aggregated there (but for
+first and last rows and extremes of texts): a segment meets at most so many cutoffs, and no row is made for an edge.
+
 Sums of doubles are split into multiples of two fixed powers of two, chosen from the largest value and the number of
 rows, whose totals are exact in any order; so a difference of totals is as exact as the sum of the window's own rows, but for
 parts below 1e-30 of (number of rows times largest value).
@@ -34,6 +37,10 @@ from tidemark.sources.shared import written
 
 KEYS = ["entity_id", "cutoff_time"]
 MOST_CUTOFFS = 2000
+#: Up to so many cutoffs, segments are paired with them (each is a bit of a long).
+FEW_CUTOFFS = 32
+#: What the results of one task's keys take in memory, about.
+TASK_BYTES = 32 << 20
 #: A sum of squared deviations below this share of its terms can't be told from none.
 ROUNDING = 2e-15
 #: Edges of [low, high) in microseconds for each cutoff; low None is all history.
@@ -168,6 +175,8 @@ class Builder:
         self.asked: set[tuple[str, int]] = set()  # of those, what is wanted at which mark
         self.bounds: list[tuple[str, int]] = []  # windows and sides whose edges are compared with times
         self.keys: dict[tuple, str] = {}
+        self.paired = False
+        self.pairs: dict[str, tuple[str, str, int]] = {}  # of segments and cutoffs: column -> segment column, how, window
 
     def name(self, *what: object) -> str:
         return self.keys.setdefault(what, f"_x{len(self.keys)}")
@@ -193,8 +202,16 @@ class Builder:
         self.wanted.add((n, mark))
         return F.col(f"{n}_{mark}")
 
+    def pair(self, n: str, how: str, window: str) -> str:
+        """The column of a window's aggregate of a segment column."""
+        w = list(self.plan.windows).index(window)
+        self.pairs[f"{n}_{w}"] = n, how, w
+        return f"{n}_{w}"
+
     def within(self, n: str, window: str) -> Column:
         """A total inside a window."""
+        if self.paired:
+            return F.expr(f"coalesce({self.pair(n, 'sum', window)}, 0)")
         marks = [self.plan.mark_of[window, side] for side in (0, 1)]
         self.wanted |= {(n, m) for m in marks if m is not None}
         low, high = (f"coalesce({n}_{m}, 0)" for m in marks)
@@ -233,6 +250,8 @@ class Builder:
         most = m.kind in ("max", "last", "last_time")
         n = self.name(m.on, m.value, m.tie, "most" if most else "least", "row" if row is not None else m.kind in ("min", "max"))
         self.segments[n] = (F.max if most else F.min)(made)
+        if self.paired:
+            return F.col(self.pair(n, "max" if most else "min", m.window))
         if low is None or m.kind in ("last", "last_time"):  # the running extreme at the upper edge
             self.running[n] = (F.max if most else F.min)(n)
             found = self.at(n, m.window, 1)
@@ -313,11 +332,11 @@ def _distinct(keys: DataFrame, rows: DataFrame, builder: Builder, measures: list
     return run.where("_mark = 1").drop("_mark")
 
 
-def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs: list[int], windows: dict[str, Edges], measures: list[Measure]) -> DataFrame:
+def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs: list[int], windows: dict[str, Edges], measures: list[Measure], sizes: DataFrame | None = None) -> DataFrame:
     """entity_id, cutoff_time and a column for each measure; keys are unique and all of them come back.
 
     windows has, by name, the edges for each of the cutoffs (in microseconds, ascending). Rows without an entity or a
-    time are in no window.
+    time are in no window. sizes stands in for the rows where only the summed values' sizes are asked: at least as many rows and all values.
     """
     if not cutoffs:
         return keys.select(*KEYS, *[F.lit(None).alias(m.name) for m in measures])
@@ -329,15 +348,16 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
     b.kinds = {m.value: rows.select(F.expr(m.value).alias("v")).schema["v"].dataType for m in measures if m.value}
     centred = list(dict.fromkeys(m.value for m in measures if m.kind == "std"))
     summed = [m.value for m in measures if m.kind in ("sum", "mean") and _floating(b.kinds[m.value])]
-    b.spreads = spreads(rows, {c: F.expr(c) for c in dict.fromkeys([*summed, *centred])}, centred)
+    b.spreads = spreads(rows if sizes is None else sizes, {c: F.expr(c) for c in dict.fromkeys([*summed, *centred])}, centred)
     cut = plan.segment(rows, time, "_at")
     plain = [m for m in measures if m.kind != "distinct"]
+    b.paired = len(cutoffs) <= FEW_CUTOFFS and all(_fixed(m, b.kinds) for m in plain)
     results = {m.name: b.result(m) for m in plain}
     out = keys.select(*KEYS)
     if b.extremes or b.wanted and b.asked or len(plain) < len(measures):  # several parts read the keys
         out = keys = written(out, "keys")
     if plain:
-        out = _plain(out, cut, b, results, entity)
+        out = (_paired if b.paired else _plain)(out, cut, b, results, entity)
     distinct: dict[tuple, list[Measure]] = {}
     for m in measures:
         if m.kind == "distinct":
@@ -347,6 +367,36 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
     return out.select(*KEYS, *[m.name for m in measures])
 
 
+def _fixed(m: Measure, kinds: dict[str, T.DataType]) -> bool:
+    """Whether a measure runs in columns of fixed width, which are aggregated by hash."""
+    if m.kind in ("min", "max"):
+        return isinstance(kinds[m.value], (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return m.kind not in ("first", "last")
+
+
+def _paired(keys: DataFrame, cut: DataFrame, b: Builder, results: dict[str, Column], entity: str) -> DataFrame:
+    """The results for few cutoffs: an entity's segments meet those of its cutoffs in whose widest window they lie.
+
+    The cutoffs of an entity travel as the bits of a long, and the keys are dealt to so many tasks that the results of
+    each take about TASK_BYTES, however many keys there are.
+    """
+    plan, spark = b.plan, keys.sparkSession
+    used = sorted({w for _, _, w in b.pairs.values()})
+    edges = [[e[i] for e in plan.windows.values()] for i in range(len(plan.cutoffs))]
+    sides = [[(-1 if e[w][0] is None else plan.place[e[w][0]], plan.place[e[w][1]]) for w in used] for e in edges]
+    rows = [(c, i, min(x for x, _ in s), max(y for _, y in s), *[v for side in s for v in side]) for i, (c, s) in enumerate(zip(plan.cutoffs, sides, strict=True))]
+    table = F.broadcast(spark.createDataFrame(rows, ", ".join(["_c long, _i int, _low int, _high int", *[f"_l{w} int, _h{w} int" for w in used]])))  # a row for each cutoff
+    tasks = max(1, math.ceil(keys.count() * (len(b.pairs) + 4) * 8 / TASK_BYTES))
+    bits = keys.withColumn("_c", micros(F.col("cutoff_time"))).join(table.select("_c", "_i"), "_c").groupBy("entity_id").agg(F.expr("bit_or(shiftleft(1L, _i))").alias("_bits"))
+    each = bits.repartition(tasks, "entity_id").join(table, F.expr("(_bits & shiftleft(1L, _i)) != 0"))
+    segments = cut.groupBy(F.col(entity).alias("_e"), "_at").agg(*[c.alias(n) for n, c in b.segments.items()]).repartition(tasks, "_e")
+    near = (F.col("entity_id") == F.col("_e")) & (F.col("_at") > F.col("_low")) & (F.col("_at") <= F.col("_high"))
+    columns = [F.expr(f"{how}(case when _at > _l{w} and _at <= _h{w} then {n} end) as {name}") for name, (n, how, w) in b.pairs.items()]
+    out = each.join(segments.hint("merge"), near, "left").groupBy("entity_id", "_c").agg(*columns)
+    time = F.timestamp_micros("_c").cast(keys.schema["cutoff_time"].dataType)
+    return out.withColumn("cutoff_time", time).select(*KEYS, *[c.alias(n) for n, c in results.items()])
+
+
 def _at_marks(marks: DataFrame, segments: DataFrame, running: dict[str, Column], wanted: set[tuple[str, int]], back: bool = False) -> DataFrame:
     """KEYS and, for each (name, mark) wanted, the running column there; `back` runs from the last segment to the mark."""
     used = {w for _, w in wanted}

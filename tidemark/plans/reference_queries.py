@@ -81,7 +81,7 @@ def items_path(spark: SparkSession, d: str) -> Path:
     """Order lines, timed by their order: joined once, whatever the cutoffs."""
     items = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate", "l_linenumber")
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return Path(items.join(orders, items["l_orderkey"] == orders["o_orderkey"]), "o_custkey", "o_orderdate")
+    return Path(items.join(orders, items["l_orderkey"] == orders["o_orderkey"]), "o_custkey", "o_orderdate", sizes=items)
 
 
 W = "cutoffs as (select (timestamp '1996-01-01' + to_months(i::int))::timestamp as cutoff_time from range(12) r(i)), windows as (select cutoff_time, (cutoff_time + interval 90 day)::timestamp as label_window_end from cutoffs)"
