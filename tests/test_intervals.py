@@ -222,3 +222,13 @@ def test_sizes_of_sums_come_from_the_cheaper_table(spark):
     got = sorted(map(tuple, fs.compute(keys, Path(slow, "who", "at", sizes=rows), feats).collect()))
     assert calls.value <= 300
     assert got == sorted(map(tuple, fs.compute(keys, Path(rows, "who", "at"), feats).collect()))
+
+
+def test_a_bound_of_the_cutoff_is_not_found_for_each_pair(spark):
+    people = spine(spark).select(*lb.KEYS)
+    rule = lb.Rule(events(spark, 300), "who", "at", "at >= :cutoff - interval 20 days")
+    got = lb.apply_rule(people, rule)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == people.columns and not [x for x in plan.split("\n") if "Join" in x and "INTERVAL" in x.upper()]
+    want = people.join(rule.table, F.expr("who = entity_id and at < cutoff_time and at >= cutoff_time - interval 20 days"), "left_semi")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count()

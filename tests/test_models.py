@@ -126,3 +126,18 @@ def test_fits_side_by_side_keep_their_order_and_failures():
     assert time.time() - began < 1.1
     with pytest.raises(ZeroDivisionError):
         models.side_by_side([lambda: 1, lambda: 1 // 0])
+
+
+def test_isotonic_is_fitted_to_pooled_scores(spark, monkeypatch):
+    """One row for each score reaches the fit, and it gives what the single rows give."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    df = spark.range(4000).select((F.pmod(F.col("id") * 7919, F.lit(50)) / 50).alias("score"), (F.pmod(F.xxhash64("id"), F.lit(100)) < F.pmod(F.col("id") * 7919, F.lit(50))).cast("int").alias("label"))
+    seen, plain = [], IsotonicRegression.fit
+    want = plain(IsotonicRegression(featuresCol="score", labelCol="label"), df.withColumn("label", F.col("label").cast("double")))
+    monkeypatch.setattr(IsotonicRegression, "fit", lambda self, rows: (seen.append(rows.count()), plain(self, rows))[1])
+    fitted = models.calibrate(df)
+    assert seen == [50]
+    a = {r.score: r.calibrated for r in fitted(df).distinct().collect()}
+    b = {r.score: r.prediction for r in want.transform(df).distinct().collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)

@@ -92,7 +92,12 @@ def apply_rule(spine: DataFrame, rule: Rule, exists: bool = True) -> DataFrame:
         text = rule.where
         for c in sorted(rule.table.columns, key=len, reverse=True):
             text = re.sub(rf"\b{re.escape(c)}\b", f"`{names[c]}`", text)
-        near = near & bound(text)
+        # a bound that only depends on the cutoff is found once for a spine row, not for each pair
+        bounds: dict[str, str] = {}
+        text = re.sub(r":cutoff\s*[-+]\s*interval\s+\d+\s+\w+", lambda m: bounds.setdefault(m[0], f"`_bound{len(bounds)}`"), text)
+        columns = spine.columns
+        spine = spine.withColumns({n.strip("`"): bound(b) for b, n in bounds.items()})
+        return spine.join(right, near & bound(text), "left_semi" if exists else "left_anti").select(*columns)
     return spine.join(right, near, "left_semi" if exists else "left_anti")
 
 

@@ -258,7 +258,9 @@ def calibrate(df: DataFrame, p: str = "score", label: str = "label", least_error
         return None
     data = df.select(F.col(p).alias("p"), F.col(label).cast("double").alias("label"))
     if df.count() >= isotonic_rows:
-        model = IsotonicRegression(featuresCol="p", labelCol="label").fit(data)
+        # rows of one score are pooled before anything else, so each score is one row weighed by its rows
+        pooled = data.groupBy("p").agg(F.avg("label").alias("label"), F.count("label").cast("double").alias("n")).where("n > 0")
+        model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="n").fit(pooled)
         return lambda d: model.setFeaturesCol(p).setPredictionCol("calibrated").transform(d)
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
     fitted = LogisticRegression(labelCol="label").fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(data.withColumn("z", logit(F.col("p")))))
