@@ -141,3 +141,20 @@ def test_isotonic_is_fitted_to_pooled_scores(spark, monkeypatch):
     a = {r.score: r.calibrated for r in fitted(df).distinct().collect()}
     b = {r.score: r.prediction for r in want.transform(df).distinct().collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_battery_keeps_only_what_its_fits_read(spark, monkeypatch):
+    df = spark.range(300).select("id", F.rand(1).alias("a"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, "train").when(F.col("id") % 3 == 1, "val").otherwise("test").alias("part"))
+    kept, plain = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: (kept.append((self.columns, self.count())), plain(self, *a))[1] if not kept else plain(self, *a))
+    got = models.battery(df, ["a"])
+    assert kept == [(["features", "label_d", "part"], 200)] and got.where("error is null").count() == 3
+
+
+def test_frames_of_some_parts_are_those_rows_of_the_whole(spark):
+    from tidemark.plans import model_queries as mq
+
+    d = "/root/testdata/sf0.001"
+    whole, some = mq.frame(spark, d), mq.frame(spark, d, parts=mq.FITTED)
+    assert whole.columns == some.columns
+    assert sorted(map(str, whole.where("part in ('train', 'val')").collect())) == sorted(map(str, some.collect()))

@@ -161,8 +161,8 @@ def engines(seed: int = 7) -> dict:
 
 def battery(df: DataFrame, columns: list[str], label: str = "label", makers: dict | None = None) -> DataFrame:
     """model, accuracy, f1, error on part val; one model's failure does not stop the others."""
-    data, _ = ready(df.withColumn("label_d", F.col(label).cast("double")), columns)
-    data = data.persist()  # all fits read it; the scores below are small and brought in before it is let go
+    data, _ = ready(df.where(F.col("part").isin("train", "val")).withColumn("label_d", F.col(label).cast("double")), columns)
+    data = data.select("features", "label_d", "part").persist()  # all fits read it; the scores below are small and brought in before it is let go
 
     def one(name: str, maker) -> tuple:
         try:

@@ -19,6 +19,8 @@ from tidemark.sources.shared import new_path, written
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 COLUMNS = ["n_30", "n_90", "n_365", "mean_price", "since_last", "quantity"]
+#: The parts that models are fitted and compared on.
+FITTED = ("train", "val")
 
 
 def query(name: str, sql: str | None = None):
@@ -31,10 +33,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def frame(spark: SparkSession, d: str, keys: DataFrame | None = None) -> DataFrame:
-    """Features of both paths, written once; with labels and parts unless keys are given."""
+def frame(spark: SparkSession, d: str, keys: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
+    """Features of both paths, written once; with labels and parts unless keys are given. Of parts, if given, only: rows that no one reads get no features."""
     feats = [*[Feature(f"n_{n}", "count", days=n) for n in (30, 90, 365)], Feature("mean_price", "mean", "o_totalprice"), Feature("since_last", "days_since_last")]
     base = parted(spark, d) if keys is None else keys
+    base = base.where(F.col("part").isin(*parts)) if parts else base
     spine = base.select(*lb.KEYS)
     wide = fs.wide(base, [fs.compute(spine, orders_path(spark, d), feats), fs.compute(spine, items_path(spark, d), [Feature("quantity", "sum", "l_quantity", 365)])])
     return written(wide, "frame")
@@ -96,7 +99,7 @@ def a16(spark, d):
 
 @query("M1")
 def m1(spark, d):
-    f = frame(spark, d)
+    f = frame(spark, d, parts=("train", "val", "test"))
     model, _ = models.fit_validated(f, COLUMNS)
     return metrics.roc_auc(models.predict(model, f.where("part = 'test'"), COLUMNS), "score", "label")
 
@@ -126,35 +129,36 @@ def m2_multiclass(spark, d):
 
 @query("M3")
 def m3(spark, d):
-    f, _ = models.ready(frame(spark, d).withColumn("label_d", F.col("label").cast("double")), COLUMNS)
+    f, _ = models.ready(frame(spark, d, parts=FITTED).withColumn("label_d", F.col("label").cast("double")), COLUMNS)
+    makers = models.engines()
+    fitted = models.side_by_side([lambda m=m: m.fit(f.where("part = 'train'")) for m in makers.values()])
     out = None
-    for name, maker in models.engines().items():
-        got = maker.fit(f.where("part = 'train'")).transform(f.where("part = 'val'"))
-        one = metrics.classification(got, "label_d", "prediction").withColumn("engine", F.lit(name))
+    for name, model in zip(makers, fitted, strict=True):
+        one = metrics.classification(model.transform(f.where("part = 'val'")), "label_d", "prediction").withColumn("engine", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 
 
 @query("M4")
 def m4(spark, d):
-    return models.battery(frame(spark, d), COLUMNS)
+    return models.battery(frame(spark, d, parts=FITTED), COLUMNS)
 
 
 @query("M5")
 def m5(spark, d):
-    return models.search(frame(spark, d), COLUMNS, tries=2)
+    return models.search(frame(spark, d, parts=FITTED), COLUMNS, tries=2)
 
 
 @query("M6")
 def m6(spark, d):
-    f, _ = models.ready(frame(spark, d).withColumn("label_d", F.col("label").cast("double")).withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time")), COLUMNS)
+    f, _ = models.ready(frame(spark, d, parts=FITTED).withColumn("label_d", F.col("label").cast("double")).withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time")), COLUMNS)
     makers = [RandomForestClassifier(labelCol="label_d", numTrees=10, seed=1), LogisticRegression(labelCol="label_d"), RandomForestClassifier(labelCol="label_d", numTrees=10, maxDepth=3, seed=2)]
     return models.vote([m.fit(f.where("part = 'train'")).transform(f.where("part = 'val'")) for m in makers], "row_id")
 
 
 @query("M7")
 def m7(spark, d):
-    f = written(splits.expanding_folds(frame(spark, d).where("cutoff_time < timestamp_ntz '1996-10-01'"), 2), "folds")
+    f = frame(spark, d, splits.expanding_folds(parted(spark, d).where("cutoff_time < timestamp_ntz '1996-10-01'"), 2))
     return models.fold_scores(f, COLUMNS, ["fold_1", "fold_2"])
 
 
@@ -170,7 +174,7 @@ def m9(spark, d):
 
 @query("M10")
 def m10(spark, d):
-    f = frame(spark, d)
+    f = frame(spark, d, parts=FITTED)
     model, _ = models.fit_validated(f, COLUMNS, rounds=5)
     auc = metrics.roc_auc(models.predict(model, f.where("part = 'val'"), COLUMNS), "score", "label").first()[0]
     return spark.createDataFrame([(auc, models.rebuilds(model, f, COLUMNS, auc))], "roc_auc double, rebuilt boolean")
@@ -178,13 +182,13 @@ def m10(spark, d):
 
 @query("M11")
 def m11(spark, d):
-    model, names = models.fit_validated(frame(spark, d), COLUMNS)
+    model, names = models.fit_validated(frame(spark, d, parts=FITTED), COLUMNS)
     return models.importances(model, names, spark)
 
 
 @query("M12")
 def m12(spark, d):
-    f = frame(spark, d)
+    f = frame(spark, d, parts=FITTED)
     model, _ = models.fit_validated(f, COLUMNS, rounds=5, depth=3)
     rows = f.where("part = 'val'").withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time"))
     return models.reasons(model, rows, COLUMNS, "row_id")
@@ -192,7 +196,7 @@ def m12(spark, d):
 
 @query("M12_summary")
 def m12_summary(spark, d):
-    f = frame(spark, d)
+    f = frame(spark, d, parts=FITTED)
     model, _ = models.fit_validated(f, COLUMNS, rounds=5, depth=3)
     rows = f.where("part = 'val'").withColumn("row_id", F.col("entity_id") * 100 + F.month("cutoff_time"))
     return models.reason_summary(model, rows, COLUMNS, "row_id")
@@ -219,7 +223,7 @@ def v12(spark, d):
 
 @query("D1")
 def d1(spark, d):
-    model, _ = models.fit_validated(frame(spark, d), COLUMNS)
+    model, _ = models.fit_validated(frame(spark, d, parts=FITTED), COLUMNS)
     got = models.predict(model, frame(spark, d, now_eligible(spark, d)), COLUMNS)
     return scoring.rank_rows(got.select("entity_id", "score")).select("entity_id", "score", "rank", "decile")
 
@@ -231,5 +235,5 @@ def now_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @query("D7")
 def d7(spark, d):
-    model, _ = models.fit_validated(frame(spark, d), COLUMNS, rounds=5, depth=3)
+    model, _ = models.fit_validated(frame(spark, d, parts=FITTED), COLUMNS, rounds=5, depth=3)
     return scoring.preview(model, frame(spark, d, now_eligible(spark, d)), COLUMNS, 20)
