@@ -232,3 +232,17 @@ def test_a_bound_of_the_cutoff_is_not_found_for_each_pair(spark):
     assert got.columns == people.columns and not [x for x in plan.split("\n") if "Join" in x and "INTERVAL" in x.upper()]
     want = people.join(rule.table, F.expr("who = entity_id and at < cutoff_time and at >= cutoff_time - interval 20 days"), "left_semi")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count()
+
+
+def test_a_rule_reads_only_rows_that_a_cutoff_can_see(spark):
+    cut = "timestamp_ntz '2020-06-01'"
+    people = spark.range(3).select(F.col("id").alias("entity_id"), F.expr(cut).alias("cutoff_time"))
+    times = {"early": "2020-01-01", "edge": "2020-05-02", "inside": "2020-05-20", "cutoff": "2020-06-01", "late": "2020-07-01"}
+    events = spark.createDataFrame([(i % 3, n, t) for i, (n, t) in enumerate(times.items())], "k long, n string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    seen = lambda where, who=people: {r.n for r in lb._reach(who, lb.Rule(events, "k", "t", where)).collect()}
+    assert seen("t >= :cutoff - interval 30 days") == {"edge", "inside"}
+    assert seen("n != 'edge' and t >= :cutoff - interval 30 days") == seen(None) == {"early", "edge", "inside"}
+    assert seen("t >= :cutoff - interval 30 days or n = 'early'") == {"early", "edge", "inside"}
+    assert seen(None, people.where("false")) == set()
+    assert lb.apply_rule(people, lb.Rule(events, "k", "t", "t >= :cutoff - interval 30 days")).count() == 2
+    assert lb.apply_rule(people.where("entity_id = 1"), lb.Rule(events.where("false"), "k", "t"), exists=False).count() == 1

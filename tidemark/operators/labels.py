@@ -83,10 +83,21 @@ def entity_cutoffs(entities: DataFrame, key: str, cuts: DataFrame, created: str
 
 
 
+def _reach(spine: DataFrame, rule: Rule) -> DataFrame:
+    """The rule's rows that some cutoff can see: before the latest one, and not before the earliest bound if that is all the rule asks."""
+    lowest = re.fullmatch(rf"\s*{re.escape(rule.time)}\s*>=\s*(:cutoff\s*-\s*interval\s+\d+\s+\w+)\s*", rule.where or "")
+    ends = spine.agg(F.min(bound(lowest[1]) if lowest else F.col("cutoff_time")).alias("low"), F.max("cutoff_time").alias("high"))
+    low, high = (None if v is None else F.lit(v).cast(ends.schema[n].dataType) for n, v in ends.select(*[F.col(n).cast("string") for n in ends.columns]).first().asDict().items())
+    if high is None:
+        return rule.table.where("false")
+    rows = rule.table.where(F.col(rule.time) < high)
+    return rows.where(F.col(rule.time) >= low) if lowest else rows
+
+
 def apply_rule(spine: DataFrame, rule: Rule, exists: bool = True) -> DataFrame:
     """Spine rows for which the rule's row exists (semi join) or does not (anti join)."""
     names = {c: f"_r_{c}" for c in rule.table.columns}
-    right = rule.table.select(*[F.col(c).alias(n) for c, n in names.items()])
+    right = _reach(spine, rule).select(*[F.col(c).alias(n) for c, n in names.items()])
     near = (F.col("entity_id") == F.col(names[rule.key])) & (F.col(names[rule.time]) < F.col("cutoff_time"))
     if rule.where:
         text = rule.where

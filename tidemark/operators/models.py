@@ -58,8 +58,16 @@ def fit_validated(df: DataFrame, columns: list[str], label: str = "label", kind:
         return GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="label_d", maxIter=20, regParam=0.01).fit(data.where(~F.col("_val"))), names
     if kind == "multiclass":
         return fit_softmax(data, label, rounds=rounds, depth=depth, seed=seed), names
+    data = data.select("features", "label_d", "_val").persist()  # vectors are assembled once, not for each of the fit's passes
+    try:
+        return boosted(kind, rounds, depth, seed).fit(data), names
+    finally:
+        data.unpersist()
+
+
+def boosted(kind: str, rounds: int, depth: int, seed: int):
     maker = GBTClassifier if kind == "binary" else GBTRegressor
-    return maker(labelCol="label_d", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_val").fit(data), names
+    return maker(labelCol="label_d", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_val")
 
 
 @dataclass(frozen=True)

@@ -34,10 +34,9 @@ def query(name: str, sql: str | None = None):
 
 
 def frame(spark: SparkSession, d: str, keys: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
-    """Features of both paths, written once; with labels and parts unless keys are given. Of parts, if given, only: rows that no one reads get no features."""
+    """Features of both paths, written once; with labels and parts unless keys are given. Of parts, if given, only: rows that no one reads are not built."""
     feats = [*[Feature(f"n_{n}", "count", days=n) for n in (30, 90, 365)], Feature("mean_price", "mean", "o_totalprice"), Feature("since_last", "days_since_last")]
-    base = parted(spark, d) if keys is None else keys
-    base = base.where(F.col("part").isin(*parts)) if parts else base
+    base = parted(spark, d, parts) if keys is None else keys
     spine = base.select(*lb.KEYS)
     wide = fs.wide(base, [fs.compute(spine, orders_path(spark, d), feats), fs.compute(spine, items_path(spark, d), [Feature("quantity", "sum", "l_quantity", 365)])])
     return written(wide, "frame")

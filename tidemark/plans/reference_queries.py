@@ -50,9 +50,9 @@ def t1_rule(spark: SparkSession, d: str, days: int = 365) -> Rule:
     return Rule(load(spark, d, "orders"), "o_custkey", "o_orderdate", f"o_orderdate >= :cutoff - interval {days} days")
 
 
-def t1_spine(spark: SparkSession, d: str) -> DataFrame:
-    """Written, since whatever follows reads it several times."""
-    every = lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", t1_windows(spark))
+def t1_spine(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
+    """Written, since whatever follows reads it several times; of some of the windows, if given."""
+    every = lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", t1_windows(spark) if windows is None else windows)
     return written(lb.apply_rule(every, t1_rule(spark, d)), "spine")
 
 
@@ -60,8 +60,8 @@ def orders_target(spark: SparkSession, d: str, **more) -> Target:
     return Target(load(spark, d, "orders"), "o_custkey", "o_orderdate", **more)
 
 
-def t1_labels(spark: SparkSession, d: str) -> DataFrame:
-    return lb.labels(t1_spine(spark, d), orders_target(spark, d, compare=("=", 0)))
+def t1_labels(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
+    return lb.labels(t1_spine(spark, d, windows), orders_target(spark, d, compare=("=", 0)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,13 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return written(t1_labels(spark, d), "labels").select("entity_id", "cutoff_time", "label", s.alias("score"), (F.col("entity_id") * 100 + F.month("cutoff_time")).alias("row_id"), (s >= 0.5).cast("int").alias("pred"))
 
 
-def parted(spark: SparkSession, d: str) -> DataFrame:
-    return splits.partition(written(t1_labels(spark, d), "labels"), "1996-07-01", "1996-10-01")
+def parted(spark: SparkSession, d: str, parts: tuple[str, ...] = (), where: str | None = None) -> DataFrame:
+    """Labels with their part; a part follows from the window, so rows of other parts (or windows that fail `where`) are not built."""
+    split = lambda rows: splits.partition(rows, "1996-07-01", "1996-10-01")
+    windows = split(t1_windows(spark))
+    windows = windows.where(F.col("part").isin(*parts)) if parts else windows
+    windows = windows.where(where) if where else windows
+    return split(written(t1_labels(spark, d, windows.drop("part")), "labels"))
 
 
 def orders_path(spark: SparkSession, d: str) -> Path:
@@ -78,10 +83,10 @@ def orders_path(spark: SparkSession, d: str) -> Path:
 
 
 def items_path(spark: SparkSession, d: str) -> Path:
-    """Order lines, timed by their order: joined once, whatever the cutoffs."""
+    """Order lines, timed by their order: joined once, whatever the cutoffs. Lines are not sorted for it, they look their order up by hash."""
     items = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate", "l_linenumber")
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return Path(items.join(orders, items["l_orderkey"] == orders["o_orderkey"]), "o_custkey", "o_orderdate", sizes=items)
+    return Path(items.join(orders.hint("shuffle_hash"), items["l_orderkey"] == orders["o_orderkey"]), "o_custkey", "o_orderdate", sizes=items)
 
 
 W = "cutoffs as (select (timestamp '1996-01-01' + to_months(i::int))::timestamp as cutoff_time from range(12) r(i)), windows as (select cutoff_time, (cutoff_time + interval 90 day)::timestamp as label_window_end from cutoffs)"
