@@ -158,3 +158,29 @@ def test_frames_of_some_parts_are_those_rows_of_the_whole(spark):
     whole, some = mq.frame(spark, d), mq.frame(spark, d, parts=mq.FITTED)
     assert whole.columns == some.columns
     assert sorted(map(str, whole.where("part in ('train', 'val')").collect())) == sorted(map(str, some.collect()))
+
+
+def test_vectors_are_kept_while_a_fit_reads_them(spark, monkeypatch):
+    df = spark.range(300).select("id", F.rand(1).alias("a"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part"))
+    kept, plain = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: (kept.append(plain(self, *a)), kept[-1])[1])
+    models.fit_validated(df, ["a"], rounds=2)
+    assert [k.columns for k in kept] == [["features", "label_d", "_val"]]
+    for made, n in ((models.compare(df, ["a"]), 3), (models.search(df, ["a"], tries=2), 2)):
+        assert made.count() == n
+    assert [k.columns for k in kept] == [["features", "label_d", "_val"], ["features", "label_d", "part"], ["features", "label_d", "_val"]]
+    assert not any(k.storageLevel.useMemory for k in kept)  # and let go after it
+
+
+def test_parts_that_are_not_read_get_no_spine(spark, monkeypatch):
+    from tidemark.operators import labels as lb
+    from tidemark.plans import reference_queries as rq
+
+    spines, plain = [], lb.apply_rule
+    monkeypatch.setattr(lb, "apply_rule", lambda *a, **k: (spines.append(a[0].select("cutoff_time").distinct().count()), plain(*a, **k))[1])
+    d = "/root/testdata/sf0.001"
+    whole = rq.parted(spark, d)
+    some, early = rq.parted(spark, d, ("train", "val")), rq.parted(spark, d, where="cutoff_time < timestamp_ntz '1996-10-01'")
+    assert spines == [12, 5, 9]
+    for got, where in ((some, "part in ('train', 'val')"), (early, "cutoff_time < timestamp_ntz '1996-10-01'")):
+        assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.where(where).collect()))

@@ -185,17 +185,38 @@ def battery(df: DataFrame, columns: list[str], label: str = "label", makers: dic
     return df.sparkSession.createDataFrame(out, "model string, accuracy double, f1 double, error string")
 
 
+def compare(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """The classification measures of each engine on part val, and engine; all fits and scores read vectors that are assembled once."""
+    data, _ = ready(df.where(F.col("part").isin("train", "val")).withColumn("label_d", F.col(label).cast("double")), columns)
+    data = data.select("features", "label_d", "part").persist()
+
+    def one(name: str, maker) -> tuple:
+        got = metrics.classification(maker.fit(data.where("part = 'train'")).transform(data.where("part = 'val'")), "label_d", "prediction")
+        got = got.withColumn("engine", F.lit(name))
+        return got.schema, tuple(got.first())
+
+    try:
+        out = side_by_side([lambda n=n, m=m: one(n, m) for n, m in engines().items()])
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame([r for _, r in out], out[0][0])
+
+
 def search(df: DataFrame, columns: list[str], label: str = "label", tries: int = 4, seed: int = 7) -> DataFrame:
     """depth, rounds, roc_auc on part val for a seeded choice of the grid, the best first."""
     grid = list(itertools.product((2, 3, 4), (5, 10, 20)))
     random.Random(seed).shuffle(grid)
+    data, _ = ready(df.where(F.col("part").isin("train", "val")), columns)
+    data = data.select("features", F.col(label).cast("double").alias("label_d"), (F.col("part") == "val").alias("_val")).persist()  # all tries and their scores read it
 
     def one(depth: int, rounds: int) -> tuple:
-        model, _ = fit_validated(df, columns, label, rounds=rounds, depth=depth, seed=seed)
-        scored = predict(model, df.where("part = 'val'"), columns)
-        return depth, rounds, metrics.roc_auc(scored, "score", label).first()[0]
+        scored = boosted("binary", rounds, depth, seed).fit(data).transform(data.where("_val")).withColumn("score", vector_to_array("probability")[1])
+        return depth, rounds, metrics.roc_auc(scored, "score", "label_d").first()[0]
 
-    rows = side_by_side([lambda g=g: one(*g) for g in grid[:tries]])
+    try:
+        rows = side_by_side([lambda g=g: one(*g) for g in grid[:tries]])
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -(r[2] or 0)), "depth int, rounds int, roc_auc double")
 
 
