@@ -128,14 +128,7 @@ def m2_multiclass(spark, d):
 
 @query("M3")
 def m3(spark, d):
-    f, _ = models.ready(frame(spark, d, parts=FITTED).withColumn("label_d", F.col("label").cast("double")), COLUMNS)
-    makers = models.engines()
-    fitted = models.side_by_side([lambda m=m: m.fit(f.where("part = 'train'")) for m in makers.values()])
-    out = None
-    for name, model in zip(makers, fitted, strict=True):
-        one = metrics.classification(model.transform(f.where("part = 'val'")), "label_d", "prediction").withColumn("engine", F.lit(name))
-        out = one if out is None else out.union(one)
-    return out
+    return models.compare(frame(spark, d, parts=FITTED), COLUMNS)
 
 
 @query("M4")
