@@ -150,7 +150,7 @@ def m6(spark, d):
 
 @query("M7")
 def m7(spark, d):
-    f = frame(spark, d, splits.expanding_folds(parted(spark, d).where("cutoff_time < timestamp_ntz '1996-10-01'"), 2))
+    f = frame(spark, d, splits.expanding_folds(parted(spark, d, where="cutoff_time < timestamp_ntz '1996-10-01'"), 2))
     return models.fold_scores(f, COLUMNS, ["fold_1", "fold_2"])
 
 
