@@ -246,3 +246,39 @@ def test_a_rule_reads_only_rows_that_a_cutoff_can_see(spark):
     assert seen(None, people.where("false")) == set()
     assert lb.apply_rule(people, lb.Rule(events, "k", "t", "t >= :cutoff - interval 30 days")).count() == 2
     assert lb.apply_rule(people.where("entity_id = 1"), lb.Rule(events.where("false"), "k", "t"), exists=False).count() == 1
+
+
+def test_eligible_entities_are_found_without_every_pair(spark, monkeypatch):
+    """By the bits of the cutoffs: the same rows as by the join, at the edges of the span, for repeated and null entities."""
+    from tidemark.operators import labels as lb
+
+    rows = [(1, "1995-03-01 00:00:00"), (1, "1995-02-28 23:59:59.999999"), (2, "1996-02-29 00:00:00"), (2, "1996-01-01 00:00:00"), (3, None), (None, "1996-01-05 00:00:00"), (4, "1994-01-01 00:00:00"), (5, "1996-02-28 12:00:00")]
+    table = spark.createDataFrame(rows, "k long, t string").select("k", F.col("t").cast("timestamp_ntz").alias("t"))
+    entities = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (5,), (None,)], "id long")
+    cuts = lb.windows(lb.cutoffs(spark, "1996-01-01", "1996-03-01", 1, "months"), 90, "2001-08-01")[0]
+    every = entities, "id", cuts
+    rule = lb.Rule(table, "k", "t", "t >= :cutoff - interval 366 days")
+    want = lb.apply_rule(lb.entity_cutoffs(*every), rule)
+    got = lb.apply_rule(lb.entity_cutoffs(*every), rule, made_of=every)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    more = lb.Rule(table, "k", "t", "t >= :cutoff - interval 366 days and k < 5")  # asks more than a span: by the join
+    assert sorted(map(str, lb.apply_rule(lb.entity_cutoffs(*every), more, made_of=every).collect())) == sorted(map(str, lb.apply_rule(lb.entity_cutoffs(*every), more).collect()))
+
+
+def test_paths_together_equal_each_by_its_join(spark):
+    """Cutoffs with gaps between their windows, two tables, rows on every edge and a value that is not finite."""
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (1995, 1996, 1998, 2000) for m in (1, 2, 6) for d in (1, 2, 28)]
+    rows = [(i % 4, t, float(i) if i % 11 else math.inf) for i, t in enumerate(days * 2)]
+    a = spark.createDataFrame(rows, "k long, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    b = a.where("v < 40").select("k", "t", (F.col("v") / 7).alias("w"))
+    keys = spark.createDataFrame([(i, c) for i in range(5) for c in ("1996-02-01", "1996-03-01", "2000-06-28")], "entity_id long, c string").select("entity_id", F.col("c").cast("timestamp_ntz").alias("cutoff_time"))
+    first, second = [fs.Feature("n", "count", days=30), fs.Feature("mean", "mean", "v", 60), fs.Feature("last", "days_since_last", days=365)], [fs.Feature("total", "sum", "w", 30), fs.Feature("top", "max", "w", 90)]
+    got = fs.compute_paths(keys, [(fs.Path(a, "k", "t"), first), (fs.Path(b, "k", "t"), second)])
+    want = fs.wide(keys, [fs.compute_by_join(keys, fs.Path(a, "k", "t"), first), fs.compute_by_join(keys, fs.Path(b, "k", "t"), second)])
+    assert got.dtypes == want.dtypes
+    x, y = ({(r.entity_id, r.cutoff_time): r for r in f.collect()} for f in (got, want))
+    assert x.keys() == y.keys() and len(x) == 15
+    for k in x:
+        for c in ("n", "mean", "last", "total", "top"):
+            assert x[k][c] == y[k][c] or abs(x[k][c] - y[k][c]) < 1e-9, (k, c, x[k][c], y[k][c])

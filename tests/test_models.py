@@ -184,3 +184,38 @@ def test_parts_that_are_not_read_get_no_spine(spark, monkeypatch):
     assert spines == [12, 5, 9]
     for got, where in ((some, "part in ('train', 'val')"), (early, "cutoff_time < timestamp_ntz '1996-10-01'")):
         assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.where(where).collect()))
+
+
+def test_rows_to_score_share_the_pass_of_the_rows_to_fit(spark, monkeypatch):
+    """D7 joins orders and their lines once, and the rows are those of two frames."""
+    from tidemark.operators import intervals
+    from tidemark.plans import model_queries as mq
+
+    d = "/root/testdata/sf0.001"
+    columns = ["entity_id", "cutoff_time", *mq.COLUMNS]
+    both = mq.frame(spark, d, parts=mq.FITTED, also=mq.now_eligible(spark, d))
+    fit, now = mq.frame(spark, d, parts=mq.FITTED), mq.frame(spark, d, mq.now_eligible(spark, d))
+    assert sorted(map(str, both.where("part is not null").collect())) == sorted(map(str, fit.collect())) != []
+    scored = both.where("part is null")
+    assert scored.where("label is not null or label_window_end is not null").count() == 0
+    assert sorted(map(str, scored.select(*columns).collect())) == sorted(map(str, now.select(*columns).collect())) != []
+    joins, passes, path, paired = [], [], mq.items_path, intervals._paired
+    monkeypatch.setattr(mq, "items_path", lambda *a: (joins.append(1), path(*a))[1])
+    monkeypatch.setattr(intervals, "_paired", lambda *a: (passes.append(1), paired(*a))[1])
+    assert mq.d7(spark, d).count() == 20
+    assert len(joins) == 1 and len(passes) == 1
+
+
+def test_labels_and_features_are_one_aggregation(spark, monkeypatch):
+    from tidemark.operators import intervals
+    from tidemark.plans import model_queries as mq
+    from tidemark.plans import reference_queries as rq
+
+    d = "/root/testdata/sf0.001"
+    want = rq.parted(spark, d, mq.FITTED).select("entity_id", "cutoff_time", "label", "label_window_end", "part")
+    passes, paired = [], intervals._paired
+    monkeypatch.setattr(intervals, "_paired", lambda *a: (passes.append(1), paired(*a))[1])
+    got = mq.frame(spark, d, parts=mq.FITTED)
+    assert len(passes) == 1
+    assert got.select(*want.columns).dtypes == want.dtypes
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) != []

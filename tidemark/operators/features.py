@@ -11,7 +11,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import KEYS, Measure, aggregate, cutoff_times, merged
+from tidemark.operators import labels as lb
+from tidemark.operators.intervals import KEYS, Measure, Source, aggregate, aggregate_together, cutoff_times, few, merged
+from tidemark.sources.shared import written
 
 AGGREGATES = ("count", "count_distinct", "sum", "mean", "min", "max", "std", "days_since_last", "days_since_first", "share", "latest", "exists")
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "in", "is_null", "is_not_null")
@@ -155,6 +157,39 @@ def compute(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
     cuts = None if path.also else cutoff_times(spine)
     if not cuts:
         return compute_by_join(spine, path, features)
+    source = _source(path, features, cuts)
+    found = aggregate(spine, source.rows, source.entity, source.time, cuts, source.windows, source.measures, source.sizes)
+    return _typed(spine, found, [(path, features)])
+
+
+def compute_paths(spine: DataFrame, paths: list[tuple[Path, list[Feature]]]) -> DataFrame:
+    """`compute` of several paths side by side, in one aggregation if the cutoffs are few; no two features share a name."""
+    cuts = None if any(p.also for p, _ in paths) else cutoff_times(spine)
+    sources = [_source(p, f, cuts) for p, f in paths] if cuts else []
+    if not cuts or not all(few(cuts, s) for s in sources):
+        return wide(spine.select(*KEYS), [compute(spine, p, f) for p, f in paths])
+    return _typed(spine, aggregate_together(spine, cuts, sources), paths)
+
+
+def labelled(spine: DataFrame, target: lb.Target, paths: list[tuple[Path, list[Feature]]]) -> DataFrame:
+    """`labels.labels` of the spine with the features of the paths, all from one aggregation if the cutoffs are few.
+
+    Rows without a window end are kept: they have features and no label.
+    """
+    ends = lb.window_ends(spine)
+    usable = bool(ends) and not any(p.also for p, _ in paths)
+    cuts = [c for c, _ in ends] if usable else []
+    source = lb.label_source(target, ends) if usable else None
+    sources = [*[_source(p, f, cuts) for p, f in paths], *([source] if source else [])]
+    if source and all(few(cuts, s) for s in sources):
+        return lb.closed(_typed(spine, aggregate_together(spine, cuts, sources), paths, (lb.VALUE,)), spine, target, ends)
+    rows = lb.labels(spine.where("label_window_end is not null"), target).unionByName(spine.where("label_window_end is null").select(*KEYS, "label_window_end"), allowMissingColumns=True)
+    rows = written(rows, "labels")
+    return wide(rows, [compute_paths(rows, paths)])
+
+
+def _source(path: Path, features: list[Feature], cuts: list[int]) -> Source:
+    """The path's rows and the measures of its features."""
     conditions = {w: f"_on{i}" for i, w in enumerate(dict.fromkeys(f.where for f in features if f.where))}
     added = {"_key": F.col(path.key), "_t": F.col(path.time).cast("timestamp_ntz")}
     for where, name in conditions.items():
@@ -172,13 +207,18 @@ def compute(spine: DataFrame, path: Path, features: list[Feature]) -> DataFrame:
         measures.append(Measure(f.name, kind, _window(f), conditions.get(f.where), (f.column or "_key") if needs else None, path.tie if kind == "last" else None))
         if f.agg == "share":
             measures.append(Measure(f"{f.name}/all", "count", _window(f)))
-    found = aggregate(spine, rows, "_key", "_t", cuts, windows, measures, path.sizes)
-    # a type depends on the aggregate and its column only
-    plain = {(f.agg, f.column, f.log1p): replace(f, name=f"_f{i}", days=None, where=()) for i, f in enumerate(features)}
-    typed = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in plain.values()]).schema
-    kinds = {f.name: typed[plain[f.agg, f.column, f.log1p].name] for f in features}
-    entity = F.col("entity_id").cast(spine.schema["entity_id"].dataType)
-    return found.select(entity.alias("entity_id"), "cutoff_time", *[_finished(f).cast(kinds[f.name].dataType).alias(f.name) for f in features])
+    return Source(rows, "_key", "_t", windows, measures, path.sizes)
+
+
+def _typed(spine: DataFrame, found: DataFrame, paths: list[tuple[Path, list[Feature]]], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The features from their measures, in the types that the plain aggregates have, and the columns that are kept."""
+    columns = []
+    for path, features in paths:
+        # a type depends on the aggregate and its column only
+        plain = {(f.agg, f.column, f.log1p): replace(f, name=f"_f{i}", days=None, where=()) for i, f in enumerate(features)}
+        typed = path.table.withColumns({"_key": F.col(path.key), "_t": F.col(path.time), "cutoff_time": F.lit(None).cast("timestamp_ntz")}).agg(*[_aggregate(f, path.tie).alias(f.name) for f in plain.values()]).schema
+        columns += [_finished(f).cast(typed[plain[f.agg, f.column, f.log1p].name].dataType).alias(f.name) for f in features]
+    return found.select(F.col("entity_id").cast(spine.schema["entity_id"].dataType).alias("entity_id"), "cutoff_time", *kept, *columns)
 
 
 def _window(f: Feature) -> str:

@@ -13,7 +13,8 @@ and no row is ever paired with a cutoff. Then
   differences that are summed over the cutoffs.
 
 With at most FEW_CUTOFFS cutoffs the entity's segments are paired with its cutoffs instead and aggregated there (but for
-first and last rows and extremes of texts): a segment meets at most so many cutoffs, and no row is made for an edge.
+first and last rows and extremes of texts): a segment meets at most so many cutoffs, and no row is made for an edge. The
+segments of several tables then meet the cutoffs together.
 
 Sums of doubles are split into multiples of two fixed powers of two, chosen from the largest value and the number of
 rows, whose totals are exact in any order; so a difference of totals is as exact as the sum of the window's own rows, but for
@@ -63,6 +64,21 @@ class Measure:
     tie: str | None = None
 
 
+@dataclass(frozen=True)
+class Source:
+    """Timed rows and what is aggregated of them, by the windows (edges for each cutoff) that the measures name.
+
+    sizes stands in for the rows where only the summed values' sizes are asked: at least as many rows and all values.
+    """
+
+    rows: DataFrame
+    entity: str
+    time: str
+    windows: dict[str, Edges]
+    measures: list[Measure]
+    sizes: DataFrame | None = None
+
+
 def micros(time: Column) -> Column:
     """Microseconds of a naive time (sessions run in UTC)."""
     return F.unix_micros(time.cast("timestamp"))
@@ -162,8 +178,8 @@ def _sums(kind: T.DataType, value: Column, spread: Spread | None) -> dict[str, C
 class Builder:
     """Collects, for a list of measures, the totals of segments, the running columns at marks, and the results."""
 
-    def __init__(self, rows: DataFrame, time: str, plan: Plan) -> None:
-        self.rows, self.time, self.plan = rows, time, plan
+    def __init__(self, rows: DataFrame, time: str, plan: Plan, tag: str = "") -> None:
+        self.rows, self.time, self.plan, self.tag = rows, time, plan, tag
         self.segments: dict[str, Column] = {}  # totals of a segment
         self.running: dict[str, Column] = {}  # what runs over them, by name
         self.extremes: dict[str, str] = {}  # segment column -> min or max
@@ -179,7 +195,7 @@ class Builder:
         self.pairs: dict[str, tuple[str, str, int]] = {}  # of segments and cutoffs: column -> segment column, how, window
 
     def name(self, *what: object) -> str:
-        return self.keys.setdefault(what, f"_x{len(self.keys)}")
+        return self.keys.setdefault(what, f"_x{self.tag}{len(self.keys)}")
 
     def on(self, m: Measure) -> Column:
         return F.expr(m.on) if m.on else F.lit(True)
@@ -332,24 +348,71 @@ def _distinct(keys: DataFrame, rows: DataFrame, builder: Builder, measures: list
     return run.where("_mark = 1").drop("_mark")
 
 
+def _seen(rows: DataFrame, entity: str, time: str, windows: dict[str, Edges]) -> DataFrame:
+    """The rows that some window can hold; gaps between windows are left out if few ranges tell them."""
+    t, at = micros(F.col(time)), F.lit
+    if isinstance(rows.schema[time].dataType, T.TimestampNTZType):  # then the bounds are constants that reach the scan
+        t, at = F.col(time), lambda m: F.timestamp_micros(F.lit(m)).cast("timestamp_ntz")
+    pairs = sorted({e for w in windows.values() for e in w if e[0] is not None and e[0] < e[1]})
+    kept = F.col(entity).isNotNull() & F.col(time).isNotNull()
+    if any(e[0] is None for w in windows.values() for e in w):
+        return rows.where(kept & (t < at(max(e[1] for w in windows.values() for e in w))))
+    ranges: list[tuple[int, int]] = []
+    for low, high in pairs:
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1] = ranges[-1][0], max(high, ranges[-1][1])
+        else:
+            ranges.append((low, high))
+    if not 0 < len(ranges) <= FEW_CUTOFFS:
+        ranges = [(min(e[0] for w in windows.values() for e in w), max(e[1] for w in windows.values() for e in w))]
+    near = F.lit(False)
+    for low, high in ranges:
+        near = near | ((t >= at(low)) & (t < at(high)))
+    return rows.where(kept & near)
+
+
+def _begun(source: Source, plan: Plan, tag: str = "") -> tuple[Builder, DataFrame]:
+    """The builder of a source and its rows in segments; the source's measures are not yet asked."""
+    rows, measures = _seen(source.rows, source.entity, source.time, source.windows), source.measures
+    b = Builder(rows, source.time, plan, tag)
+    b.kinds = {m.value: rows.select(F.expr(m.value).alias("v")).schema["v"].dataType for m in measures if m.value}
+    centred = list(dict.fromkeys(m.value for m in measures if m.kind == "std"))
+    summed = [m.value for m in measures if m.kind in ("sum", "mean") and _floating(b.kinds[m.value])]
+    b.spreads = spreads(rows if source.sizes is None else source.sizes, {c: F.expr(c) for c in dict.fromkeys([*summed, *centred])}, centred)
+    return b, plan.segment(rows, source.time, "_at")
+
+
+def few(cutoffs: list[int], source: Source) -> bool:
+    """Whether the source's segments can be paired with the cutoffs."""
+    kinds = {m.value: source.rows.select(F.expr(m.value).alias("v")).schema["v"].dataType for m in source.measures if m.value}
+    return 0 < len(cutoffs) <= FEW_CUTOFFS and all(m.kind != "distinct" and _fixed(m, kinds) for m in source.measures)
+
+
+def aggregate_together(keys: DataFrame, cutoffs: list[int], sources: list[Source]) -> DataFrame:
+    """`aggregate` of several sources for the same keys, each of them `few`: their segments meet the cutoffs in one join.
+
+    A window's name stands for the same edges in all sources, and no two measures share a name.
+    """
+    plan = Plan(cutoffs, {n: w for s in sources for n, w in s.windows.items()})
+    made = []
+    for i, source in enumerate(sources):
+        b, cut = _begun(source, plan, f"{i}_")
+        b.paired = True
+        made.append((b, {m.name: b.result(m) for m in source.measures}, _segments(source, b, cut)))
+    return _paired(keys.select(*KEYS), made)
+
+
 def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs: list[int], windows: dict[str, Edges], measures: list[Measure], sizes: DataFrame | None = None) -> DataFrame:
     """entity_id, cutoff_time and a column for each measure; keys are unique and all of them come back.
 
     windows has, by name, the edges for each of the cutoffs (in microseconds, ascending). Rows without an entity or a
-    time are in no window. sizes stands in for the rows where only the summed values' sizes are asked: at least as many rows and all values.
+    time are in no window. For sizes see Source.
     """
     if not cutoffs:
         return keys.select(*KEYS, *[F.lit(None).alias(m.name) for m in measures])
+    source = Source(rows, entity, time, windows, measures, sizes)
     plan = Plan(cutoffs, windows)
-    rows = rows.where(F.col(entity).isNotNull() & F.col(time).isNotNull() & (micros(F.col(time)) < plan.edges[-1]))
-    if all(e[0] is not None for w in windows.values() for e in w):
-        rows = rows.where(micros(F.col(time)) >= plan.edges[0])
-    b = Builder(rows, time, plan)
-    b.kinds = {m.value: rows.select(F.expr(m.value).alias("v")).schema["v"].dataType for m in measures if m.value}
-    centred = list(dict.fromkeys(m.value for m in measures if m.kind == "std"))
-    summed = [m.value for m in measures if m.kind in ("sum", "mean") and _floating(b.kinds[m.value])]
-    b.spreads = spreads(rows if sizes is None else sizes, {c: F.expr(c) for c in dict.fromkeys([*summed, *centred])}, centred)
-    cut = plan.segment(rows, time, "_at")
+    b, cut = _begun(source, plan)
     plain = [m for m in measures if m.kind != "distinct"]
     b.paired = len(cutoffs) <= FEW_CUTOFFS and all(_fixed(m, b.kinds) for m in plain)
     results = {m.name: b.result(m) for m in plain}
@@ -357,7 +420,7 @@ def aggregate(keys: DataFrame, rows: DataFrame, entity: str, time: str, cutoffs:
     if b.extremes or b.wanted and b.asked or len(plain) < len(measures):  # several parts read the keys
         out = keys = written(out, "keys")
     if plain:
-        out = (_paired if b.paired else _plain)(out, cut, b, results, entity)
+        out = _paired(out, [(b, results, _segments(source, b, cut))]) if b.paired else _plain(out, cut, b, results, entity)
     distinct: dict[tuple, list[Measure]] = {}
     for m in measures:
         if m.kind == "distinct":
@@ -374,27 +437,36 @@ def _fixed(m: Measure, kinds: dict[str, T.DataType]) -> bool:
     return m.kind not in ("first", "last")
 
 
-def _paired(keys: DataFrame, cut: DataFrame, b: Builder, results: dict[str, Column], entity: str) -> DataFrame:
+def _segments(source: Source, b: Builder, cut: DataFrame) -> DataFrame:
+    """`_e`, `_at` and the totals of an entity's segment."""
+    return cut.groupBy(F.col(source.entity).alias("_e"), "_at").agg(*[c.alias(n) for n, c in b.segments.items()])
+
+
+def _paired(keys: DataFrame, made: list[tuple[Builder, dict[str, Column], DataFrame]]) -> DataFrame:
     """The results for few cutoffs: an entity's segments meet those of its cutoffs in whose widest window they lie.
 
-    The cutoffs of an entity travel as the bits of a long, and the keys are dealt to so many tasks that the results of
-    each take about TASK_BYTES, however many keys there are.
+    made has the builder, results and segments of each source. The cutoffs of an entity travel as the bits of a long, and
+    the keys are dealt to so many tasks that the results of each take about TASK_BYTES, however many keys there are.
     """
-    plan, spark = b.plan, keys.sparkSession
-    used = sorted({w for _, _, w in b.pairs.values()})
+    plan, spark = made[0][0].plan, keys.sparkSession
+    pairs = {name: p for b, _, _ in made for name, p in b.pairs.items()}
+    used = sorted({w for _, _, w in pairs.values()})
     edges = [[e[i] for e in plan.windows.values()] for i in range(len(plan.cutoffs))]
     sides = [[(-1 if e[w][0] is None else plan.place[e[w][0]], plan.place[e[w][1]]) for w in used] for e in edges]
     rows = [(c, i, min(x for x, _ in s), max(y for _, y in s), *[v for side in s for v in side]) for i, (c, s) in enumerate(zip(plan.cutoffs, sides, strict=True))]
     table = F.broadcast(spark.createDataFrame(rows, ", ".join(["_c long, _i int, _low int, _high int", *[f"_l{w} int, _h{w} int" for w in used]])))  # a row for each cutoff
-    tasks = max(1, math.ceil(keys.count() * (len(b.pairs) + 4) * 8 / TASK_BYTES))
+    tasks = max(1, math.ceil(keys.count() * (len(pairs) + 4) * 8 / TASK_BYTES))
     bits = keys.withColumn("_c", micros(F.col("cutoff_time"))).join(table.select("_c", "_i"), "_c").groupBy("entity_id").agg(F.expr("bit_or(shiftleft(1L, _i))").alias("_bits"))
     each = bits.repartition(tasks, "entity_id").join(table, F.expr("(_bits & shiftleft(1L, _i)) != 0"))
-    segments = cut.groupBy(F.col(entity).alias("_e"), "_at").agg(*[c.alias(n) for n, c in b.segments.items()]).repartition(tasks, "_e")
+    segments = made[0][2]
+    for _, _, more in made[1:]:
+        segments = segments.unionByName(more, allowMissingColumns=True)
+    segments = segments.repartition(tasks, "_e")
     near = (F.col("entity_id") == F.col("_e")) & (F.col("_at") > F.col("_low")) & (F.col("_at") <= F.col("_high"))
-    columns = [F.expr(f"{how}(case when _at > _l{w} and _at <= _h{w} then {n} end) as {name}") for name, (n, how, w) in b.pairs.items()]
+    columns = [F.expr(f"{how}(case when _at > _l{w} and _at <= _h{w} then {n} end) as {name}") for name, (n, how, w) in pairs.items()]
     out = each.join(segments.hint("merge"), near, "left").groupBy("entity_id", "_c").agg(*columns)
     time = F.timestamp_micros("_c").cast(keys.schema["cutoff_time"].dataType)
-    return out.withColumn("cutoff_time", time).select(*KEYS, *[c.alias(n) for n, c in results.items()])
+    return out.withColumn("cutoff_time", time).select(*KEYS, *[c.alias(n) for _, results, _ in made for n, c in results.items()])
 
 
 def _at_marks(marks: DataFrame, segments: DataFrame, running: dict[str, Column], wanted: set[tuple[str, int]], back: bool = False) -> DataFrame:

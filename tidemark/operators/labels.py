@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.intervals import KEYS, MOST_CUTOFFS, Measure, aggregate, micros, ordered
+from tidemark.operators.intervals import FEW_CUTOFFS, KEYS, MOST_CUTOFFS, Measure, Source, aggregate, micros, ordered
 
 
 
@@ -83,9 +84,14 @@ def entity_cutoffs(entities: DataFrame, key: str, cuts: DataFrame, created: str
 
 
 
+def _lowest(rule: Rule) -> re.Match | None:
+    """The bound below the rule's times, if that is all the rule asks."""
+    return re.fullmatch(rf"\s*{re.escape(rule.time)}\s*>=\s*(:cutoff\s*-\s*interval\s+\d+\s+\w+)\s*", rule.where or "")
+
+
 def _reach(spine: DataFrame, rule: Rule) -> DataFrame:
     """The rule's rows that some cutoff can see: before the latest one, and not before the earliest bound if that is all the rule asks."""
-    lowest = re.fullmatch(rf"\s*{re.escape(rule.time)}\s*>=\s*(:cutoff\s*-\s*interval\s+\d+\s+\w+)\s*", rule.where or "")
+    lowest = _lowest(rule)
     ends = spine.agg(F.min(bound(lowest[1]) if lowest else F.col("cutoff_time")).alias("low"), F.max("cutoff_time").alias("high"))
     low, high = (None if v is None else F.lit(v).cast(ends.schema[n].dataType) for n, v in ends.select(*[F.col(n).cast("string") for n in ends.columns]).first().asDict().items())
     if high is None:
@@ -94,8 +100,33 @@ def _reach(spine: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(F.col(rule.time) >= low) if lowest else rows
 
 
-def apply_rule(spine: DataFrame, rule: Rule, exists: bool = True) -> DataFrame:
-    """Spine rows for which the rule's row exists (semi join) or does not (anti join)."""
+def _eligible(rule: Rule, entities: DataFrame, key: str, cuts: DataFrame) -> DataFrame | None:
+    """The rows of entity_cutoffs(entities, key, cuts) for which the rule's row exists; None if the cutoffs are not few or the rule asks more than a span of time.
+
+    A row of the rule's table tells the cutoffs that see it by the bits of a long, so an entity is one row until its cutoffs are known.
+    """
+    lowest = _lowest(rule)
+    bounded = cuts.withColumn("_low", bound(lowest[1])) if lowest else cuts
+    if not lowest or not all(isinstance(bounded.schema[n].dataType, T.TimestampNTZType) for n in ("cutoff_time", "_low")):
+        return None
+    rows = bounded.limit(FEW_CUTOFFS + 1).collect()
+    if not 0 < len(rows) <= FEW_CUTOFFS:
+        return None
+    time, bits = F.col(rule.time), F.lit(0).cast("long")
+    for i, r in enumerate(rows):
+        low, high = (F.lit(None if r[n] is None else str(r[n])).cast("timestamp_ntz") for n in ("_low", "cutoff_time"))
+        bits = bits.bitwiseOR(F.when((time >= low) & (time < high), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    seen = rule.table.select(F.col(rule.key).alias("_e"), bits.alias("_b")).where("_b != 0").groupBy("_e").agg(F.bit_or("_b").alias("_bits"))
+    numbered = cuts.sparkSession.createDataFrame([(i, *[r[c] for c in cuts.columns]) for i, r in enumerate(rows)], T.StructType([T.StructField("_i", T.IntegerType()), *cuts.schema.fields]))
+    found = entities.select(F.col(key).alias("entity_id")).join(seen.hint("merge"), F.col("entity_id") == F.col("_e"))
+    return found.join(F.broadcast(numbered), F.expr("(_bits & shiftleft(1L, _i)) != 0")).select("entity_id", *cuts.columns)
+
+
+def apply_rule(spine: DataFrame, rule: Rule, exists: bool = True, made_of: tuple[DataFrame, str, DataFrame] | None = None) -> DataFrame:
+    """Spine rows for which the rule's row exists (semi join) or does not (anti join). made_of says that spine is entity_cutoffs(*made_of), whose other rows then need not be made."""
+    found = _eligible(rule, *made_of) if made_of and exists else None
+    if found is not None:
+        return found
     names = {c: f"_r_{c}" for c in rule.table.columns}
     right = _reach(spine, rule).select(*[F.col(c).alias(n) for c, n in names.items()])
     near = (F.col("entity_id") == F.col(names[rule.key])) & (F.col(names[rule.time]) < F.col("cutoff_time"))
@@ -129,23 +160,47 @@ def labels(spine: DataFrame, target: Target) -> DataFrame:
     ends = window_ends(spine)
     if not ends or any(e is None for _, e in ends):
         return labels_by_join(spine, target)
-    edges = [(c + 1, max(c, e) + 1) for c, e in ends]  # a window is (cutoff, end]; one that ends before it begins is empty
-    if not ordered({"w": edges}):
+    source = label_source(target, ends)
+    if source is None:
         return labels_by_join(spine, target)
+    found = aggregate(spine, source.rows, source.entity, source.time, [c for c, _ in ends], source.windows, source.measures)
+    return closed(found, spine, target, ends)
+
+
+#: The measure that a label is made of.
+VALUE = "_value"
+
+
+def _child(target: Target) -> DataFrame:
     rows = target.table.where(target.where) if target.where else target.table
     value = F.col(target.column) if target.column else F.lit(1)
     value = value.cast("string") if target.agg == "first" else value
-    child = rows.select(F.col(target.key).alias("_k"), F.col(target.time).alias("_t"), value.alias("_v"))
+    return rows.select(F.col(target.key).alias("_k"), F.col(target.time).alias("_t"), value.alias("_v"))
+
+
+def label_source(target: Target, ends: list[tuple[int, int | None]]) -> Source | None:
+    """The target's rows and the measure of its windows, by the ends of the cutoffs (None: an empty window); None if the windows are not ordered."""
+    edges = [(c + 1, max(c, c if e is None else e) + 1) for c, e in ends]  # a window is (cutoff, end]; one that ends before it begins is empty
+    if not ordered({"label": edges}):
+        return None
     kind = {"avg": "mean", "count_distinct": "distinct"}.get(target.agg, target.agg)
-    measure = Measure("value", kind, "w", "_v is not null" if kind == "first" else None, None if kind == "count" else "_v", "_v" if kind == "first" else None)
-    found = aggregate(spine, child, "_k", "_t", [c for c, _ in ends], {"w": edges}, [measure])
-    how = _aggregates(target)
-    plain = found.withColumn("value", F.col("value").cast(child.select(how).schema[0].dataType))
-    if target.agg in ("sum", "count"):
-        plain = plain.withColumn("value", F.coalesce("value", F.lit(0)))
+    measure = Measure(VALUE, kind, "label", "_v is not null" if kind == "first" else None, None if kind == "count" else "_v", "_v" if kind == "first" else None)
+    return Source(_child(target), "_k", "_t", {"label": edges}, [measure])
+
+
+def closed(found: DataFrame, spine: DataFrame, target: Target, ends: list[tuple[int, int | None]]) -> DataFrame:
+    """entity_id, cutoff_time, label, label_window_end and the other columns of found, which has the measure of `label_source`; rows without an end have no label."""
+    kind = _child(target).select(_aggregates(target)).schema[0].dataType
+    value = F.col(VALUE).cast(kind)
+    value = F.coalesce(value, F.lit(0)) if target.agg in ("sum", "count") else value
     table = spine.sparkSession.createDataFrame(ends, "_c long, _e long")
-    closed = plain.withColumn("_c", micros(F.col("cutoff_time"))).join(F.broadcast(table), "_c").withColumn("label_window_end", F.timestamp_micros("_e").cast("timestamp_ntz"))
-    return _labelled(closed, target).select(F.col("entity_id").cast(spine.schema["entity_id"].dataType).alias("entity_id"), "cutoff_time", "label", "label_window_end")
+    rows = found.withColumn("value", value).withColumn("_c", micros(F.col("cutoff_time"))).join(F.broadcast(table), "_c").withColumn("label_window_end", F.timestamp_micros("_e").cast("timestamp_ntz"))
+    ended = _labelled(rows.where("_e is not null"), target)
+    if any(e is None for _, e in ends):
+        label = F.when(F.col("_e").isNotNull(), _label(target))
+        ended = rows.where("_e is null or value is not null").withColumn("label", label)
+    entity = F.col("entity_id").cast(spine.schema["entity_id"].dataType).alias("entity_id")
+    return ended.select(entity, "cutoff_time", "label", "label_window_end", *[c for c in found.columns if c not in (*KEYS, VALUE)])
 
 
 def _aggregates(target: Target) -> Column:
@@ -160,12 +215,15 @@ def _aggregates(target: Target) -> Column:
     }[target.agg]
 
 
-def _labelled(found: DataFrame, target: Target) -> DataFrame:
-    label = F.col("value")
+def _label(target: Target) -> Column:
     if target.compare:
         op, limit = target.compare
-        label = F.expr(f"case when value {op} {limit} then 1 else 0 end")
-    return found.where("value is not null").withColumn("label", label)
+        return F.expr(f"case when value {op} {limit} then 1 else 0 end")
+    return F.col("value")
+
+
+def _labelled(found: DataFrame, target: Target) -> DataFrame:
+    return found.where("value is not null").withColumn("label", _label(target))
 
 
 def labels_by_join(spine: DataFrame, target: Target) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.operators import features as fs
 from tidemark.operators import labels as lb
 from tidemark.operators import metrics, models, scoring, splits
 from tidemark.operators.features import Feature
-from tidemark.plans.reference_queries import SC, S, drift_features, items_path, load, orders_path, orders_target, parted, scored, t1_rule, t1_spine
+from tidemark.plans.reference_queries import SC, S, drift_features, items_path, load, orders_path, orders_target, parted, parted_windows, scored, t1_rule, t1_spine
 from tidemark.sources import tables as src
 from tidemark.sources.shared import new_path, written
 
@@ -33,13 +33,21 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def frame(spark: SparkSession, d: str, keys: DataFrame | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
-    """Features of both paths, written once; with labels and parts unless keys are given. Of parts, if given, only: rows that no one reads are not built."""
+def frame(spark: SparkSession, d: str, keys: DataFrame | None = None, parts: tuple[str, ...] = (), also: DataFrame | None = None) -> DataFrame:
+    """Features of both paths, written once; with labels and parts unless keys are given. Of parts, if given, only: rows that no one reads are not built.
+
+    Keys in `also` get the same features in the same pass, and neither label nor part.
+    """
     feats = [*[Feature(f"n_{n}", "count", days=n) for n in (30, 90, 365)], Feature("mean_price", "mean", "o_totalprice"), Feature("since_last", "days_since_last")]
-    base = parted(spark, d, parts) if keys is None else keys
-    spine = base.select(*lb.KEYS)
-    wide = fs.wide(base, [fs.compute(spine, orders_path(spark, d), feats), fs.compute(spine, items_path(spark, d), [Feature("quantity", "sum", "l_quantity", 365)])])
-    return written(wide, "frame")
+    paths = [(orders_path(spark, d), feats), (items_path(spark, d), [Feature("quantity", "sum", "l_quantity", 365)])]
+    if keys is not None:
+        return written(fs.wide(keys, [fs.compute_paths(keys.select(*lb.KEYS), paths)]), "frame")
+    windows = parted_windows(spark, parts)
+    spine = t1_spine(spark, d, windows.drop("part"))
+    spine = spine if also is None else spine.unionByName(also, allowMissingColumns=True)
+    rows = fs.labelled(spine, orders_target(spark, d, compare=("=", 0)), paths)
+    part = F.broadcast(windows.select("cutoff_time", "part"))  # a part follows from the cutoff's window
+    return written(rows.join(part, "cutoff_time", "left").select(*lb.KEYS, "label", "label_window_end", "part", *COLUMNS), "frame")
 
 
 @query("A1", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') as o_orderdate, o_orderpriority from orders")
@@ -215,17 +223,20 @@ def v12(spark, d):
 
 @query("D1")
 def d1(spark, d):
-    model, _ = models.fit_validated(frame(spark, d, parts=FITTED), COLUMNS)
-    got = models.predict(model, frame(spark, d, now_eligible(spark, d)), COLUMNS)
+    f = frame(spark, d, parts=FITTED, also=now_eligible(spark, d))
+    model, _ = models.fit_validated(f, COLUMNS)
+    got = models.predict(model, f.where("part is null"), COLUMNS)
     return scoring.rank_rows(got.select("entity_id", "score")).select("entity_id", "score", "rank", "decile")
 
 
 def now_eligible(spark: SparkSession, d: str) -> DataFrame:
-    one = lb.cutoffs(spark, "2001-05-01", "2001-05-01", 1, "months")
-    return written(lb.apply_rule(lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", one), t1_rule(spark, d)), "keys")
+    every = load(spark, d, "customer"), "c_custkey", lb.cutoffs(spark, "2001-05-01", "2001-05-01", 1, "months")
+    return written(lb.apply_rule(lb.entity_cutoffs(*every), t1_rule(spark, d), made_of=every), "keys")
 
 
 @query("D7")
 def d7(spark, d):
-    model, _ = models.fit_validated(frame(spark, d, parts=FITTED), COLUMNS, rounds=5, depth=3)
-    return scoring.preview(model, frame(spark, d, now_eligible(spark, d)), COLUMNS, 20)
+    """The rows to fit and those to score get their features together, so orders and their lines are joined once for both."""
+    f = frame(spark, d, parts=FITTED, also=now_eligible(spark, d))
+    model, _ = models.fit_validated(f, COLUMNS, rounds=5, depth=3)
+    return scoring.preview(model, f.where("part is null"), COLUMNS, 20)

@@ -52,8 +52,8 @@ def t1_rule(spark: SparkSession, d: str, days: int = 365) -> Rule:
 
 def t1_spine(spark: SparkSession, d: str, windows: DataFrame | None = None) -> DataFrame:
     """Written, since whatever follows reads it several times; of some of the windows, if given."""
-    every = lb.entity_cutoffs(load(spark, d, "customer"), "c_custkey", t1_windows(spark) if windows is None else windows)
-    return written(lb.apply_rule(every, t1_rule(spark, d)), "spine")
+    every = load(spark, d, "customer"), "c_custkey", t1_windows(spark) if windows is None else windows
+    return written(lb.apply_rule(lb.entity_cutoffs(*every), t1_rule(spark, d), made_of=every), "spine")
 
 
 def orders_target(spark: SparkSession, d: str, **more) -> Target:
@@ -69,13 +69,20 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return written(t1_labels(spark, d), "labels").select("entity_id", "cutoff_time", "label", s.alias("score"), (F.col("entity_id") * 100 + F.month("cutoff_time")).alias("row_id"), (s >= 0.5).cast("int").alias("pred"))
 
 
-def parted(spark: SparkSession, d: str, parts: tuple[str, ...] = (), where: str | None = None) -> DataFrame:
-    """Labels with their part; a part follows from the window, so rows of other parts (or windows that fail `where`) are not built."""
-    split = lambda rows: splits.partition(rows, "1996-07-01", "1996-10-01")
+def split(rows: DataFrame) -> DataFrame:
+    return splits.partition(rows, "1996-07-01", "1996-10-01")
+
+
+def parted_windows(spark: SparkSession, parts: tuple[str, ...] = (), where: str | None = None) -> DataFrame:
+    """Windows with their part; only those of some parts, or that pass `where`, if given."""
     windows = split(t1_windows(spark))
     windows = windows.where(F.col("part").isin(*parts)) if parts else windows
-    windows = windows.where(where) if where else windows
-    return split(written(t1_labels(spark, d, windows.drop("part")), "labels"))
+    return windows.where(where) if where else windows
+
+
+def parted(spark: SparkSession, d: str, parts: tuple[str, ...] = (), where: str | None = None) -> DataFrame:
+    """Labels with their part; a part follows from the window, so rows of other parts (or windows that fail `where`) are not built."""
+    return split(written(t1_labels(spark, d, parted_windows(spark, parts, where).drop("part")), "labels"))
 
 
 def orders_path(spark: SparkSession, d: str) -> Path:
