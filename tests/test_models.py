@@ -219,3 +219,12 @@ def test_labels_and_features_are_one_aggregation(spark, monkeypatch):
     assert len(passes) == 1
     assert got.select(*want.columns).dtypes == want.dtypes
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_a_summary_explains_its_rows_once(spark, monkeypatch):
+    df = spark.range(300).select("id", F.rand(1).alias("a"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part"))
+    model, _ = models.fit_validated(df, ["a"], rounds=2)
+    made, plain = spark.sparkContext.accumulator(0), models.contributions
+    monkeypatch.setattr(models, "contributions", lambda trees, x: (made.add(len(x)), plain(trees, x))[1])
+    got = models.reason_summary(model, df.where("part = 'val'"), ["a"], "id").collect()
+    assert [r["share"] for r in got] == [1.0] and made.value == 100
