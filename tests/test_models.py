@@ -228,3 +228,17 @@ def test_a_summary_explains_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(models, "contributions", lambda trees, x: (made.add(len(x)), plain(trees, x))[1])
     got = models.reason_summary(model, df.where("part = 'val'"), ["a"], "id").collect()
     assert [r["share"] for r in got] == [1.0] and made.value == 100
+
+
+def test_a_summary_is_over_all_rows(spark):
+    """The means of all 3,000 rows, not of 2,000 drawn from them."""
+    df = spark.range(6000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), F.when(F.col("id") % 2 == 0, "val").otherwise("train").alias("part"))
+    df = df.withColumn("label", (F.col("a") + F.col("b") * F.col("b") > 0.8).cast("int")).cache()
+    model, _ = models.fit_validated(df, ["a", "b"], rounds=3)
+    val = df.where("part = 'val'")
+    each = np.array([r.contributions for r in models.reasons(model, val, ["a", "b"], "id").collect()])
+    got = {r.source: r for r in models.reason_summary(model, val, ["a", "b"], "id").collect()}
+    want = np.abs(each).mean(axis=0)
+    assert len(each) == 3000 and (want > 0).all()
+    assert np.allclose([got[c].mean_abs for c in ("a", "b")], want, rtol=1e-9)
+    assert np.allclose([got[c].share for c in ("a", "b")], want / want.sum(), rtol=1e-9)

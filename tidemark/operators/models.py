@@ -416,11 +416,10 @@ def reasons(model, df: DataFrame, columns: list[str], key: str, top: int = 3) ->
     return out.select(key, "base", "margin", "contributions", *[F.get("reasons", F.lit(i)).alias(f"reason_{i + 1}") for i in range(top)])
 
 
-def reason_summary(model, df: DataFrame, columns: list[str], key: str, rows: int = 2000, seed: int = 42) -> DataFrame:
-    """source, mean_abs, share: the mean size of each column's contributions over at most `rows` rows, drawn by a hash of the key."""
-    drawn = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
-    each = reasons(model, drawn, columns, key).select(F.posexplode("contributions").alias("i", "v"))
-    means = written(each.groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs")), "means")  # rows are drawn and explained once, not for the total too
+def reason_summary(model, df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """source, mean_abs, share: the mean size of each column's contributions over all rows of df."""
+    each = reasons(model, df, columns, key).select(F.posexplode("contributions").alias("i", "v"))
+    means = written(each.groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs")), "means")  # rows are explained once, not for the total too
     total = means.agg(F.sum("mean_abs").alias("t"))
     named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
     return means.crossJoin(F.broadcast(total)).select(named.alias("source"), "mean_abs", F.try_divide("mean_abs", "t").alias("share"))
