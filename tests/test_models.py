@@ -242,3 +242,29 @@ def test_a_summary_is_over_all_rows(spark):
     assert len(each) == 3000 and (want > 0).all()
     assert np.allclose([got[c].mean_abs for c in ("a", "b")], want, rtol=1e-9)
     assert np.allclose([got[c].share for c in ("a", "b")], want / want.sum(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.9])
+def test_a_search_covers_the_grid_as_single_fits_do(spark, noise):
+    """Little noise: fits that go on to their last round; much: fits that are stopped early and stand for more rounds."""
+    df = spark.range(1200).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("u"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part"))
+    df = df.withColumn("label", ((F.col("a") * F.col("b") > 0.25) != (F.col("u") < noise / 2)).cast("int")).cache()
+    data, _ = models.ready(df, ["a", "b"])
+    data = data.withColumn("label_d", F.col("label").cast("double")).withColumn("_val", F.col("part") == "val")
+    want, trees = [], []
+    depths = (2, 3, 4) if noise > 0.5 else (2,)
+    for depth, rounds in itertools.product(depths, (5, 10, 20)):
+        model = models.boosted("binary", rounds, depth, 7).fit(data)
+        trees.append((rounds, model.getNumTrees))
+        scored = model.transform(data.where("_val")).withColumn("score", models.vector_to_array("probability")[1])
+        want.append((depth, rounds, models.metrics.roc_auc(scored, "score", "label_d").first()[0]))
+    assert any(n < r for r, n in trees) if noise > 0.5 else any(n == r > 5 for r, n in trees)
+    got = [tuple(r) for r in models.search(df, ["a", "b"]).collect()]
+    assert len(got) == 9 and [r for r in got if r[0] in depths] == sorted(want, key=lambda r: (-r[2], r[0], r[1]))
+
+
+def test_the_search_query_fits_the_whole_grid(spark):
+    from tidemark.plans import model_queries as mq
+
+    got = mq.m5(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.depth, r.rounds) for r in got) == list(itertools.product((2, 3, 4), (5, 10, 20)))

@@ -202,22 +202,34 @@ def compare(df: DataFrame, columns: list[str], label: str = "label") -> DataFram
     return df.sparkSession.createDataFrame([r for _, r in out], out[0][0])
 
 
-def search(df: DataFrame, columns: list[str], label: str = "label", tries: int = 4, seed: int = 7) -> DataFrame:
-    """depth, rounds, roc_auc on part val for a seeded choice of the grid, the best first."""
+def search(df: DataFrame, columns: list[str], label: str = "label", tries: int | None = None, seed: int = 7) -> DataFrame:
+    """depth, rounds, roc_auc on part val for all of the grid (or a seeded choice of `tries`), the best first, of equals the smaller model.
+
+    A fit that part val has stopped before its last round is the fit of more rounds too (same rows, seed and stop), so it
+    is made and scored once for them.
+    """
     grid = list(itertools.product((2, 3, 4), (5, 10, 20)))
     random.Random(seed).shuffle(grid)
+    chosen = sorted(grid[:tries])
     data, _ = ready(df.where(F.col("part").isin("train", "val")), columns)
-    data = data.select("features", F.col(label).cast("double").alias("label_d"), (F.col("part") == "val").alias("_val")).persist()  # all tries and their scores read it
-
-    def one(depth: int, rounds: int) -> tuple:
-        scored = boosted("binary", rounds, depth, seed).fit(data).transform(data.where("_val")).withColumn("score", vector_to_array("probability")[1])
-        return depth, rounds, metrics.roc_auc(scored, "score", "label_d").first()[0]
+    data = data.select("features", F.col(label).cast("double").alias("label_d"), (F.col("part") == "val").alias("_val")).persist()  # all fits and their scores read it
+
+    def one(depth: int) -> list[tuple]:
+        out, stopped = [], False
+        for rounds in (r for d, r in chosen if d == depth):
+            if not stopped:
+                model = boosted("binary", rounds, depth, seed).fit(data)
+                stopped = model.getNumTrees < rounds
+                scored = model.transform(data.where("_val")).withColumn("score", vector_to_array("probability")[1])
+                auc = metrics.roc_auc(scored, "score", "label_d").first()[0]
+            out.append((depth, rounds, auc))
+        return out
 
     try:
-        rows = side_by_side([lambda g=g: one(*g) for g in grid[:tries]])
+        rows = sum(side_by_side([lambda d=d: one(d) for d in sorted({d for d, _ in chosen})]), [])
     finally:
         data.unpersist()
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -(r[2] or 0)), "depth int, rounds int, roc_auc double")
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-(r[2] or 0), *r[:2])), "depth int, rounds int, roc_auc double")
 
 
 def vote(predictions: list[DataFrame], key: str) -> DataFrame:

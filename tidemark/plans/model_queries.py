@@ -146,7 +146,7 @@ def m4(spark, d):
 
 @query("M5")
 def m5(spark, d):
-    return models.search(frame(spark, d, parts=FITTED), COLUMNS, tries=2)
+    return models.search(frame(spark, d, parts=FITTED), COLUMNS)
 
 
 @query("M6")
